@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_counts
+from . import decontamination, quality_rules, token_counts
 from .common import load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,41 @@ def oracle_sql() -> dict[str, str]:
 @_query
 def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_counts(load(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op2_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    judged = decontamination.decontaminate(load(spark, root, "documents"), load(spark, root, "benchmark"))
+    return judged.select(
+        "doc_id",
+        F.col("doc_n_words").alias("n_words"),
+        F.col("doc_n_hit").alias("n_hit"),
+        F.size("doc_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("doc_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+_SQL["op2_decontamination"] = r"""
+WITH bench AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS x
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM bench WHERE len(w) > 0)),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (
+  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS x
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, occ.n, i, item_id FROM occ JOIN win ON occ.x = win.x AND occ.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.quality_rules(load(spark, root, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
