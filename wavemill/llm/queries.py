@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, token_counts
-from .common import load
+from . import decontamination, language_id, quality_rules, token_counts, toxicity
+from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -69,3 +69,14 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 @_query
 def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.quality_rules(load(spark, root, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    scored = toxicity.toxicity(load(spark, root, "documents").select("doc_id", "text", "lang"), load(spark, root, "labels"))
+    return scored.select("doc_id", (crc_residue("doc_id") == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
+    return language_id.language_id(load(spark, root, "documents"))
