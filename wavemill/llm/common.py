@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -58,5 +57,6 @@ def crc_residue(column: str, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))
 
 
-def schema_of(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
+def schema_of(**fields: str) -> str:
+    """A DDL schema."""
+    return ", ".join(f"`{k}` {v}" for k, v in fields.items())

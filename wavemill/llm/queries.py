@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_rules, token_counts, toxicity
+from . import decontamination, language_id, lm_scoring, quality_rules, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
     return language_id.language_id(load(spark, root, "documents"))
+
+
+@_query
+def op7_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    return lm_scoring.lm_scores(load(spark, root, "documents"))
