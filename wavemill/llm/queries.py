@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, language_id, lm_scoring, quality_rules, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op7_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
     return lm_scoring.lm_scores(load(spark, root, "documents"))
+
+
+@_query
+def op5_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.jaccard_join(load(spark, root, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
