@@ -99,7 +99,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     alive = len(order)
     for k in range(int(sorted_lengths[0]) if alive else 0):
         alive = int(np.searchsorted(-sorted_lengths, -k, "left"))
-        h[:alive] = h[:alive] * _MUL + buf[at[:alive] + k]
+        h[:alive] = h[:alive] * _MUL + buf[at[:alive] + k].astype(U64)
     out[order] = mix(h)
     return out
 

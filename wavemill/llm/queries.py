@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: The key of the pseudonyms in queries; real runs bring their own.
+PII_KEY = b"wavemill query key"
 
 
 def _query(f):
@@ -90,3 +92,17 @@ def op7_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op5_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.jaccard_join(load(spark, root, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+@_query
+def op3_pii_pseudonyms(spark: SparkSession, root: str) -> DataFrame:
+    done = pii.pseudonymise(load(spark, root, "documents").select("doc_id", "text"), PII_KEY)
+    count = lambda kind: F.coalesce(F.try_element_at("pii_counts", F.lit(kind)), F.lit(0)).alias(f"n_{kind}")
+    return done.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+@_query
+def op9_piece_sampling(spark: SparkSession, root: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_sampling.decode(piece_sampling.encode(load(spark, root, "documents").select("doc_id", "text"), model), model)
+    return coded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
