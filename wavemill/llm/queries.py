@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, token_counts, toxicity
+from . import decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op9_piece_sampling(spark: SparkSession, root: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = piece_sampling.decode(piece_sampling.encode(load(spark, root, "documents").select("doc_id", "text"), model), model)
     return coded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
+@_query
+def op4_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(load(spark, root, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
