@@ -1,27 +1,33 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's distinct word windows form a hash set, broadcast while its measured size is small and shuffled
-beyond that. Every window of every text is hashed in place and looked up, hits are verified word for word, and only
-verified hits are shuffled.
+The benchmark's distinct word windows form a hash set. Bitmaps of its words and windows (of bounded size) are tested in
+place, so one scan leaves few candidate windows of the texts; these are joined with the set, broadcast while its
+measured size is small and shuffled beyond that, and verified word for word.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import saved, whole_text
 
 #: What separates words once A-Z are lower-cased is listed; everything else belongs to a word.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of benchmark words up to which the set of windows is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bits of a bitmap at most (8 MB); more hashes only leave more candidates to verify.
+MOST_BITS = 26
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z lower-cased and nothing else: ``lower`` where a text is all ASCII, letter by letter where it is not."""
+    each = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(c.lower())), string.ascii_uppercase, text)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(each)
 
 
 def words_of(text: Column) -> Column:
@@ -36,40 +42,56 @@ def window_set(benchmark: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", "len", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("len")))).alias("window"))
 
 
-def _hashes(length: int) -> Column:
-    at_least = F.size("w") >= length
-    found = F.transform(F.sequence(F.lit(1), F.size("w") - (length - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(length))))
-    return F.when(at_least, found).otherwise(F.array().cast("array<bigint>"))
+def bitmap(hashes: DataFrame, column: str, count: int) -> np.ndarray:
+    """Bits of the hashes, 64 to a number: 64 bits a hash, 2**16 at least and 2**MOST_BITS at most."""
+    bits = min(max(16, (64 * max(count, 1) - 1).bit_length()), MOST_BITS)
+    size = 1 << (bits - 6)
+    place = F.pmod(F.shiftright(column, 6), F.lit(size)).cast("int")
+    rows = hashes.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(column, F.lit(64)).cast("int"))).alias("bits"))
+    out = np.zeros(size, np.int64)
+    for r in rows.collect():  # at most 2**(MOST_BITS - 6) numbers
+        out[r["at"]] = r["bits"]
+    return out
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, fp, pos (0-based word), len, wid of every occurrence of a benchmark window; repeated rows count once each.
+def _maybe(bits: np.ndarray, h: Column) -> Column:
+    return F.getbit(F.get(F.lit(bits), F.pmod(F.shiftright(h, 6), F.lit(len(bits))).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
+def _candidates(length: int, windows: np.ndarray) -> Column:
+    """(pos, len, words) of the windows that may be in the set: some of their words are tested first, then the whole."""
+    probes = sorted({0, length // 3, 2 * length // 3, length - 1})
+
+    def may(i):
+        known = reduce(lambda a, k: a & F.get("known", i + (k - 1)), probes, F.lit(True))
+        return known & _maybe(windows, F.xxhash64(F.slice("w", i, F.lit(length))))
+
+    at = F.filter(F.sequence(F.lit(1), F.size("w") - (length - 1)), may)
+    found = F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.lit(length).alias("len"), F.slice("w", i, F.lit(length)).alias("words")))
+    return F.when(F.size("w") >= length, found).otherwise(F.array().cast("array<struct<pos:int,len:int,words:array<string>>>"))
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, fp, n_words of every row, and doc_id, fp, pos (0-based word), len, wid of every occurrence
+    of a benchmark window.
 
     ``fp`` tells rows of one doc_id apart by their text; ``wid`` names a distinct window.
     """
     bench = window_set(benchmark, n).select("len", "window").distinct()
-    bench = bench.select(F.col("len").alias("b_len"), F.col("window").alias("b_words"), F.xxhash64("window").alias("b_hash"), F.sha2(F.concat_ws(" ", "window"), 256).alias("wid"))
-    size, *_, lengths = bench.agg(F.sum(F.octet_length(F.concat_ws(" ", "b_words"))), F.count("*"), F.sort_array(F.collect_set("b_len"))).first()  # at most n lengths
-    lengths = sorted(lengths or [], reverse=True) or [n]
+    bench = saved(bench.select(F.col("len").alias("b_len"), F.col("window").alias("b_words"), F.xxhash64("window").alias("b_hash"), F.sha2(F.concat_ws(" ", "window"), 256).alias("wid")), "windows")
+    size, count, lengths = bench.agg(F.sum(F.octet_length(F.concat_ws(" ", "b_words"))), F.count("*"), F.sort_array(F.collect_set("b_len"))).first()  # at most n lengths
+    words = bench.select(F.explode("b_words").alias("word")).distinct().select(F.xxhash64("word").alias("h"))
+    windows, known = bitmap(bench, "b_hash", count), bitmap(words, "h", words.count())
     text = whole_text(docs)
     rows = docs.select("doc_id", F.xxhash64(text).alias("fp"), words_of(text).alias("w"))
-    rows = rows.select("*", F.concat(*(_hashes(k) for k in lengths)).alias("hashes"))
-    # an outer explode: from an inner one the optimiser infers a filter that would evaluate the nested arrays again
+    rows = rows.select("*", F.transform("w", lambda x: _maybe(known, F.xxhash64(x))).alias("known"))
+    none = F.array().cast("array<struct<pos:int,len:int,words:array<string>>>")
+    rows = rows.select("doc_id", "fp", F.size("w").cast("bigint").alias("n_words"), F.concat(none, *(_candidates(k, windows) for k in lengths or [])).alias("maybe"))
+    rows = saved(rows, "candidates")
+    at = rows.where(F.size("maybe") > 0).select("doc_id", "fp", F.explode("maybe").alias("m")).select("doc_id", "fp", "m.*").withColumn("hash", F.xxhash64("words"))
     small = (size or 0) <= broadcast_bytes
-    rows = rows.select("doc_id", "fp", F.size("w").alias("n"), *(["w"] if small else []), F.posexplode_outer("hashes").alias("at", "hash"))
-    found = rows.join(F.broadcast(bench) if small else bench, F.col("hash") == F.col("b_hash"))
-    start, length, skipped = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
-    ends = []
-    for k in lengths:  # the arrays of each length lie behind one another
-        begins, skipped = skipped, skipped + F.greatest(F.col("n") - (k - 1), F.lit(0))
-        ends.append((begins, skipped, k))
-    for begins, end, k in reversed(ends):
-        start, length = F.when(F.col("at") < end, F.col("at") - begins).otherwise(start), F.when(F.col("at") < end, F.lit(k)).otherwise(length)
-    found = found.withColumns({"pos": start, "len": length}).where(F.col("len") == F.col("b_len"))
-    if not small:  # the words of the few candidates are fetched again rather than shuffled with every window
-        again = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64(text).alias("d_fp"), words_of(text).alias("w")).dropDuplicates(["d_id", "d_fp"])
-        found = found.join(again, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("fp") == F.col("d_fp")))
-    return found.where(F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("b_words")).select("doc_id", "fp", "pos", "len", "wid")
+    found = at.join(F.broadcast(bench) if small else bench, (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (F.col("words") == F.col("b_words")))
+    return rows.select("doc_id", "fp", "n_words"), found.select("doc_id", "fp", "pos", "len", "wid")
 
 
 def _covered(spans: Column) -> Column:
@@ -92,16 +114,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     words and are clean; repeated rows are each judged and returned; a null item_id marks words but adds no item;
     null doc_ids are kept; an empty benchmark or table hits nothing. Added columns replace columns of their name.
     """
-    hits = window_hits(docs, benchmark, n, broadcast_bytes)
+    sizes, hits = window_hits(docs, benchmark, n, broadcast_bytes)
     item_of = window_set(benchmark, n).select(F.sha2(F.concat_ws(" ", "window"), 256).alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
     spans = hits.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("doc_spans"), F.collect_set("wid").alias("wids"))
-    items = spans.select("doc_id", "fp", F.explode("wids").alias("wid")).join(item_of, "wid").groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("item")).alias("doc_items"))
-    spans, items = (x.withColumnsRenamed({"doc_id": "h_id", "fp": "h_fp"}) for x in (spans.drop("wids"), items))
+    items = spans.select("doc_id", "fp", F.explode("wids").alias("wid")).join(item_of, "wid").groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("item")).alias("doc_items")).withColumnsRenamed({"doc_id": "i_id", "fp": "i_fp"})
+    found = spans.drop("wids").join(items, spans["doc_id"].eqNullSafe(F.col("i_id")) & (spans["fp"] == F.col("i_fp")), "left").drop("i_id", "i_fp").withColumnsRenamed({"doc_id": "h_id", "fp": "h_fp"})
+    sizes = sizes.withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
+    judged = sizes.join(found, F.col("s_id").eqNullSafe(F.col("h_id")) & (F.col("s_fp") == F.col("h_fp")), "left")
     added = ("doc_n_words", "doc_n_hit", "doc_spans", "doc_items", "contaminated")
-    base = docs.drop(*added, "h_fp_row")
-    base = base.withColumns({"h_fp_row": F.xxhash64(whole_text(base)), "doc_n_words": F.size(words_of(whole_text(base))).cast("bigint")})
-    same = lambda d: base["doc_id"].eqNullSafe(d["h_id"]) & (base["h_fp_row"] == d["h_fp"])
-    out = base.join(spans, same(spans), "left").drop("h_id", "h_fp").join(items, same(items), "left").drop("h_id", "h_fp", "h_fp_row")
+    judged = judged.select("s_id", "s_fp", F.col("n_words").alias("doc_n_words"), "doc_spans", "doc_items")
+    judged = judged.dropDuplicates(["s_id", "s_fp"])  # repeated rows
+    base = docs.drop(*added, "h_fp_row").withColumn("h_fp_row", F.xxhash64(whole_text(docs)))
+    out = base.join(judged, base["doc_id"].eqNullSafe(judged["s_id"]) & (base["h_fp_row"] == judged["s_fp"])).drop("s_id", "s_fp", "h_fp_row")
     n_hit = F.coalesce(_covered(F.col("doc_spans")), F.lit(0).cast("bigint"))
     out = out.withColumns({"doc_n_hit": n_hit, "doc_items": F.coalesce("doc_items", F.array().cast("array<string>"))})
     return out.withColumn("contaminated", (F.col("doc_n_hit") > 0) & (share * F.col("doc_n_hit") >= F.col("doc_n_words")))
