@@ -34,9 +34,9 @@ def _up(spark, root):
     return events(spark, root).withColumn("up", F.col("value") > 250)
 
 
-@query(_TURN + ' SELECT user_id, round(x."at", 6) AS "at" FROM x')
+@query(_TURN + ' SELECT user_id, floor(x."at")::BIGINT AS "at" FROM x')
 def transition_times(spark, root):
-    return r6(joins.flips(_up(spark, root), "user_id", "t", "event_id", "up", BLOCK), "at")
+    return joins.flips(_up(spark, root), "user_id", "t", "event_id", "up", BLOCK).withColumn("at", F.floor("at"))
 
 
 @query(_TURN + ' SELECT DISTINCT event_id FROM e JOIN x ON e.user_id = x.user_id AND abs(e.t - x."at") <= 3600')
