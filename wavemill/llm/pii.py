@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-SLICE_BYTES, ROUNDS, REMEMBERED = 4 << 20, 8, 200_000
+SLICE_BYTES, ROUNDS, REMEMBERED = 1 << 20, 8, 200_000
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "date", "secret")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 73049  # to 2099-12-31
 _FOUND = re.compile(
