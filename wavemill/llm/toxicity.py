@@ -156,7 +156,8 @@ def fit(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Net:
         net.taps = None
         kept = np.flatnonzero(held)
         logit, lang = net.logits(*_buffers([rows[i][0] for i in kept])) if len(kept) else (np.zeros(0), np.zeros(0, int))
-        overall = best_threshold(logit, label[kept], 0.0)
+        enough = min(label[kept].sum(), (1 - label[kept]).sum()) >= 20  # else the plain 0.5 stands
+        overall = best_threshold(logit, label[kept], 0.0) if enough else 0.0
         net.shift[:] = overall
         for j in range(len(langs)):
             mine = lang == j
