@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python workers; several buffers of this size live in each task.
+ARROW_BYTES = 8 << 20
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of a dataset folder. A session that names no size of Arrow batches gets one that fits small executors."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _MARK, _LITERAL = 0x2581, 0x110000  # a word mark that the text itself has is kept apart from a space
 
 
