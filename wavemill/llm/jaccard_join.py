@@ -129,15 +129,16 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_keys(hashes, owner, n), pa.binary()), pa.array(np.bincount(owner, minlength=n)), lists], names=["doc_id", "fp", "tkey", "n_shingles", "bands"])
 
     signed = saved(rows.mapInArrow(sign, schema_of(doc_id=id_type, fp="bigint", tkey="binary", n_shingles="bigint", bands="array<bigint>")), "signed")
-    classes = signed.where("tkey IS NOT NULL").dropDuplicates(["tkey"]).select("tkey", F.explode("bands").alias("band"))
-    classes = saved(classes, "bands")
-    leads = classes.groupBy("band").agg(F.min("tkey").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = classes.join(leads, "band").where(F.col("tkey") != F.col("lead")).select(F.col("tkey").alias("u"), F.col("lead").alias("v"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")
+    classes = signed.where("tkey IS NOT NULL").groupBy("tkey").agg(first, F.any_value("bands").alias("bands"))
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # ids are short where band rows are shuffled
+    banded = classes.select("id", F.explode("bands").alias("band"))
+    leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = banded.join(leads, "band").where(F.col("id") != F.col("lead")).select(F.col("id").alias("u"), F.col("lead").alias("v"))
     found = components(linked)
     members = saved(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    one = signed.where("tkey IS NOT NULL").groupBy("tkey").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r"))
-    wanted = members.join(sizes, "root").join(one, F.col("node") == F.col("tkey")).select("root", "blocks", "tkey", F.col("r.doc_id").alias("w_id"), F.col("r.fp").alias("w_fp"))
+    wanted = members.join(sizes, "root").join(classes.select("id", "tkey", "r"), F.col("node") == F.col("id")).select("root", "blocks", "tkey", F.col("r.doc_id").alias("w_id"), F.col("r.fp").alias("w_fp"))
     texts = rows.join(wanted, rows["fp"].eqNullSafe(F.col("w_fp")) & rows["doc_id"].eqNullSafe(F.col("w_id"))).select("root", "blocks", "tkey", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
                 sets = [hashes[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary())], names=["root", "blocks", "tkey", "shingles"])
 
-    packed = texts.mapInArrow(pack, schema_of(root="binary", blocks="int", tkey="binary", shingles="binary"))
+    packed = texts.mapInArrow(pack, schema_of(root="bigint", blocks="int", tkey="binary", shingles="binary"))
     mine = F.pmod(F.xxhash64("tkey"), F.col("blocks")).cast("int")
     packed = packed.withColumn("mine", mine).select("root", "tkey", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     packed = packed.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "tkey", "shingles").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "tkey")
