@@ -95,9 +95,12 @@ def fit(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Net:
     """Fit on (text, lang, label) rows; each fifth row is kept back to set the thresholds of the languages."""
     rng = np.random.default_rng(seed)
     hashes, owner = word_hashes(*_buffers([r[0] for r in rows]))
-    pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1)
-    words, texts_with = np.unique(pairs[0], return_counts=True)
+    order = np.lexsort((owner, hashes))
+    word, text = hashes[order], owner[order]
+    new = np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)]
+    words, texts_with = np.unique(word[new], return_counts=True)
     words = words[texts_with >= LEAST_TEXTS]
+    del order, word, text, new
     size = len(words) + 2
     langs = sorted({r[1] for r in rows if r[1] is not None})
     net = Net(words, rng.normal(0, 0.3, (size, DIM)), [rng.normal(0, (w * DIM) ** -0.5, (w, DIM, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0, langs, np.zeros((size, max(1, len(langs)))), np.zeros(len(langs) + 1))
