@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 SLICE_BYTES = 1 << 18
+HEAD_BITS = 18
 _MARK, _LITERAL = 0x2581, 0x110000  # a word mark that the text itself has is kept apart from a space
 
 
@@ -41,8 +42,9 @@ class Lattice:
                 h = self._first(np.array([ord(c)])) if h is None else K.pair_hash(h, np.array([ord(c)], np.uint64))
                 known.setdefault(int(h[0]), -1)
             known[int(h[0])] = i
-        self.keys = np.array(sorted(known), np.uint64)
-        self.ids = np.array([known[int(k)] for k in self.keys], np.int64)
+        self.keys = np.append(np.array(sorted(known), np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.ids = np.array([known.get(int(k), -1) for k in self.keys], np.int64)
+        self.heads = np.searchsorted(self.keys, np.arange(1 << HEAD_BITS, dtype=np.uint64) << np.uint64(64 - HEAD_BITS))
         surface = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_at = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
@@ -51,13 +53,22 @@ class Lattice:
     def _first(c: np.ndarray) -> np.ndarray:
         return K.mix(c.astype(np.uint64) + np.uint64(1))
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of hashes among the keys and whether they are there; the top bits give the place to start at."""
+        at = self.heads[h >> np.uint64(64 - HEAD_BITS)]
+        behind = np.flatnonzero(self.keys[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < h[behind]]
+        return at, self.keys[at] == h
+
     def edges(self, codes: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece id of every piece that fits; -1 - code for a character that only bytes spell."""
         start, h = np.arange(len(codes)), None
         out = []
         for k in range(1, self.longest + 1):
             h = self._first(codes) if h is None else K.pair_hash(h, codes[start + k - 1].astype(np.uint64))
-            at, alive = K.lookup(self.keys, h)
+            at, alive = self.find(h)
             ids = np.where(alive, self.ids[at], -1)
             real = ids >= 0
             out.append((start[real], np.full(int(real.sum()), k), ids[real]))
@@ -108,9 +119,11 @@ class Sampler:
         flat = codes[np.repeat(starts[first], u_len) + within]
         of = np.repeat(np.arange(len(first)), u_len)
         e_start, e_len, e_id = lat.edges(flat, (u_at + u_len)[of])
-        spelled = np.where(e_id < 0, -1 - e_id, 0)
-        spelled = np.where(spelled == _LITERAL, _MARK, spelled)
-        weight = np.where(e_id >= 0, lat.weight[np.maximum(e_id, 0)], lat.byte_weight * _utf8_sizes(spelled))
+        bare = np.flatnonzero(e_id < 0)
+        spelled = np.zeros(len(e_id), np.int64)
+        spelled[bare] = np.where(e_id[bare] == -1 - _LITERAL, _MARK, -1 - e_id[bare])
+        weight = lat.weight[np.maximum(e_id, 0)]
+        weight[bare] = lat.byte_weight * _utf8_sizes(spelled[bare])
         to = within[e_start] + e_len  # places in the unit; node = unit's first node + place
         node = u_at + np.arange(len(first))
         order = np.lexsort((of[e_start], to))
@@ -129,8 +142,9 @@ class Sampler:
             top = np.maximum.reduceat(value[i:j], g)
             total = np.add.reduceat(np.exp(value[i:j] - np.repeat(top, np.diff(np.append(g, j - i)))), g)
             alpha[target[group_at[group[i] : group[j - 1] + 1]]] = top + np.log(total)
-        share = np.cumsum(np.exp(value - alpha[target]))
-        ladder = group + np.minimum(share - (share[group_at] - np.exp(value - alpha[target])[group_at])[group], 1 - 1e-12)
+        own = np.exp(value - alpha[target])
+        share = np.cumsum(own)
+        ladder = group + np.minimum(share - (share[group_at] - own[group_at])[group], 1 - 1e-12)
         rank = np.zeros(len(alpha), np.int64)
         rank[target[group_at]] = np.arange(len(group_at))
         group_end = np.append(group_at[1:], len(target)) - 1
@@ -156,9 +170,11 @@ class Sampler:
         ids = e_id[path]
         owner = np.repeat(row, count)
         if (ids < 0).any():
-            spell = spelled[path]
-            times = np.where(ids < 0, _utf8_sizes(spell), 1)
-            raw_bytes = np.frombuffer("".join(map(chr, spell[ids < 0].tolist())).encode(), np.uint8)
+            bare = np.flatnonzero(ids < 0)
+            spell = spelled[path[bare]]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = _utf8_sizes(spell)
+            raw_bytes = np.frombuffer("".join(map(chr, spell.tolist())).encode(), np.uint8)
             ids, owner = np.repeat(ids, times), np.repeat(owner, times)
             ids[ids < 0] = lat.byte_id[raw_bytes]
         return ids.astype(np.int32), np.bincount(owner, minlength=n)
