@@ -35,20 +35,20 @@ def text_counts(docs: DataFrame) -> DataFrame:
     text = whole_text(docs)
     df = docs.select("doc_id", F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     df = df.select("*", split_words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.trim(F.lit(" \t\x0b\x0c\r"), x) != "").alias("lines"))
-    trigrams = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    trigrams = F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), F.lit(1), F.size("words") - 2)
     df = df.select("*", F.when(F.size("words") > 3, trigrams).otherwise(F.array().cast("array<bigint>")).alias("tri"))
     ordered = F.when(F.size(F.array_distinct("tri")) < F.size("tri"), F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     df = df.select("*", ordered.alias("ordered"))
     twice = F.filter("ordered", lambda x, k: (x["h"] == F.get("ordered", k - 1)["h"]) | (x["h"] == F.get("ordered", k + 1)["h"]))
     repeated = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    octets, solid = F.octet_length("text"), _without(F.col("text"), " \t\n\x0b\x0c\r")
+    octets = F.octet_length("text")
     n = lambda c: c.cast("bigint")
     df = df.select(
         "doc_id",
         "lang",
-        F.concat(F.lit(" "), F.array_join(F.transform("words", F.lower), "  "), F.lit(" ")).alias("padded"),
+        F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")).alias("padded"),
         n(F.size("words")).alias("n_words"),
-        n(F.char_length(solid)).alias("word_chars"),
+        n(F.char_length(F.array_join("words", ""))).alias("word_chars"),
         n(octets - F.octet_length(_without(F.col("text"), SYMBOLS))).alias("n_symbols"),
         n(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         n(repeated).alias("n_repeat_words"),
@@ -65,7 +65,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def common_words(docs: DataFrame, words: int = WORDS, word_chars: int = WORD_CHARS) -> DataFrame:
     """lang, common: the most frequent short words of each language, over all texts; ties by the word."""
-    short = F.filter(F.transform(split_words(whole_text(docs)), F.lower), lambda w: F.char_length(w) <= word_chars)
+    short = F.filter(F.split(F.lower(whole_text(docs)), SPACE), lambda w: (w != "") & (F.char_length(w) <= word_chars))
     counts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.explode_outer(short).alias("word")).groupBy("lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     top = counts.where(F.col("word").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= words)
@@ -73,17 +73,16 @@ def common_words(docs: DataFrame, words: int = WORDS, word_chars: int = WORD_CHA
     return top.groupBy("lang").agg(ordered.alias("top")).select("lang", F.transform("top", lambda x: x["word"]).alias("common"))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two count arrays; 0 if either is all zeros."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    tp, tq = total(p), total(q)
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    def term(a, b):
-        a, b = a / tp, b / tq
-        part = lambda v: F.when(v > 0, v * F.log2(2 * v / (a + b))).otherwise(F.lit(0.0))
-        return (part(a) + part(b)) / 2
 
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(total(F.zip_with(p, q, term)), F.lit(0.0)))).otherwise(F.lit(0.0))
+def js_distance(p: Column, q: Column, tp: Column, tq: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two count arrays with the totals tp and tq; 0 if either is all zeros."""
+    half = lambda v, m: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
+    shares = F.zip_with(p, q, lambda a, b: F.struct((a / tp).alias("a"), (b / tq).alias("b")))
+    both = F.aggregate(shares, F.lit(0.0), lambda s, x: s + half(x["a"], (x["a"] + x["b"]) / 2) + half(x["b"], (x["a"] + x["b"]) / 2))
+    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(both / 2, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
 def quality_rules(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -97,17 +96,18 @@ def quality_rules(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: f
     counted = text_counts(docs).join(F.broadcast(common), "lang", "left")  # one row a language, WORDS short words each
     hits = F.transform("common", lambda w: ((F.octet_length("padded") - F.octet_length(F.replace("padded", F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)).cast("bigint"))
     counted = counted.withColumn("hits", F.coalesce(hits, F.array().cast("array<bigint>"))).drop("padded", "common")
-    rest = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rest = F.col("n_words") - total(F.col("hits"))
     counted = saved(counted.withColumn("hits", F.concat("hits", F.array(rest))), "quality")
     sums = counted.groupBy("lang").agg(
         F.array(*(F.sum(F.get("chars", F.lit(i))) for i in range(7))).alias("ref_chars"),
         F.array(*(F.coalesce(F.sum(F.get("hits", F.lit(i))), F.lit(0)) for i in range(WORDS + 1))).alias("ref_hits"),
     )
+    sums = sums.select("*", total(F.col("ref_chars")).alias("all_chars"), total(F.col("ref_hits")).alias("all_hits"))
     df = counted.join(F.broadcast(sums), "lang")  # one row a language
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    df = df.withColumns({"char_distance": js_distance(double(F.col("chars")), double(F.col("ref_chars"))), "word_distance": js_distance(double(F.col("hits")), double(F.slice("ref_hits", F.lit(1), F.size("hits"))))})
+    df = df.withColumns({"own_chars": total(F.col("chars")), "own_hits": total(F.col("hits")), "ref_hits": F.slice("ref_hits", F.lit(1), F.size("hits"))})
+    df = df.withColumns({"char_distance": js_distance(F.col("chars"), F.col("ref_chars"), F.col("own_chars"), F.col("all_chars")), "word_distance": js_distance(F.col("hits"), F.col("ref_hits"), F.col("own_hits"), F.col("all_hits"))})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = (F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, b: a + b) >= least_chars) & (F.col("n_words") >= least_words)
+    judged = (F.col("own_chars") >= least_chars) & (F.col("n_words") >= least_words)
     apart = judged & ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words))
     df = df.withColumns({"base_failed": failed, "kept": ~failed & ~apart})
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
