@@ -71,6 +71,13 @@ def test_quality_base(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def test_quality_blank_lines(spark):
+    texts = ["a\n\nb\n\nc\n\n\n", "a\n \t\x0b\x0c\r\n \t\x0b\x0c\r\na\nb", "x \t\x0b\x0c\ry\nx \t\x0b\x0c\ry\n", "\n\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    got = {r.doc_id: r.n_dup_lines for r in quality_rules.text_counts(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0} == {i: base_columns(t)[3] for i, t in enumerate(texts)}
+
+
 def test_quality_divergence(spark, sf):
     docs = [(r.doc_id, r.lang, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     counts, ref_chars, ref_hits, per = defaultdict(Counter), {}, {}, {}

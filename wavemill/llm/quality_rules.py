@@ -34,7 +34,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang (null: und), padded (lower-case words, two spaces between), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (class counts)."""
     text = whole_text(docs)
     df = docs.select("doc_id", F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    df = df.select("*", split_words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.trim(F.lit(" \t\x0b\x0c\r"), x) != "").alias("lines"))
+    df = df.select("*", split_words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     trigrams = F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), F.lit(1), F.size("words") - 2)
     df = df.select("*", F.when(F.size("words") > 3, trigrams).otherwise(F.array().cast("array<bigint>")).alias("tri"))
     ordered = F.when(F.size(F.array_distinct("tri")) < F.size("tri"), F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
