@@ -40,6 +40,21 @@ def test_formats_survive_and_invert(kind, value):
         datetime.date.fromisoformat(new)
 
 
+@pytest.mark.parametrize("local", ["a" * 122, "a" * 123, "Zz9" * 2000, "x.1_" * 50000])
+def test_long_addresses(local):
+    value = f"{local}@mail.example.com"
+    text, counts = f"see {value}, and {value}.", Counter()
+    out = pii.replaced(text, NAMES, counts)
+    new = out[4 : 4 + len(value)]
+    kind = lambda c: (c.isdigit(), c.islower(), c.isupper(), c if not c.isalnum() else "")
+    assert out == f"see {new}, and {new}." and counts == {"email": 2} and new != value and new.endswith("example.com")
+    assert [kind(c) for c in new] == [kind(c) for c in value]
+    assert pii.replaced(out, NAMES, Counter(), back=True) == text
+    other = pii.replaced(f"b{value[1:]}", NAMES, Counter())
+    pairs = [(a, b) for a, b in zip(other, new) if a.isalnum()]
+    assert sum(a == b for a, b in pairs) < len(pairs) // 2
+
+
 def test_look_alikes_stay():
     text = "4111111111111112 2024-02-30 300.1.1.1 v2.0.1 000-12-3456 GB00WEST12345698765432 12-34"
     assert pii.replaced(text, NAMES, Counter()) == text

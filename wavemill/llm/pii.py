@@ -1,7 +1,7 @@
 """Personal data replaced by format-preserving pseudonyms.
 
 Validated numbers and dates (and the letters and digits of e-mail addresses and hexadecimal secrets) are permuted by a
-keyed Feistel network over exactly the values that share their format, so a pseudonym is again valid, a value gets the
+keyed Feistel network over exactly the values that share their format, however long, so a pseudonym is again valid, a value gets the
 same pseudonym in every document, and the key holder can invert it.
 """
 
@@ -14,6 +14,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 SLICE_BYTES, ROUNDS, REMEMBERED = 1 << 20, 8, 200_000
+#: Formats of more than 2**NUMBER_BITS values are permuted symbol by symbol; longer values are not remembered.
+NUMBER_BITS, REMEMBERED_CHARS = 576, 256
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "date", "secret")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 73049  # to 2099-12-31
 _FOUND = re.compile(
@@ -68,6 +71,8 @@ class Feistel:
         x, n = 0, 1
         for c, a in zip(text, alphabets):
             x, n = x * len(a) + a.index(c), n * len(a)
+            if n.bit_length() > NUMBER_BITS:
+                return self._long(text, alphabets, tweak, back)
         x = (self.invert if back else self.permute)(x, n, tweak)
         out = []
         for a in reversed(alphabets):
@@ -75,6 +80,20 @@ class Feistel:
             out.append(a[r])
         return "".join(reversed(out))
 
+    def _long(self, text: str, alphabets: list[str], tweak: bytes, back: bool) -> str:
+        """``symbols`` in time linear in the length: each half in turn is shifted by what the other half hashes to."""
+        sizes = np.array([len(a) for a in alphabets], np.uint8)
+        x = np.array([a.index(c) for c, a in zip(text, alphabets)], np.uint8)
+        halves = slice(0, len(x) // 2), slice(len(x) // 2, len(x))
+        head = len(x).to_bytes(8, "big") + sizes.tobytes() + tweak
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            to, by = halves[r % 2], halves[1 - r % 2]
+            n = sizes[to].astype(np.int64)
+            drawn = hashlib.shake_256(self.key + r.to_bytes(2, "big") + head + x[by].tobytes()).digest(4 * len(n))
+            f = np.frombuffer(drawn, "<u4").astype(np.int64)
+            x[to] = (x[to] + (-f if back else f)) % n
+        return "".join(a[k] for k, a in zip(x.tolist(), alphabets))
+
 
 def luhn_digit(digits: str) -> str:
     """The check digit behind ``digits``."""
@@ -107,6 +126,8 @@ class Pseudonyms:
         got = self.known.get((kind, value, back), "")
         if got == "":
             got = getattr(self, f"_{kind}")(value, back)
+            if len(value) > REMEMBERED_CHARS:
+                return got
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[kind, value, back] = got
