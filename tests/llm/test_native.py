@@ -106,3 +106,16 @@ def test_quality_divergence(spark, sf):
         lang, chars, hits = per[r.doc_id]
         assert r.char_distance == pytest.approx(js(chars, ref_chars[lang]), abs=1e-9)
         assert r.word_distance == pytest.approx(js(hits, ref_hits[lang]), abs=1e-9)
+
+
+def test_quality_common_words(spark):
+    long = ["whatsoever", "notwithstanding", "heretofore", "aforementioned"]
+    usual = ["the", "of", "and", "to", *long]
+    text = lambda i, n, common: " ".join(usual[(k // 3 + i) % 8] if common and k % 3 == 0 else f"w{i}x{k}" for k in range(n))
+    rows = [(i, text(i, 90 + i % 7, True), "en") for i in range(60)] + [(60, text(60, 90, False), "en"), (61, text(61, 30, False), "en"), (62, text(62, 60, True), "en")]
+    rows += [(100 + i, text(100 + i, 60, False), "xx") for i in range(40)]  # no words in common use: nothing is held against it
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(long) < set(next(r.common for r in quality_rules.common_words(df).collect() if r.lang == "en"))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert got[60].common_distance == 1 and not got[60].base_failed and not got[60].kept
+    assert all(got[i].kept for i, *_ in rows if i not in (60, 61)) and got[61].base_failed

@@ -16,8 +16,10 @@ from .common import saved, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Common words of a language: the WORDS most frequent of at most WORD_CHARS characters.
-WORDS, WORD_CHARS = 24, 5
+#: Common words of a language: the WORDS most frequent of at most WORD_CHARS characters; no string is longer than that.
+WORDS, WORD_CHARS = 24, 2**31 - 1
+#: Common words are judged where the text's length lets at least so many of them be expected.
+LEAST_HITS = 10
 #: Largest Jensen-Shannon distances (0 to 1) of a text that stays, and the fewest characters and words that are judged.
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.35, 0.75, 200, 50
 
@@ -64,8 +66,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, words: int = WORDS, word_chars: int = WORD_CHARS) -> DataFrame:
-    """lang, common: the most frequent short words of each language, over all texts; ties by the word."""
-    short = F.filter(F.split(F.lower(whole_text(docs)), SPACE), lambda w: (w != "") & (F.char_length(w) <= word_chars))
+    """lang, common: the most frequent words of each language, over all texts; ties by the word."""
+    short = F.filter(F.split(F.lower(whole_text(docs)), SPACE), lambda w: (w != "") if word_chars >= WORD_CHARS else (w != "") & (F.char_length(w) <= word_chars))
     counts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.explode_outer(short).alias("word")).groupBy("lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     top = counts.where(F.col("word").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= words)
@@ -86,14 +88,16 @@ def js_distance(p: Column, q: Column, tp: Column, tq: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
+    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, common_distance, kept.
 
     A row is kept unless the base rule fails or, with at least ``least_chars`` characters and ``least_words`` words,
-    a distance exceeds its limit. Rows without lang share one reference. Null texts count as empty and fail the base
+    a distance exceeds its limit. word_distance is over the common words and all others as one; common_distance is
+    over the common words alone, 1 for a text without any, 0 where fewer than LEAST_HITS are to be expected at the
+    text's length, so that a language without words in common use rejects nothing. Rows without lang share one reference. Null texts count as empty and fail the base
     rule (too few words); repeated rows each count and return; empty tables give none; null doc_ids stay.
     """
     common = common_words(docs)
-    counted = text_counts(docs).join(F.broadcast(common), "lang", "left")  # one row a language, WORDS short words each
+    counted = text_counts(docs).join(F.broadcast(common), "lang", "left")  # one row a language, WORDS words each
     hits = F.transform("common", lambda w: ((F.octet_length("padded") - F.octet_length(F.replace("padded", F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)).cast("bigint"))
     counted = counted.withColumn("hits", F.coalesce(hits, F.array().cast("array<bigint>"))).drop("padded", "common")
     rest = F.col("n_words") - total(F.col("hits"))
@@ -106,8 +110,13 @@ def quality_rules(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: f
     df = counted.join(F.broadcast(sums), "lang")  # one row a language
     df = df.withColumns({"own_chars": total(F.col("chars")), "own_hits": total(F.col("hits")), "ref_hits": F.slice("ref_hits", F.lit(1), F.size("hits"))})
     df = df.withColumns({"char_distance": js_distance(F.col("chars"), F.col("ref_chars"), F.col("own_chars"), F.col("all_chars")), "word_distance": js_distance(F.col("hits"), F.col("ref_hits"), F.col("own_hits"), F.col("all_hits"))})
+    df = df.withColumns({"own_common": F.slice("hits", F.lit(1), F.size("hits") - 1), "ref_common": F.slice("ref_hits", F.lit(1), F.size("hits") - 1)})
+    df = df.withColumns({"n_common": total(F.col("own_common")), "all_common": total(F.col("ref_common"))})
+    expected = F.col("n_words") * F.col("all_common") >= LEAST_HITS * F.col("all_hits")
+    common_distance = F.when(expected & (F.col("all_common") > 0), F.when(F.col("n_common") == 0, F.lit(1.0)).otherwise(js_distance(F.col("own_common"), F.col("ref_common"), F.col("n_common"), F.col("all_common")))).otherwise(F.lit(0.0))
+    df = df.withColumn("common_distance", common_distance)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = (F.col("own_chars") >= least_chars) & (F.col("n_words") >= least_words)
-    apart = judged & ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words))
+    apart = judged & ((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words) | (F.col("common_distance") > most_words))
     df = df.withColumns({"base_failed": failed, "kept": ~failed & ~apart})
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "common_distance", "kept")
