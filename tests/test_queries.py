@@ -44,3 +44,38 @@ def test_alarms_against_a_loop(spark, sf):
             want.append((r.user_id, r.t))
             last[r.user_id] = r.t
     assert sorted((r.user_id, r["at"]) for r in catalog.queries()["refractory_alarms"](spark, sf).collect()) == want
+
+
+def test_alarms_without_a_pause(spark, monkeypatch):
+    """A key that never pauses: no row or window may hold more of it than a block."""
+    from pyspark.sql import functions as F
+
+    from wavemill.operators import joins
+
+    monkeypatch.setattr(joins.F, "collect_list", None)
+    df = spark.range(3000).select(F.lit("a").alias("k"), (F.col("id") * 7 + F.col("id") % 5).cast("double").alias("t"), "id")
+    df = df.union(df.where("id % 50 = 0").selectExpr("'b'", "t * 3 + 0.5", "id")).union(df.where("id = 3").selectExpr("'c'", "t", "id"))
+    df = df.union(df.where("id % 9 = 0"))
+    want, last = [], {}
+    for k, t in sorted((r.k, r.t) for r in df.collect()):
+        if k not in last or t - last[k] >= 100:
+            want.append((k, t))
+            last[k] = t
+    for block in (64.0, 250.0):
+        assert sorted((r.k, r["at"]) for r in joins.alarms(df, "k", "t", "id", 100.0, block).collect()) == want
+    assert joins.alarms(df.limit(0), "k", "t", "id", 100.0, 64.0).collect() == []
+
+
+def test_trailing_floor_in_blocks(spark):
+    """One user, ties and block edges; no row may gather more than the wanted rows."""
+    from wavemill.plans import time_queries
+
+    df = spark.range(1500).selectExpr("id AS event_id", "id % 3 div 2 AS user_id", "CAST(id * id % 7919 div 3 AS bigint) AS us", "CAST(id * 37 % 1009 AS double) AS value")
+    rows = [tuple(r) for r in df.collect()]
+    for reach, most in ((100, 5), (40, 20)):
+        want = {}
+        for e, u, t, _ in rows:
+            seen = sorted(((x[2], x[0], x[3]) for x in rows if x[1] == u and t - reach <= x[2] < t), reverse=True)[:most]
+            want[e] = min(x[2] for x in seen) if len(seen) >= 3 else None
+        got = time_queries.trailing_least(df, reach, most, 3).collect()
+        assert len(got) == len(rows) and {r.event_id: r.floor for r in got} == want

@@ -106,14 +106,38 @@ def state_on_cells(changes: DataFrame, cells: DataFrame, key: str, t: str, tie:
     return out.select(key, "col", F.coalesce("state", F.lit("absent")).alias("state"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` read from files in the folder that all machines see (spark.checkpoint.dir, else one under the warehouse)."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return df.checkpoint()
+
+
 def alarms(df: DataFrame, key: str, t: str, tie: str, quiet: float, block: float) -> DataFrame:
     """key, at: rows that raise an alarm when each alarm silences the ``quiet`` seconds behind it.
 
-    A pause of ``quiet`` always lets the next row through, so each stretch between pauses is judged on its own.
+    Every row's next alarm, if it were one, is found inside blocks of ``block`` seconds, with the first row of the next
+    block that has rows carried back; from each key's first row the alarms then double: those found jump as far as they
+    reach, and the jumps are joined with themselves. So a task holds one block of one key, and rounds grow with the
+    logarithm of a key's span.
     """
-    p = previous(df, key, t, tie, [t], block)
-    opens = F.coalesce((F.col(t) - F.col(f"prev_{t}") >= quiet).cast("int"), F.lit(1))
-    w = Window.partitionBy(key).orderBy(t, tie)
-    stretch = p.withColumn("_s", F.sum(opens).over(w)).groupBy(key, "_s").agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("_t"))
-    raised = F.aggregate("_t", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= quiet), F.concat(acc, F.array(x))).otherwise(acc))
-    return stretch.select(key, F.explode(raised).alias("at"))
+    rows = df.select(key, F.col(t).cast("double").alias("at")).dropna().distinct()
+    none = F.lit(None).cast("double")
+    asked = rows.select(key, (F.col("at") + quiet).alias("_u"), F.col("at").alias("_from"), none.alias("_event"))
+    both = rows.select(key, F.col("at").alias("_u"), none.alias("_from"), F.col("at").alias("_event")).union(asked).withColumn("_block", F.floor(F.col("_u") / block))
+    behind = Window.partitionBy(key, "_block").orderBy(F.desc("_u"), F.desc_nulls_last("_event")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(key, "_block").agg(F.min("_event").alias("_first")).select(key, "_block", F.last("_first", True).over(later).alias("_carried"))
+    jumps = both.withColumn("_own", F.last("_event", True).over(behind)).where("_from IS NOT NULL").join(carried, [key, "_block"])
+    jumps = kept(jumps.select(key, F.col("_from").alias("at"), F.coalesce("_own", "_carried").alias("_to")).dropna())
+    ends = kept(rows.groupBy(key).agg(F.min("at").alias("at"), F.max("at").alias("_last")))
+    most = ends.agg(F.max(F.floor((F.col("_last") - F.col("at")) / quiet))).first()[0] or 0
+    found, reach = ends.select(key, "at"), 1
+    while reach <= most:  # a key has at most ``most`` + 1 alarms
+        found = kept(found.union(found.join(jumps, [key, "at"]).select(key, "_to")))
+        reach *= 2
+        if reach <= most:
+            on = jumps.select(key, F.col("at").alias("_to"), F.col("_to").alias("_next"))
+            jumps = kept(jumps.join(on, [key, "_to"]).select(key, "at", F.col("_next").alias("_to")))
+    return found

@@ -256,9 +256,28 @@ def lagged_step(spark, root):
 @query(_E + """, j AS (SELECT event_id, user_id, t, value FROM e WHERE value > 400)
 SELECT event_id, user_id, (SELECT min(v) FROM (SELECT value AS v FROM j x WHERE x.user_id = j.user_id AND x.t >= j.t - 259200 AND x.t < j.t ORDER BY x.t DESC, x.event_id DESC LIMIT 20) HAVING count(*) >= 3) AS floor FROM j""")
 def trailing_floor(spark, root):
+    j = events(spark, root).where("value > 400").withColumn("us", F.round(F.col("t") * 1e6).cast("bigint"))
+    return trailing_least(j, 259_200_000_000, 20, 3)
+
+
+def trailing_least(j, reach, most, least):
+    """event_id, user_id, floor: the least value of the last ``most`` rows at most ``reach`` before, null for fewer than ``least``.
+
+    Windows hold one block of ``reach`` of one user, and each row keeps ``most`` rows; a block's last ones are carried on.
+    """
     from pyspark.sql import Window
 
-    j = events(spark, root).where("value > 400").withColumn("us", F.round(F.col("t") * 1e6).cast("bigint"))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-259_200_000_000, -1)
-    seen = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("us", "event_id", "value")).over(w))), 1, 20)
-    return j.withColumn("seen", seen).select("event_id", "user_id", F.when(F.size("seen") >= 3, F.array_min(F.transform("seen", lambda x: x["value"]))).alias("floor"))
+    j = j.withColumn("_block", F.floor(F.col("us") / reach))
+    seen = F.struct("us", "event_id", "value")
+    tied = Window.partitionBy("user_id", "_block").orderBy("us", "event_id")
+    ahead = F.reverse(F.collect_list(seen).over(tied.rowsBetween(-most, -1)))
+    # rows of the same instant do not count: those before the instant are what its first row has ahead of it
+    first = F.row_number().over(Window.partitionBy("user_id", "_block", "us").orderBy("event_id")) == 1
+    ahead = j.withColumns({"_ahead": ahead, "_first": first}).where("_first").select("user_id", "_block", "us", "_ahead")
+    back = F.row_number().over(Window.partitionBy("user_id", "_block").orderBy(F.desc("us"), F.desc("event_id")))
+    last = j.withColumn("_k", back).where(F.col("_k") <= most).groupBy("user_id", "_block").agg(F.sort_array(F.collect_list(seen), False).alias("_carried"))
+    last = last.withColumn("_block", F.col("_block") + 1)
+    both = j.join(ahead, ["user_id", "_block", "us"]).join(last, ["user_id", "_block"], "left")
+    carried = F.filter(F.coalesce("_carried", F.slice("_ahead", 1, 0)), lambda x: x["us"] >= F.col("us") - reach)
+    both = both.withColumn("seen", F.slice(F.concat("_ahead", carried), 1, most))
+    return both.select("event_id", "user_id", F.when(F.size("seen") >= least, F.array_min(F.transform("seen", lambda x: x["value"]))).alias("floor"))
