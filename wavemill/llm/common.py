@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Bytes of an Arrow batch between the JVM and Python workers; several buffers of this size live in each task.
 ARROW_BYTES = 8 << 20
+#: Removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -39,11 +42,42 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; each must run once."""
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later stages start from files, not from lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Work(df.sparkSession).saved(df, what)
+
+
+class Work:
+    """Tables in the shared folder that go as soon as nothing reads them again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch(spark, "work")
+
+    def path(self, what: str) -> str:
+        return f"{self.folder}/{what}"
+
+    def saved(self, df: DataFrame, what: str) -> DataFrame:
+        with freed_shuffles(self.spark):
+            df.write.parquet(self.path(what))
+        return self.spark.read.schema(df.schema).parquet(self.path(what))
+
+    def drop(self, *whats: str) -> None:
+        """Delete tables whose readers have all been saved themselves."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for what in whats:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(what))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def mounted(path: str) -> str:

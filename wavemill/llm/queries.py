@@ -111,4 +111,4 @@ def op9_piece_sampling(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def op4_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(load(spark, root, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.kept_digest(F.col("kept")).alias("kept_sha256"))

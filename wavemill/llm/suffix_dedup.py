@@ -1,13 +1,16 @@
 """Removal of repeated byte strings by a distributed difference-cover suffix sort.
 
-1. Winnowed fingerprints (at least one in every ``length`` bytes) that occur in two texts mark where repeats can be;
-   everything else cannot repeat and is left out, losing no match.
-2. The marked stretches are cut where their content says so, with ``length - 1`` bytes of overlap, and equal pieces
-   become one, owned by the least doc_id that has it.
-3. The pieces' suffixes are sorted by the difference-cover algorithm over 8-byte symbols: the sampled two thirds are
-   sorted by triples (24 bytes), named, sorted again by triples of names (72 bytes, more than ``length``), and the
-   remaining third is merged in by its first symbols and the ranks behind them.
-4. Neighbours with equal ``length``-byte prefixes form runs; each run's least owner removes the others' bytes.
+1. Winnowed fingerprints (each string of ``length`` bytes owns one, which only depends on its bytes) that occur in two
+   texts mark where repeats can be; everything else cannot repeat and is left out, losing no match.
+2. The marked stretches are cut where their content says so and equal pieces become one, owned by the least doc_id
+   that has it. Fingerprints that occur in one piece only are settled by that owner; what is left are, for each
+   fingerprint, the distinct contexts (the strings that own it) of different pieces.
+3. The contexts are dealt by fingerprint, since equal strings own equal fingerprints, and their suffixes are sorted by
+   the difference-cover algorithm over 8-byte symbols: the sampled two thirds are sorted by triples and named, triples
+   of names are named again until the names are unique or reach ``length`` bytes, and the remaining third is merged in
+   by its first symbols and the names behind them.
+4. Neighbours with equal ``length``-byte prefixes form runs; each run's least owner removes the others' bytes. A
+   fingerprint with too many contexts for one task is settled string by string, pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,41 +20,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import mounted, saved, schema_of, scratch, whole_text
+from .common import Work, freed_shuffles, mounted, schema_of, scratch, whole_text
 from .lm_scoring import _publish
 
 LENGTH = 50
-SLICE_BYTES = 2 << 20
-#: Fingerprints cover this many bytes; a piece ends at one in 2**CUT_BITS of them or after MOST_WINDOWS windows.
-GRAM, CUT_BITS, MOST_WINDOWS, HELD = 24, 5, 4000, 1 << 19
-SYMBOL = 8
-_PLACE_BITS = 13
+SLICE_BYTES = 512 << 10
+#: Fingerprints cover this many of LENGTH bytes; a piece ends at one in 2**CUT_BITS of them or after MOST_GRAMS.
+GRAM, CUT_BITS, MOST_GRAMS, HELD = 24, 3, 128, 1 << 19
+#: Bytes of contexts that are sorted together, and beyond which the contexts of one fingerprint go string by string.
+SORTED_BYTES, HOT_BYTES = 1 << 19, 1 << 19
+#: Hashes whose contents a task remembers to have sent.
+SENT = 1 << 19
+SYMBOL, _BITS = 8, 21
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_ROLL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def rolling(buf: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` bytes at each place, by doubling."""
-    parts, h, size, k = [], K.mix(buf.astype(np.uint64) + np.uint64(7)), 1, 0
+    parts, h, size, k = [], K.mix(np.arange(256, dtype=np.uint64) + np.uint64(7))[buf], 1, 0
     left = width
     while left:
         if left & size:
             parts.append((size, h))
             left -= size
         if left:
-            h = h[:-size] * _ROLL[k] + h[size:] if len(h) > size else h[:0]
+            turn = K.mix(np.array([k + 1], np.uint64))[0] | np.uint64(1)
+            h = h[:-size] * turn + h[size:] if len(h) > size else h[:0]
             size, k = size * 2, k + 1
     n = max(0, len(buf) - width + 1)
-    out, at = np.zeros(n, np.uint64), 0
-    for size, h in parts:
-        out = K.pair_hash(out, h[at : at + n])
+    (at, out), *rest = parts
+    out = out[:n]
+    for size, h in rest:
+        out = out * np.uint64(0xD6E8FEB86659FD93) + h[at : at + n]
         at += size
-    return out
+    return K.mix(out)
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -69,14 +75,45 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     h = rolling(buf, gram)
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    room = np.repeat(offsets[1:], np.diff(offsets))[: len(h)] - np.arange(len(h))
-    h = np.where(room >= gram, h, _NONE)
+    for end in offsets[1:-1]:  # grams that cross rows
+        h[max(end - gram + 1, 0) : end] = _NONE
     least = _slide(h, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     chosen = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h) & (h != _NONE))
     return chosen, h[chosen]
 
 
+def owned(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, row, start, end of each fingerprint: the strings of ``length`` bytes that begin in [start, end) own it.
+
+    A string owns its least gram, the leftmost of equal ones, so the strings of a row are shared out in order.
+    """
+    at, h = fingerprints(buf, offsets, length, gram)
+    if not len(at):
+        return h, at, at, at
+    row = np.searchsorted(offsets, at, "right") - 1
+    new = np.append(True, row[1:] != row[:-1])
+    low = offsets[row]
+    limit = np.maximum(offsets[row + 1] - length + 1, low)
+    before, before_h = np.append(0, at[:-1]), np.append(_NONE, h[:-1])
+    start = np.where(h < before_h, at - (length - gram), before + 1)  # a smaller gram rules from its entry on
+    start = np.minimum(np.maximum(np.where(new, low, start), low), limit)
+    start = np.minimum.accumulate(start[::-1])[::-1]
+    end = np.where(np.append(new[1:], True), limit, np.append(start[1:], 0))
+    keep = end > start
+    return h[keep], row[keep], start[keep], end[keep]
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Byte-balanced slices; a binary column counts as its bytes."""
+    col = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_binary(col.type):
+        col = pa.Array.from_buffers(pa.string(), len(col), col.buffers(), offset=col.offset)
+    buf, offsets = K.text_buffer(col)
+    for i, j in K.row_slices(offsets, SLICE_BYTES):
+        yield batch.slice(i, j - i), buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str, int]:
     """Folder and bucket bits of sorted arrays of the fingerprints that occur in two rows of ``texts`` (column text, string or binary)."""
     bits = max(3, (max(texts.rdd.getNumPartitions(), 1) - 1).bit_length())
@@ -85,7 +122,7 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
 
     def flush(held):
         keys, row = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((row, keys))
+        order = np.argsort(keys, kind="stable")  # rows stay in order
         keys, row = keys[order], row[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         last = np.append(at[1:], len(keys)) - 1
@@ -98,7 +135,7 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, 0
         for batch in batches:
-            for part, buf, offsets in _slices(batch, 0):
+            for part, buf, offsets in _slices(batch, "text"):
                 at, h = fingerprints(buf, offsets, length, gram)
                 held.append((h, np.searchsorted(offsets, at, "right") - 1 + seen))
                 seen, size = seen + part.num_rows, size + len(h)
@@ -128,21 +165,11 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
             yield done()
 
     dealt = texts.select("text").mapInArrow(count, schema_of(bucket="int", once="binary", often="binary")).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    dealt.mapInArrow(merge, schema_of(bucket="int")).count()
+    with freed_shuffles(texts.sparkSession):
+        dealt.mapInArrow(merge, schema_of(bucket="int")).count()
     return folder, bits
 
 
-def _slices(batch: pa.RecordBatch, at: int):
-    """Byte-balanced slices; a binary column counts as its bytes."""
-    col = batch.column(at)
-    if pa.types.is_binary(col.type):
-        buf, offsets = K.text_buffer(pa.Array.from_buffers(pa.string(), len(col), col.buffers(), offset=col.offset))
-    else:
-        buf, offsets = K.text_buffer(col)
-    for i, j in K.row_slices(offsets, SLICE_BYTES):
-        yield batch.slice(i, j - i), buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-
-
 class _Repeated:
     def __init__(self, folder: str, bits: int):
         self.folder, self.shift, self.maps = folder, np.uint64(64 - bits), {}
@@ -163,270 +190,277 @@ class _Repeated:
         return out[back]
 
 
+class _Sent:
+    """Which contents a task has sent already; forgetting some only sends them again."""
+
+    def __init__(self):
+        self.seen: set = set()
+
+    def once(self, keys: list, make) -> list[bytes | None]:
+        out: list[bytes | None] = []
+        for i, k in enumerate(keys):
+            if k in self.seen:
+                out.append(None)
+            else:
+                self.seen.add(k)
+                out.append(make(i))
+        if len(self.seen) > SENT:
+            self.seen = set()
+        return out
+
+
 def pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, at, windows, hash, content: content-cut pieces of the stretches of ``texts`` (key, text) that can repeat.
+    """key, at, n, hash, content: content-cut pieces of the stretches of ``texts`` (key, text) that can repeat.
 
-    A piece holds every string of ``length`` bytes that starts at its first ``windows`` bytes.
+    A piece holds every string of ``length`` bytes that starts at its first ``n`` bytes. Each task sends the content
+    of equal pieces once (null otherwise).
     """
     folder, bits = repeated_fingerprints(texts.select("text"), length, gram)
     id_type = texts.schema["key"].dataType.simpleString()
-    cut_mask = np.uint64((1 << CUT_BITS) - 1)
+    mask = np.uint64((1 << CUT_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = _Repeated(folder, bits)
+        repeated, sent = _Repeated(folder, bits), _Sent()
         for batch in batches:
-            for part, buf, offsets in _slices(batch, 1):
-                at, h = fingerprints(buf, offsets, length, gram)
+            for part, buf, offsets in _slices(batch, "text"):
+                h, row, start, end = owned(buf, offsets, length, gram)
                 hit = repeated.known(h)
-                at, h = at[hit], h[hit]
-                row = np.searchsorted(offsets, at, "right") - 1
-                # strings that hold the fingerprint start in [at + gram - length, at]
-                low, high = np.maximum(at + gram - length, offsets[row]), np.minimum(at, offsets[row + 1] - length)
-                ok = high >= low
-                low, high, row, at, h = low[ok], high[ok], row[ok], at[ok], h[ok]
-                if not len(low):
+                h, row, start, end = h[hit], row[hit], start[hit], end[hit]
+                if not len(h):
                     continue
-                fresh = np.append(True, (low[1:] > np.maximum.accumulate(high)[:-1] + 1) | (row[1:] != row[:-1]))
-                first = np.flatnonzero(fresh)
-                start, stop = low[first], np.maximum.reduceat(high, first) + 1
-                inner = at[(h & cut_mask) == 0]
-                edges = np.unique(np.concatenate([start, inner[(np.searchsorted(start, inner, "right") > 0)]]))
-                seg = np.searchsorted(start, edges, "right") - 1
-                keep = edges < stop[seg]
-                edges, seg = edges[keep], seg[keep]
-                ends = np.minimum(np.append(edges[1:], stop[-1]), stop[seg])
-                times = -(-(ends - edges) // MOST_WINDOWS)
-                begin = np.repeat(edges, times) + MOST_WINDOWS * (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times))
-                end = np.minimum(begin + MOST_WINDOWS, np.repeat(ends, times))
-                of = np.searchsorted(offsets, begin, "right") - 1
-                content = [buf[b : e + length - 1].tobytes() for b, e in zip(begin.tolist(), end.tolist())]
+                cut = np.append(True, (start[1:] != end[:-1]) | (row[1:] != row[:-1]) | ((h[1:] & mask) == 0) & (h[1:] != h[:-1]))
+                within = np.arange(len(h)) - np.flatnonzero(cut)[np.cumsum(cut) - 1]
+                first = np.flatnonzero(within % MOST_GRAMS == 0)
+                b, e, of = start[first], end[np.append(first[1:], len(h)) - 1], row[first]
+                where = list(zip(b.tolist(), (e + length - 1).tolist()))
+                whole = buf.tobytes()
+                hashes = [hashlib.blake2b(whole[i:j], digest_size=16).digest() for i, j in where]
+                content = sent.once(hashes, lambda k: whole[slice(*where[k])])  # noqa: B023
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(of)), pa.array(begin - offsets[of]), pa.array(end - begin), pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in content], pa.binary()), pa.array(content, pa.binary())],
-                    names=["key", "at", "windows", "hash", "content"],
+                    [part.column(0).take(pa.array(of)), pa.array(b - offsets[of]), pa.array((e - b).astype(np.int32)), pa.array(hashes, pa.binary()), pa.array(content, pa.binary())],
+                    names=["key", "at", "n", "hash", "content"],
                 )
 
-    return texts.select("key", "text").mapInArrow(run, schema_of(key=id_type, at="bigint", windows="bigint", hash="binary", content="binary"))
-
-
-def _symbols(content: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 8-byte big-endian symbol at each place (zeros behind the end), as order-keeping signed integers."""
-    b = np.frombuffer(content + bytes(16 * SYMBOL), np.uint8)
-    w = np.zeros(n + 2 * SYMBOL, np.uint64)
-    for k in range(SYMBOL):
-        w = w << np.uint64(8) | b[k : k + len(w)]
-    return w, (w ^ np.uint64(1 << 63)).view(np.int64)
+    return texts.select("key", "text").mapInArrow(run, schema_of(key=id_type, at="bigint", n="int", hash="binary", content="binary"))
 
 
-def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            for r in batch.slice(k, 4096).to_pylist():
-                if held and r["sid"] != held[0]["sid"]:
-                    yield held
-                    held = []
-                held.append(r)
-    if held:
-        yield held
-
-
-def _named(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """pos, name: order-keeping names of the keys, from a range partitioning and a sort inside each part."""
+def shared_grams(distinct: DataFrame, length: int, gram: int) -> DataFrame:
+    """sid, owner, place, n, h, c, content: the fingerprints that occur in two of the ``distinct`` pieces (sid, owner,
+    text), the first and the number of the strings that own them, and their context (c: its hash, content: once a task)."""
+    folder, bits = repeated_fingerprints(distinct.select("text"), length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, last, n = np.int64(TaskContext.get().partitionId()) << 36, None, 0
+        repeated, sent = _Repeated(folder, bits), _Sent()
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(len(keys))]
-            if not batch.num_rows:
-                continue
-            new = np.append(last is None or any(c[0] != x for c, x in zip(cols, last)), np.any([c[1:] != c[:-1] for c in cols], axis=0))
-            name = n + np.cumsum(new)
-            n, last = int(name[-1]), [c[-1] for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column(len(keys)), pa.array(base + name)], names=["pos", "name"])
-
-    return df.select(*keys, "pos").repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema_of(pos="bigint", name="bigint"))
-
-
-def _gathered(named: DataFrame, parts: int) -> DataFrame:
-    """sid, places, names: the names of a piece together (a piece has at most MOST_WINDOWS places)."""
-    sid = F.shiftright("pos", _PLACE_BITS).alias("sid")
-    return named.repartition(parts, sid).groupBy(sid).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").bitwiseAND((1 << _PLACE_BITS) - 1).alias("p"), "name"))).alias("x")).select("sid", F.col("x.p").alias("places"), F.col("x.name").alias("names"))
-
-
-def least_owners(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
-    """sid, place, owner: the least owner of the string at each place that occurs in pieces of different owners.
-
-    ``distinct`` has sid (long, below 2**50), owner, windows and content.
-    """
-    parts = max(8, distinct.rdd.getNumPartitions() * 2)
-    owner_type = distinct.schema["owner"].dataType.simpleString()
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                p = np.arange(r["windows"] + 8 * SYMBOL)  # as far as names of names reach
-                p = p[p // SYMBOL % 3 != 0]
-                _, w = _symbols(r["content"], r["windows"] + 8 * SYMBOL)
-                yield pa.RecordBatch.from_pydict({"w0": w[p], "w1": w[p + SYMBOL], "w2": w[p + 2 * SYMBOL], "pos": (r["sid"] << _PLACE_BITS) | p})
-
-    def name_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                p, name = np.array(r["places"]), np.zeros(1 << _PLACE_BITS, np.int64)
-                name[p] = r["names"]
-                p = p[p < r["windows"] + 2 * SYMBOL]
-                yield pa.RecordBatch.from_pydict({"w0": name[p], "w1": name[p + 3 * SYMBOL], "w2": name[p + 6 * SYMBOL], "pos": (r["sid"] << _PLACE_BITS) | p})
-
-    def with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                n = r["windows"]
-                p, rank = np.arange(n), np.zeros(n + 4 * SYMBOL, np.int64)
-                if r["places"]:
-                    rank[np.array(r["places"])] = r["names"]
-                _, w = _symbols(r["content"], n)
-                kind = p // SYMBOL % 3
-                prefix = rolling(np.frombuffer(r["content"], np.uint8), length)[:n].view(np.int64)
+            for part, buf, offsets in _slices(batch, "text"):
+                h, row, start, end = owned(buf, offsets, length, gram)
+                hit = repeated.known(h)
+                h, row, start, end = h[hit], row[hit], start[hit], end[hit]
+                if not len(h):
+                    continue
+                whole, strings = buf.tobytes(), rolling(buf, length)
+                c = K.pair_hash(strings[start], strings[end - 1])  # both strings together are the whole context
+                where = list(zip(start.tolist(), (end + length - 1).tolist()))
+                content = sent.once(list(zip(h.tolist(), c.tolist())), lambda k: whole[slice(*where[k])])  # noqa: B023
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (w[p], w[p + SYMBOL], np.where(kind == 0, rank[p + SYMBOL], rank[p]), np.where(kind == 1, rank[p + SYMBOL], rank[p + 2 * SYMBOL]), prefix, (r["sid"] << _PLACE_BITS) | p)] + [pa.array([r["owner"]] * n, batch.schema.field("owner").type)],
-                    names=["w0", "w1", "a", "b", "prefix", "pos", "owner"],
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array((start - offsets[row]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(content, pa.binary())],
+                    names=["sid", "owner", "place", "n", "h", "c", "content"],
                 )
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_keys(batches):
-            w0, w1, a, b, prefix, pos = (t.column(i).to_numpy() for i in range(6))
-            order = _merged(w0, w1, a, b, (pos & ((1 << _PLACE_BITS) - 1)) // SYMBOL % 3)
-            prefix = prefix[order]
-            at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))  # neighbours compared by their prefixes
-            size = np.diff(np.append(at, len(prefix)))
-            owner = t.column(6).to_numpy()[order]
-            least = np.repeat(np.minimum.reduceat(owner, at), size)
-            other = least < owner
-            if other.any():
-                p = pos[order][other]
-                yield pa.RecordBatch.from_arrays([pa.array(p >> _PLACE_BITS), pa.array(p & ((1 << _PLACE_BITS) - 1)), pa.array(least[other])], names=["sid", "place", "owner"])
-
-    triple = schema_of(w0="bigint", w1="bigint", w2="bigint", pos="bigint")
-    keys = ["w0", "w1", "w2"]
-    sampled = _named(distinct.select("sid", "windows", "content").mapInArrow(sample, triple), keys, parts)
-    sizes = distinct.select("sid", "windows")
-    again = _named(_gathered(sampled, parts).join(sizes, "sid").mapInArrow(name_triples, triple), keys, parts)
-    ranks = _gathered(again, parts)
-    full = distinct.join(ranks, "sid", "left").select("sid", "owner", "windows", "content", "places", "names")
-    rows = full.mapInArrow(with_ranks, schema_of(w0="bigint", w1="bigint", a="bigint", b="bigint", prefix="bigint", pos="bigint", owner=owner_type))
-    return rows.repartitionByRange(parts, "w0", "w1").sortWithinPartitions("w0", "w1").mapInArrow(merge, schema_of(sid="bigint", place="bigint", owner=owner_type))
-
-
-def _merged(w0, w1, a, b, kind) -> np.ndarray:
-    """Suffix order of one part. Kind 0 carries the ranks 8 (a) and 16 (b) bytes on; kinds 1 and 2 their own rank (a)
-    and the rank 8 bytes on (kind 1) or 16 bytes on (kind 2) as b."""
-    zero, one, two = (np.flatnonzero(kind == k) for k in range(3))
-    cover = np.concatenate([one, two])
-    cover = cover[np.lexsort((a[cover], w1[cover], w0[cover]))]
-    place = np.empty(len(kind), np.int64)
-    place[cover] = np.arange(len(cover))
-    zero = zero[np.lexsort((b[zero], a[zero], w1[zero], w0[zero]))]
-
-    def before(sample, mine, theirs):
-        """How many of the sample lie before each kind-0 suffix."""
-        both = np.concatenate([sample, zero])
-        key = np.concatenate([theirs[sample], mine[zero]])
-        order = np.lexsort((np.arange(len(both)) < len(sample), key, w1[both], w0[both]))
-        is_sample = order < len(sample)
-        count = np.cumsum(is_sample)
-        out = np.empty(len(zero), np.int64)
-        out[order[~is_sample] - len(sample)] = count[~is_sample]
-        return out
+    return distinct.select("sid", "owner", "text").mapInArrow(run, schema_of(sid="bigint", owner="bigint", place="int", n="int", h="bigint", c="bigint", content="binary"))
+
 
-    smaller = before(one, a, b) + before(two, b, b)
-    order = np.empty(len(kind), np.int64)
+def symbols(text: np.ndarray) -> np.ndarray:
+    """The 8-byte big-endian symbol at each place, zeros behind the end."""
+    b = np.concatenate([text, np.zeros(SYMBOL, np.uint8)])
+    w = np.zeros(len(text), np.uint64)
+    for k in range(SYMBOL):
+        w = w << np.uint64(8) | b[k : k + len(w)]
+    return w
+
+
+def _name(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Order-keeping names from 1 on, and how many there are."""
+    every, back = np.unique(key, return_inverse=True)
+    return back + 1, len(every)
+
+
+def suffix_order(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of ``places`` in the order of their suffixes (as far as ``length`` bytes), and which differ from the one before."""
+    n, w = len(text), symbols(text)
+    if n >= 1 << _BITS:
+        raise ValueError("too long to be sorted in one task")
+    pad = np.zeros(2 * max(3 * length, 3 * SYMBOL), np.int64)
+    first = np.concatenate([_name(w)[0], pad])
+    kind = np.arange(n) // SYMBOL % 3
+    sample = np.flatnonzero(kind != 0)
+    name, step = first, SYMBOL
+    while True:  # triples of symbols, then of names
+        key = (name[sample] << (2 * _BITS)) | (name[sample + step] << _BITS) | name[sample + 2 * step]
+        mine, many = _name(key)
+        name = np.concatenate([np.zeros(n, np.int64), pad])
+        name[sample] = mine
+        step *= 3
+        if step >= length or many == len(sample):
+            break
+    zero, one, two = (np.flatnonzero(kind[places] == k) for k in range(3))
+    pair = lambda i: (first[places[i]] << _BITS) | name[places[i] + SYMBOL]
+    triple = lambda i: (first[places[i]] << (2 * _BITS)) | (first[places[i] + SYMBOL] << _BITS) | name[places[i] + 2 * SYMBOL]
+    cover = np.concatenate([one, two])
+    cover = cover[np.argsort(name[places[cover]], kind="stable")]
+    at = places[zero]
+    zero = zero[np.lexsort((name[at + 2 * SYMBOL], name[at + SYMBOL], first[at]))]
+    smaller = np.searchsorted(np.sort(pair(one)), pair(zero)) + np.searchsorted(np.sort(triple(two)), triple(zero))
+    order = np.empty(len(places), np.int64)
     spot = smaller + np.arange(len(zero))
     order[spot] = zero
-    free = np.ones(len(kind), bool)
+    free = np.ones(len(places), bool)
     free[spot] = False
     order[free] = cover
-    return order
+    p = places[order]
+    new = np.ones(len(places), bool)
+    new[1:] = np.any([w[p[1:] + k] != w[p[:-1] + k] for k in [*range(0, length - SYMBOL, SYMBOL), length - SYMBOL]], axis=0)
+    return order, new
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The sorted rows in tables that never split equal (w0, w1)."""
+def _whole_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about SORTED_BYTES of contexts that never part the rows of one fingerprint; rows come sorted by it."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        w0, w1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cut = np.flatnonzero((w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1])) + 1
-        if held:
-            last = held[-1]
-            if w0[0] != last.column(0)[-1].as_py() or w1[0] != last.column(1)[-1].as_py():
+        h = batch.column(0).to_numpy()
+        sizes = np.cumsum(np.diff(np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset : batch.column(3).offset + len(h) + 1]))
+        begin = 0
+        for k in np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)) if len(h) else []:
+            if size and held and held[-1].column(0)[-1].as_py() != int(h[begin]) and size >= SORTED_BYTES:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-        if len(cut):
-            held.append(batch.slice(0, cut[-1]))
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-            batch = batch.slice(cut[-1])
-        held.append(batch)
+                held, size = [], 0
+            held.append(batch.slice(begin, k - begin))
+            size += int(sizes[k - 1] - (sizes[begin - 1] if begin else 0))
+            begin = int(k)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, fp, spans: sorted, merged (start, end) byte spans of each text that strings of smaller doc_ids cover.
+def sorted_contexts(contexts: DataFrame, length: int) -> DataFrame:
+    """h, c, owner, first, n of ``contexts`` (h, c, owner, content): arrays of the runs of their strings that a smaller owner has."""
+    parts = max(8, 2 * contexts.rdd.getNumPartitions())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_grams(batches):
+            h, owner = t.column(0).to_numpy(), t.column(2).to_numpy()
+            same = np.append(h[1:] == h[:-1], False)
+            several = np.flatnonzero(same | np.append(False, same[:-1]))  # a lone context has no other owner
+            content = [t.column(3)[int(i)].as_py() for i in several]
+            begin = np.cumsum([0, *map(len, content)])
+            n = np.diff(begin) - (length - 1)
+            heads = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(several)), n)
+            first, many, counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(len(h), np.int64)
+            if len(several):
+                places = begin[of] + np.arange(len(of)) - heads[of]
+                order, new = suffix_order(np.frombuffer(b"".join(content), np.uint8), places, length)
+                mine = owner[several][of]
+                at = np.flatnonzero(new)
+                least = np.empty(len(of), np.int64)
+                least[order] = np.repeat(np.minimum.reduceat(mine[order], at), np.diff(np.append(at, len(of))))
+                less = least < mine
+                begins = np.flatnonzero(less & ~(np.append(False, less[:-1]) & np.append(False, of[1:] == of[:-1])))
+                ends = np.flatnonzero(less & ~(np.append(less[1:], False) & np.append(of[1:] == of[:-1], False))) + 1
+                first, many = (begins - heads[of[begins]]).astype(np.int32), (ends - begins).astype(np.int32)
+                counts[several] = np.bincount(of[begins], minlength=len(several))
+            lists = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks() for i in range(3)), pa.ListArray.from_arrays(lists, pa.array(first)), pa.ListArray.from_arrays(lists, pa.array(many))], names=["h", "c", "owner", "first", "n"])
+
+    dealt = contexts.select("h", "c", "owner", "content").repartition(parts, "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, schema_of(h="bigint", c="bigint", owner="bigint", first="array<int>", n="array<int>"))
+
+
+def counted_contexts(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for fingerprints with very many contexts: each string on its own, with the least owner by a plain aggregate."""
+    places = F.sequence(F.lit(1), F.octet_length("content") - (length - 1))
+    strings = contexts.select("h", "c", "owner", F.posexplode(F.transform(places, lambda i: F.substring("content", i, F.lit(length)))).alias("first", "string"))
+    least = strings.groupBy("string").agg(F.min("owner").alias("least"))
+    less = strings.join(least, "string").where(F.col("least") < F.col("owner")).groupBy("h", "c").agg(F.collect_list("first").alias("first"))
+    found = contexts.select("h", "c", "owner").join(less, ["h", "c"], "left")
+    none = F.array().cast("array<int>")
+    return found.select("h", "c", "owner", F.coalesce("first", none).alias("first"), F.coalesce(F.transform("first", lambda _: F.lit(1)), none).alias("n"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """doc_id, fp, start, end: arrays of the byte spans of each text that strings of smaller doc_ids cover, in no order.
 
     ``fp`` is xxhash64 of the text. Only texts that lose bytes are listed; repeated rows once.
     """
-    gram = max(8, length * GRAM // LENGTH)
-    text = whole_text(docs)
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", F.xxhash64(text).alias("fp")).alias("key"), text.alias("text"))
-    found = saved(pieces(keyed, length, gram), "pieces")
-    distinct = found.groupBy("hash").agg(F.min("key.doc_id").alias("owner"), F.any_value("windows").alias("windows"), F.any_value("content").alias("content"))
-    distinct = saved(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct")
-    shared = least_owners(distinct, length)
-    # a place whose string no smaller owner has elsewhere belongs to the piece's own owner
-    runs = shared.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "owner"))).alias("less"))
-    owners = distinct.join(runs, "sid", "left").select("hash", F.col("owner").alias("piece_owner"), "less")
-    placed = found.select("key", "at", "windows", "hash").join(owners, "hash")
-    own = F.col("key.doc_id") > F.col("piece_owner")
-    mine = F.filter(F.coalesce("less", F.array().cast("array<struct<place:bigint,owner:bigint>>")), lambda x: x["owner"] < F.col("key.doc_id"))
-    starts = F.when(own, F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("windows") + (length - 1)).alias("end")))).otherwise(F.transform(mine, lambda x: F.struct((F.col("at") + x["place"]).alias("start"), (F.col("at") + x["place"] + length).alias("end"))))
-    hits = placed.select("key", _merge_spans(starts).alias("s")).where(F.size("s") > 0)
-    joined = hits.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
-    return joined.select("key.doc_id", "key.fp", _merge_spans(F.col("s")).alias("spans"))
-
-
-def _merge_spans(spans):
-    """Sorted (start, end) spans with touching and overlapping ones joined."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"])
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    return F.aggregate(spans, empty, add)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans, kept (binary) of every row of ``docs``.
+    if not SYMBOL <= length <= 1 << 14:
+        raise ValueError(f"length must be {SYMBOL} to {1 << 14} bytes")
+    gram, text = max(4, length * GRAM // LENGTH), whole_text(docs)
+    work = Work(docs.sparkSession)
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("fp")).alias("key"), text.alias("text"))
+    found = work.saved(pieces(keyed, length, gram), "pieces")
+    distinct = found.groupBy("hash").agg(F.min("key.doc_id").alias("owner"), F.max("content").alias("text"))
+    distinct = work.saved(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct")
+    grams = work.saved(shared_grams(distinct, length, gram), "grams")
+    contexts = work.saved(grams.groupBy("h", "c").agg(F.min("owner").alias("owner"), F.max("content").alias("content")), "contexts")
+    hot = contexts.groupBy("h").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > hot_bytes).select("h")
+    hot = work.saved(hot, "hot")
+    settled = sorted_contexts(contexts.join(hot, "h", "left_anti"), length).unionByName(counted_contexts(contexts.join(hot, "h", "left_semi"), length))
+    settled = work.saved(settled, "settled")
+    work.drop("contexts", "hot")
+    joined = grams.select("sid", F.col("owner").alias("mine"), "place", F.col("n").alias("strings"), "h", "c").join(settled, ["h", "c"])
+    whole = F.col("owner") < F.col("mine")
+    first = F.when(whole, F.array("place")).otherwise(F.transform("first", lambda x: x + F.col("place")))
+    joined = joined.select("sid", first.alias("first"), F.when(whole, F.array("strings")).otherwise(F.col("n")).alias("n")).where(F.size("first") > 0)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    less = joined.groupBy("sid").agg(flat("first"), flat("n"))  # a piece has MOST_GRAMS fingerprints at most
+    owners = work.saved(distinct.select("sid", "hash", F.col("owner").alias("mine")).join(less, "sid", "left").drop("sid"), "owners")
+    work.drop("distinct", "grams", "settled")
+    placed = found.select("key", "at", F.col("n").alias("strings"), "hash").join(owners, "hash")
+    whole = F.col("key.doc_id") > F.col("mine")
+    starts = F.when(whole, F.array("at")).otherwise(F.transform("first", lambda x: x + F.col("at")))
+    sizes = F.when(whole, F.array("strings")).otherwise(F.col("n"))
+    placed = placed.select("key", starts.alias("start"), F.zip_with(starts, sizes, lambda s, n: s + n + (length - 1)).alias("end")).where(F.size("start") > 0)
+    spans = work.saved(placed.groupBy("key").agg(flat("start"), flat("end")).select("key.doc_id", "key.fp", "start", "end"), "spans")
+    work.drop("pieces", "owners")
+    return spans
+
+
+def _merged(start: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted spans with touching and overlapping ones joined."""
+    s, e = np.array(start, np.int64), np.array(end, np.int64)
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    new = np.append(True, s[1:] > e[:-1])
+    return s[new], e[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs`` (integer doc_id, text).
 
     Null texts count as empty; rows with a null doc_id keep all their bytes and take none from others; rows of one
     doc_id take nothing from each other, whatever their texts; an empty table gives none; other columns are ignored.
+    ``length`` may be 8 to 16384 bytes; contexts of a fingerprint beyond ``hot_bytes`` are settled string by string.
     """
-    spans = repeated_spans(docs, length).withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
+    spans = repeated_spans(docs, length, hot_bytes).withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
     rows = docs.select("doc_id", whole_text(docs).alias("text"))
-    joined = rows.join(spans, (rows["doc_id"] == spans["s_id"]) & (F.xxhash64(rows["text"]) == spans["s_fp"]), "left").select("doc_id", F.col("text").cast("binary").alias("content"), "spans.start", "spans.end")
+    joined = rows.join(spans, (rows["doc_id"].cast("bigint") == spans["s_id"]) & (F.xxhash64(rows["text"]) == spans["s_fp"]), "left").select("doc_id", F.col("text").cast("binary").alias("content"), "start", "end")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 kept, sizes, removed, number = [], [], [], []
-                for content, start, end in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    start, end = start or [], end or []
-                    bounds = [0, *(x for pair in zip(start, end) for x in pair), len(content)]
+                for content, start, end in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    start, end = _merged(start, end) if start else ((), ())
+                    bounds = [0, *(int(x) for pair in zip(start, end) for x in pair), len(content)]
                     kept.append(b"".join(content[i:j] for i, j in zip(bounds[::2], bounds[1::2])))
                     sizes.append(len(content)), removed.append(len(content) - len(kept[-1])), number.append(len(start))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, number)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(cut, schema_of(doc_id=docs.schema["doc_id"].dataType.simpleString(), n_bytes="bigint", n_removed="bigint", n_spans="bigint", kept="binary"))
+
+
+def kept_digest(kept: Column) -> Column:
+    """Lowercase hex SHA-256 of the remaining bytes."""
+    return F.sha2(kept, 256)
