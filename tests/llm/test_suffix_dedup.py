@@ -55,7 +55,7 @@ def test_against_brute_force(spark, length):
 
 
 def test_fingerprints_with_very_many_contexts_go_string_by_string(spark):
-    _check(spark, _rows(), 50, hot_bytes=200)
+    _check(spark, _rows(), 50, hot_rows=3)
 
 
 def test_many_small_sorts(spark, monkeypatch):

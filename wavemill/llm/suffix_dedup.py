@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,33 +32,36 @@ LENGTH = 50
 SLICE_BYTES = 512 << 10
 #: Fingerprints cover this many of LENGTH bytes; a piece ends at one in 2**CUT_BITS of them or after MOST_GRAMS.
 GRAM, CUT_BITS, MOST_GRAMS, HELD = 24, 3, 128, 1 << 19
-#: Bytes of contexts that are sorted together, and beyond which the contexts of one fingerprint go string by string.
-SORTED_BYTES, HOT_BYTES = 1 << 19, 1 << 19
+#: Bytes of contexts that are sorted together, and pieces that share a fingerprint beyond which it goes string by string.
+SORTED_BYTES, HOT_ROWS = 1 << 19, 4096
 #: Hashes whose contents a task remembers to have sent.
 SENT = 1 << 19
 SYMBOL, _BITS = 8, 21
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE, _STEP = np.uint32(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
-def rolling(buf: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` bytes at each place, by doubling."""
-    parts, h, size, k = [], K.mix(np.arange(256, dtype=np.uint64) + np.uint64(7))[buf], 1, 0
+def rolling(buf: np.ndarray, width: int, kind: type = np.uint64) -> np.ndarray:
+    """A hash of the ``width`` bytes at each place, by doubling, in 32 or 64 bits."""
+    parts, h, size, k = [], K.mix(np.arange(256, dtype=np.uint64) + np.uint64(7)).astype(kind)[buf], 1, 0
     left = width
     while left:
         if left & size:
             parts.append((size, h))
             left -= size
         if left:
-            turn = K.mix(np.array([k + 1], np.uint64))[0] | np.uint64(1)
+            turn = K.mix(np.array([k + 1], np.uint64)).astype(kind)[0] | kind(1)
             h = h[:-size] * turn + h[size:] if len(h) > size else h[:0]
             size, k = size * 2, k + 1
     n = max(0, len(buf) - width + 1)
     (at, out), *rest = parts
     out = out[:n]
     for size, h in rest:
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[at : at + n]
+        out = out * kind(0x85EBCA6B) + h[at : at + n]
         at += size
-    return K.mix(out)
+    if kind is np.uint64:
+        return K.mix(out)
+    out = (out ^ (out >> kind(15))) * kind(0x2C1B3C6D)
+    return out ^ (out >> kind(13))
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -69,18 +73,27 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def fingerprints(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of winnowed grams: every ``length`` bytes of a text hold one that only depends on them."""
+def fingerprints(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and ranks of winnowed grams: every ``length`` bytes of a text hold one that only depends on them.
+
+    The least rank (32 bits, equal for equal grams) is chosen; the hash (64 bits) tells the chosen grams apart.
+    """
     width = length - gram + 1
-    h = rolling(buf, gram)
+    h = rolling(buf, gram, np.uint32)
     if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    np.minimum(h, _NONE - np.uint32(1), out=h)
     for end in offsets[1:-1]:  # grams that cross rows
         h[max(end - gram + 1, 0) : end] = _NONE
     least = _slide(h, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h) & (h != _NONE))
-    return chosen, h[chosen]
+    pad = np.zeros(width - 1, np.uint32)
+    at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h) & (h != _NONE))
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(gram):
+        keys = keys * _STEP + buf[at + k]
+        if k % 8 == 7:
+            keys = K.mix(keys)
+    return at, K.mix(keys), h[at]
 
 
 def owned(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +101,15 @@ def owned(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
 
     A string owns its least gram, the leftmost of equal ones, so the strings of a row are shared out in order.
     """
-    at, h = fingerprints(buf, offsets, length, gram)
+    at, h, rank = fingerprints(buf, offsets, length, gram)
     if not len(at):
         return h, at, at, at
     row = np.searchsorted(offsets, at, "right") - 1
     new = np.append(True, row[1:] != row[:-1])
     low = offsets[row]
     limit = np.maximum(offsets[row + 1] - length + 1, low)
-    before, before_h = np.append(0, at[:-1]), np.append(_NONE, h[:-1])
-    start = np.where(h < before_h, at - (length - gram), before + 1)  # a smaller gram rules from its entry on
+    before, before_rank = np.append(0, at[:-1]), np.append(_NONE, rank[:-1])
+    start = np.where(rank < before_rank, at - (length - gram), before + 1)  # a smaller gram rules from its entry on
     start = np.minimum(np.maximum(np.where(new, low, start), low), limit)
     start = np.minimum.accumulate(start[::-1])[::-1]
     end = np.where(np.append(new[1:], True), limit, np.append(start[1:], 0))
@@ -136,7 +149,7 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
         held, size, seen = [], 0, 0
         for batch in batches:
             for part, buf, offsets in _slices(batch, "text"):
-                at, h = fingerprints(buf, offsets, length, gram)
+                at, h, _ = fingerprints(buf, offsets, length, gram)
                 held.append((h, np.searchsorted(offsets, at, "right") - 1 + seen))
                 seen, size = seen + part.num_rows, size + len(h)
                 if size >= HELD:
@@ -324,71 +337,97 @@ def suffix_order(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.
     return order, new
 
 
-def _whole_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of about SORTED_BYTES of contexts that never part the rows of one fingerprint; rows come sorted by it."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _whole_grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Tables of about SORTED_BYTES of contexts (``width`` bytes each at most) that never part the rows of one
+    fingerprint; rows come sorted by it."""
+    rest, many = None, max(1, SORTED_BYTES // width)
     for batch in batches:
-        h = batch.column(0).to_numpy()
-        sizes = np.cumsum(np.diff(np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset : batch.column(3).offset + len(h) + 1]))
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not t.num_rows:
+            continue
+        h = t.column("h").to_numpy()
+        ends = np.flatnonzero(h[1:] != h[:-1]) + 1
         begin = 0
-        for k in np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)) if len(h) else []:
-            if size and held and held[-1].column(0)[-1].as_py() != int(h[begin]) and size >= SORTED_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-            held.append(batch.slice(begin, k - begin))
-            size += int(sizes[k - 1] - (sizes[begin - 1] if begin else 0))
-            begin = int(k)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        while True:
+            k = np.searchsorted(ends, begin + many)
+            if k == len(ends):
+                break
+            yield t.slice(begin, int(ends[k]) - begin).combine_chunks()
+            begin = int(ends[k])
+        rest = t.slice(begin)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
+def _texts(column: pa.ChunkedArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of some rows of a binary column."""
+    col = column.take(pa.array(rows)).combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    return K.text_buffer(pa.Array.from_buffers(pa.string(), len(col), col.buffers(), offset=col.offset))
+
+
+def _settled(h: np.ndarray, c: np.ndarray, mine: np.ndarray, place: np.ndarray, n: np.ndarray, content: pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first, n: the runs of strings of each row (sorted by h, c) that a smaller owner than the row's has."""
+    head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    owner, gram = np.minimum.reduceat(mine, head), h[head]
+    same = np.append(gram[1:] == gram[:-1], False)
+    several = np.flatnonzero(same | np.append(False, same[:-1]))  # a lone context has no other owner
+    sent = np.flatnonzero(np.asarray(content.is_valid()))
+    counts, first, many = np.zeros(len(head), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(several):
+        text, begin = _texts(content, sent[np.searchsorted(sent, head[several])])
+        sizes = np.diff(begin) - (length - 1)
+        heads = np.cumsum(sizes) - sizes
+        whose = np.repeat(np.arange(len(several)), sizes)
+        order, new = suffix_order(text, begin[whose] + np.arange(len(whose)) - heads[whose], length)
+        own = owner[several][whose]
+        at = np.flatnonzero(new)
+        least = np.empty(len(whose), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(own[order], at), np.diff(np.append(at, len(whose))))
+        less = least < own
+        joined = less[1:] & less[:-1] & (whose[1:] == whose[:-1])
+        begins, ends = np.flatnonzero(less & ~np.append(False, joined)), np.flatnonzero(less & ~np.append(joined, False)) + 1
+        first, many = begins - heads[whose[begins]], ends - begins
+        counts[several] = np.bincount(whose[begins], minlength=len(several))
+    whole = owner[of] < mine
+    base = np.cumsum(counts) - counts
+    part = np.flatnonzero(~whole & (counts[of] > 0))
+    times = counts[of[part]]
+    pick = np.repeat(base[of[part]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    rows = np.concatenate([np.flatnonzero(whole), np.repeat(part, times)])
+    return rows, np.concatenate([place[whole], place[np.repeat(part, times)] + first[pick]]), np.concatenate([n[whole], many[pick]])
+
+
+def sorted_grams(grams: DataFrame, length: int, gram: int) -> DataFrame:
+    """sid, first, n: the runs of strings in each piece that a smaller owner than the piece's has, by suffix sorting."""
+    parts = max(8, 2 * grams.rdd.getNumPartitions())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_grams(batches, 2 * length - gram):
+            h, c, mine, place, n = (t.column(x).to_numpy() for x in ("h", "c", "owner", "place", "n"))
+            rows, first, many = _settled(h, c, mine, place.astype(np.int64), n.astype(np.int64), t.column("content"), length)
+            yield pa.RecordBatch.from_arrays([t.column("sid").combine_chunks().take(pa.array(rows)), pa.array(first), pa.array(many)], names=["sid", "first", "n"])
 
-def sorted_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """h, c, owner, first, n of ``contexts`` (h, c, owner, content): arrays of the runs of their strings that a smaller owner has."""
-    parts = max(8, 2 * contexts.rdd.getNumPartitions())
+    dealt = grams.repartition(parts, "h").sortWithinPartitions("h", "c")
+    return dealt.mapInArrow(run, schema_of(sid="bigint", first="bigint", n="bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_grams(batches):
-            h, owner = t.column(0).to_numpy(), t.column(2).to_numpy()
-            same = np.append(h[1:] == h[:-1], False)
-            several = np.flatnonzero(same | np.append(False, same[:-1]))  # a lone context has no other owner
-            content = [t.column(3)[int(i)].as_py() for i in several]
-            begin = np.cumsum([0, *map(len, content)])
-            n = np.diff(begin) - (length - 1)
-            heads = np.cumsum(n) - n
-            of = np.repeat(np.arange(len(several)), n)
-            first, many, counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(len(h), np.int64)
-            if len(several):
-                places = begin[of] + np.arange(len(of)) - heads[of]
-                order, new = suffix_order(np.frombuffer(b"".join(content), np.uint8), places, length)
-                mine = owner[several][of]
-                at = np.flatnonzero(new)
-                least = np.empty(len(of), np.int64)
-                least[order] = np.repeat(np.minimum.reduceat(mine[order], at), np.diff(np.append(at, len(of))))
-                less = least < mine
-                begins = np.flatnonzero(less & ~(np.append(False, less[:-1]) & np.append(False, of[1:] == of[:-1])))
-                ends = np.flatnonzero(less & ~(np.append(less[1:], False) & np.append(of[1:] == of[:-1], False))) + 1
-                first, many = (begins - heads[of[begins]]).astype(np.int32), (ends - begins).astype(np.int32)
-                counts[several] = np.bincount(of[begins], minlength=len(several))
-            lists = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks() for i in range(3)), pa.ListArray.from_arrays(lists, pa.array(first)), pa.ListArray.from_arrays(lists, pa.array(many))], names=["h", "c", "owner", "first", "n"])
-
-    dealt = contexts.select("h", "c", "owner", "content").repartition(parts, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, schema_of(h="bigint", c="bigint", owner="bigint", first="array<int>", n="array<int>"))
-
-
-def counted_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for fingerprints with very many contexts: each string on its own, with the least owner by a plain aggregate."""
+
+def counted_grams(grams: DataFrame, length: int) -> DataFrame:
+    """The same for fingerprints that too many pieces share: string by string, with the least owner by a plain aggregate."""
+    contexts = grams.groupBy("h", "c").agg(F.min("owner").alias("owner"), F.max("content").alias("content"))
     places = F.sequence(F.lit(1), F.octet_length("content") - (length - 1))
-    strings = contexts.select("h", "c", "owner", F.posexplode(F.transform(places, lambda i: F.substring("content", i, F.lit(length)))).alias("first", "string"))
+    strings = contexts.select("h", "c", "owner", F.posexplode(F.transform(places, lambda i: F.substring("content", i, F.lit(length)))).alias("at", "string"))
     least = strings.groupBy("string").agg(F.min("owner").alias("least"))
-    less = strings.join(least, "string").where(F.col("least") < F.col("owner")).groupBy("h", "c").agg(F.collect_list("first").alias("first"))
-    found = contexts.select("h", "c", "owner").join(less, ["h", "c"], "left")
-    none = F.array().cast("array<int>")
-    return found.select("h", "c", "owner", F.coalesce("first", none).alias("first"), F.coalesce(F.transform("first", lambda _: F.lit(1)), none).alias("n"))
+    less = strings.join(least, "string").where(F.col("least") < F.col("owner")).groupBy("h", "c").agg(F.collect_list("at").alias("ats"))
+    settled = contexts.select("h", "c", F.col("owner").alias("least")).join(less, ["h", "c"], "left")
+    joined = grams.select("sid", "owner", "place", "n", "h", "c").join(settled, ["h", "c"])
+    one = lambda first, n: F.struct(first.cast("bigint").alias("first"), n.cast("bigint").alias("n"))
+    runs = F.when(F.col("least") < F.col("owner"), F.array(one(F.col("place"), F.col("n")))).otherwise(F.transform("ats", lambda x: one(x + F.col("place"), F.lit(1))))
+    return joined.select("sid", F.explode(runs).alias("x")).select("sid", "x.first", "x.n")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fp, start, end: arrays of the byte spans of each text that strings of smaller doc_ids cover, in no order.
 
     ``fp`` is xxhash64 of the text. Only texts that lose bytes are listed; repeated rows once.
@@ -396,67 +435,65 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_B
     if not SYMBOL <= length <= 1 << 14:
         raise ValueError(f"length must be {SYMBOL} to {1 << 14} bytes")
     gram, text = max(4, length * GRAM // LENGTH), whole_text(docs)
+    hot_rows = min(hot_rows, max(1, 2 * SORTED_BYTES // (2 * length - gram)))
     work = Work(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("fp")).alias("key"), text.alias("text"))
     found = work.saved(pieces(keyed, length, gram), "pieces")
     distinct = found.groupBy("hash").agg(F.min("key.doc_id").alias("owner"), F.max("content").alias("text"))
     distinct = work.saved(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct")
     grams = work.saved(shared_grams(distinct, length, gram), "grams")
-    contexts = work.saved(grams.groupBy("h", "c").agg(F.min("owner").alias("owner"), F.max("content").alias("content")), "contexts")
-    hot = contexts.groupBy("h").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > hot_bytes).select("h")
-    hot = work.saved(hot, "hot")
-    settled = sorted_contexts(contexts.join(hot, "h", "left_anti"), length).unionByName(counted_contexts(contexts.join(hot, "h", "left_semi"), length))
-    settled = work.saved(settled, "settled")
-    work.drop("contexts", "hot")
-    joined = grams.select("sid", F.col("owner").alias("mine"), "place", F.col("n").alias("strings"), "h", "c").join(settled, ["h", "c"])
-    whole = F.col("owner") < F.col("mine")
-    first = F.when(whole, F.array("place")).otherwise(F.transform("first", lambda x: x + F.col("place")))
-    joined = joined.select("sid", first.alias("first"), F.when(whole, F.array("strings")).otherwise(F.col("n")).alias("n")).where(F.size("first") > 0)
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    less = joined.groupBy("sid").agg(flat("first"), flat("n"))  # a piece has MOST_GRAMS fingerprints at most
+    hot = work.saved(grams.groupBy("h").count().where(F.col("count") > hot_rows).select("h"), "hot")
+    less = sorted_grams(grams.join(hot, "h", "left_anti"), length, gram).unionByName(counted_grams(grams.join(hot, "h", "left_semi"), length))
+    gathered = lambda *c: F.collect_list(F.struct(*c)).alias("runs")
+    less = less.groupBy("sid").agg(gathered("first", "n"))  # a piece has MOST_GRAMS fingerprints at most
     owners = work.saved(distinct.select("sid", "hash", F.col("owner").alias("mine")).join(less, "sid", "left").drop("sid"), "owners")
-    work.drop("distinct", "grams", "settled")
-    placed = found.select("key", "at", F.col("n").alias("strings"), "hash").join(owners, "hash")
-    whole = F.col("key.doc_id") > F.col("mine")
-    starts = F.when(whole, F.array("at")).otherwise(F.transform("first", lambda x: x + F.col("at")))
-    sizes = F.when(whole, F.array("strings")).otherwise(F.col("n"))
-    placed = placed.select("key", starts.alias("start"), F.zip_with(starts, sizes, lambda s, n: s + n + (length - 1)).alias("end")).where(F.size("start") > 0)
-    spans = work.saved(placed.groupBy("key").agg(flat("start"), flat("end")).select("key.doc_id", "key.fp", "start", "end"), "spans")
+    work.drop("distinct", "grams", "hot")
+    placed = found.select("key", "at", F.col("n").cast("bigint").alias("strings"), "hash").join(owners, "hash")
+    runs = F.when(F.col("key.doc_id") > F.col("mine"), F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.col("strings").alias("n")))).otherwise(F.col("runs"))
+    placed = placed.where((F.col("key.doc_id") > F.col("mine")) | F.col("runs").isNotNull())
+    placed = placed.select("key", F.transform(runs, lambda x: F.struct((F.col("at") + x["first"]).alias("start"), (F.col("at") + x["first"] + x["n"] + (length - 1)).alias("end"))).alias("s"))
+    spans = placed.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("s")).select("key.doc_id", "key.fp", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    spans = work.saved(spans, "spans")
     work.drop("pieces", "owners")
     return spans
 
 
-def _merged(start: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted spans with touching and overlapping ones joined."""
-    s, e = np.array(start, np.int64), np.array(end, np.int64)
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.append(True, s[1:] > e[:-1])
-    return s[new], e[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def _cut(content: pa.Array, start: pa.Array, end: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that stay of each row outside its (start, end) spans, its bytes, bytes removed and removed runs."""
+    buf, offsets = K.text_buffer(pa.Array.from_buffers(pa.string(), len(content), content.buffers(), offset=content.offset))
+    times = pc.fill_null(pc.list_value_length(start), 0).to_numpy()
+    base = np.repeat(offsets[:-1], times)
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, base + start.flatten().to_numpy(), 1)
+    np.add.at(edge, base + end.flatten().to_numpy(), -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    rises = gone.copy()
+    rises[1:] &= ~gone[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    rises[firsts] = gone[firsts]
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+    sizes, removed = np.diff(offsets), sums(gone)
+    kept = np.concatenate([[0], np.cumsum(sizes - removed)])
+    rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(content), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(buf[~gone])])
+    return rows.cast(pa.binary()), sizes, removed, sums(rises)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs`` (integer doc_id, text).
 
     Null texts count as empty; rows with a null doc_id keep all their bytes and take none from others; rows of one
     doc_id take nothing from each other, whatever their texts; an empty table gives none; other columns are ignored.
-    ``length`` may be 8 to 16384 bytes; contexts of a fingerprint beyond ``hot_bytes`` are settled string by string.
+    ``length`` may be 8 to 16384 bytes; a fingerprint that more than ``hot_rows`` pieces share is settled string by string.
     """
-    spans = repeated_spans(docs, length, hot_bytes).withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
+    spans = repeated_spans(docs, length, hot_rows).withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
     rows = docs.select("doc_id", whole_text(docs).alias("text"))
     joined = rows.join(spans, (rows["doc_id"].cast("bigint") == spans["s_id"]) & (F.xxhash64(rows["text"]) == spans["s_fp"]), "left").select("doc_id", F.col("text").cast("binary").alias("content"), "start", "end")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                kept, sizes, removed, number = [], [], [], []
-                for content, start, end in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    start, end = _merged(start, end) if start else ((), ())
-                    bounds = [0, *(int(x) for pair in zip(start, end) for x in pair), len(content)]
-                    kept.append(b"".join(content[i:j] for i, j in zip(bounds[::2], bounds[1::2])))
-                    sizes.append(len(content)), removed.append(len(content) - len(kept[-1])), number.append(len(start))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, number)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            for part, _, _ in _slices(batch, "content"):
+                kept, *numbers = _cut(*(part.column(i) for i in (1, 2, 3)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in numbers), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(cut, schema_of(doc_id=docs.schema["doc_id"].dataType.simpleString(), n_bytes="bigint", n_removed="bigint", n_spans="bigint", kept="binary"))
 
