@@ -33,7 +33,7 @@ SLICE_BYTES = 512 << 10
 #: Fingerprints cover this many of LENGTH bytes; a piece ends at one in 2**CUT_BITS of them or after MOST_GRAMS.
 GRAM, CUT_BITS, MOST_GRAMS, HELD = 24, 3, 128, 1 << 19
 #: Bytes of contexts that are sorted together, and pieces that share a fingerprint beyond which it goes string by string.
-SORTED_BYTES, HOT_ROWS = 1 << 19, 4096
+SORTED_BYTES, HOT_ROWS = 1 << 19, 16384
 #: Hashes whose contents a task remembers to have sent.
 SENT = 1 << 19
 SYMBOL, _BITS = 8, 21
@@ -423,7 +423,9 @@ def counted_grams(grams: DataFrame, length: int) -> DataFrame:
     settled = contexts.select("h", "c", F.col("owner").alias("least")).join(less, ["h", "c"], "left")
     joined = grams.select("sid", "owner", "place", "n", "h", "c").join(settled, ["h", "c"])
     one = lambda first, n: F.struct(first.cast("bigint").alias("first"), n.cast("bigint").alias("n"))
-    runs = F.when(F.col("least") < F.col("owner"), F.array(one(F.col("place"), F.col("n")))).otherwise(F.transform("ats", lambda x: one(x + F.col("place"), F.lit(1))))
+    edge = lambda step: F.filter("ats", lambda x: ~F.array_contains("ats", x + step))
+    parts = F.zip_with(F.sort_array(edge(-1)), F.sort_array(edge(1)), lambda a, b: one(a + F.col("place"), b - a + 1))
+    runs = F.when(F.col("least") < F.col("owner"), F.array(one(F.col("place"), F.col("n")))).otherwise(parts)
     return joined.select("sid", F.explode(runs).alias("x")).select("sid", "x.first", "x.n")
 
 
@@ -435,7 +437,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
     if not SYMBOL <= length <= 1 << 14:
         raise ValueError(f"length must be {SYMBOL} to {1 << 14} bytes")
     gram, text = max(4, length * GRAM // LENGTH), whole_text(docs)
-    hot_rows = min(hot_rows, max(1, 2 * SORTED_BYTES // (2 * length - gram)))
+    hot_rows = min(hot_rows, max(1, 3 * SORTED_BYTES // (2 * length - gram)))  # so that a sort stays under 2**_BITS bytes
     work = Work(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("fp")).alias("key"), text.alias("text"))
     found = work.saved(pieces(keyed, length, gram), "pieces")
