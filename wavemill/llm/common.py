@@ -98,6 +98,20 @@ def crc_residue(column: str, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))
 
 
+def hashed_sample(rows: DataFrame, by: str, per_value: int, most_bytes: int, salt: str) -> DataFrame:
+    """The rows (doc_id, bytes, ...) whose hash of doc_id falls under a share that depends on their ``by`` value, with that hash as ``place``.
+
+    On average ``per_value`` rows of a value, or as many as have ``most_bytes`` bytes if those are fewer; all where it
+    has no more. Sizes are counted over all rows, and no row is passed over for its length. No task sees more of a
+    value than any other: neither a sort nor a window gathers them.
+    """
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    share = F.least(F.lit(per_value) / F.col("n"), F.lit(float(most_bytes)) / F.greatest("size", F.lit(1)))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    shares = F.broadcast(sizes.select(by, share.alias("share")))  # one row a label or language
+    return rows.join(shares, by).withColumn("place", place).where(F.col("place") < F.col("share")).drop("share")
+
+
 def schema_of(**fields: str) -> str:
     """A DDL schema."""
     return ", ".join(f"`{k}` {v}" for k, v in fields.items())

@@ -1,172 +1,242 @@
 """Toxicity by a small convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
-Fitted in NumPy on a bounded sample of labelled rows. At scoring each filter tap is a table lookup by word, so a text
-of any length takes additions and a running maximum. Thresholds are set for each language, which is read off the
-words, and folded into the score so that 0.5 is the decision everywhere.
+A word's vector is the mean of the vectors that its own hash and the hashes of its beginnings and its end have, so words
+that were never seen share what they have in common with known ones. The net is fitted in NumPy, in one task, on a
+bounded sample of labelled rows. At scoring each filter tap is a table lookup by word, so a text of any length takes
+additions and a running maximum. Thresholds are set for each language and folded into the score so that 0.5 is the
+decision everywhere. The language is read off the words; the lang of the sampled rows only teaches what a language's
+words look like, and no row's lang is read when it is scored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import crc_residue, schema_of
-
-#: Labelled rows drawn of each label, and the most bytes of a row that may be drawn.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 6_000
-DIM, FILTERS, WIDTHS, LEAST_TEXTS, EPOCHS = 16, 12, (1, 2, 3), 5, 6
-SLICE_BYTES = 1 << 20
+from .common import crc_residue, hashed_sample, schema_of
+
+#: Labelled rows, and bytes of their texts, that are drawn of each label on average. Texts of any length can be drawn.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 12 << 20
+#: Buckets of the hashed features, bytes of the beginnings and the end of a word that are features beside the whole, and sizes of the net.
+BUCKETS, FIRST, LAST = 1 << 15, (3, 4, 5, 6), 4
+DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
+#: Passes over the sample at most, passes without a lower held-back loss that end the fit, rows of a step, learning rate.
+EPOCHS, PATIENCE, STEP_ROWS, RATE = 14, 3, 32, 0.01
+#: Held-back rows of each label that a threshold needs; with fewer the plain 0.5 stands.
+LEAST_HELD = 20
+SLICE_BYTES = 512 << 10
 #: Letters of words: ASCII letters and every byte of wider characters.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each lower-cased word."""
-    starts, ends, rows = K.spans(buf, offsets, _WORD)
-    return K.hash_spans(K.lower_ascii(buf), starts, ends), rows
+def _ranges(heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices heads[k] ... heads[k] + counts[k] - 1, one range behind another."""
+    return np.repeat(heads - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+@dataclass
+class Words:
+    """Texts as indices of their distinct words, and a row of hashed features for each of those."""
+
+    of: np.ndarray
+    rows: np.ndarray
+    features: np.ndarray
+
+
+def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    low = K.lower_ascii(buf)
+    starts, ends, rows = K.spans(low, offsets, _WORD)
+    every, at, of = np.unique(K.hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+    starts, ends = starts[at], ends[at]
+    found, h, last = [every], np.full(len(every), 1, np.uint64), max(len(low) - 1, 0)
+    for k in range(max(FIRST)):
+        inside = starts + k < ends
+        h = h * _STEP + np.where(inside, low[np.minimum(starts + k, last)], 0) if len(every) else h
+        if k + 1 in FIRST:
+            found.append(K.mix(h + np.uint64(k)))
+    h = np.full(len(every), 2, np.uint64)
+    for k in range(LAST):
+        inside = ends - 1 - k >= starts
+        h = h * _STEP + np.where(inside, low[np.maximum(ends - 1 - k, 0)], 0) if len(every) else h
+    return Words(of, rows, (np.stack([*found, K.mix(h)], 1) % np.uint64(BUCKETS)).astype(np.int64))
+
+
+def laid(of: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """1 + word indices with max(WIDTHS) zeros behind each row, and where each row's windows begin and end.
+
+    The last window begins at the first zero, so none reaches into the next row.
+    """
+    pad = max(WIDTHS)
+    counts = np.bincount(rows, minlength=n)
+    begin = np.cumsum(counts + pad) - counts - pad
+    out = np.zeros(int(counts.sum()) + pad * n, np.int64)
+    out[np.arange(len(of)) + rows * pad] = of + 1
+    return out, np.stack([begin, begin + counts + 1], 1).ravel()
 
 
 @dataclass
 class Net:
-    """words: sorted hashes of known words; row 0 of the tables is padding, row 1 any other word."""
+    """emb and lang_table have a row for each bucket; shift: the threshold of each language, of none at the end."""
 
-    words: np.ndarray
     emb: np.ndarray
     conv: list[np.ndarray]
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
     langs: list[str]
-    word_lang: np.ndarray
+    lang_table: np.ndarray
     shift: np.ndarray
-    taps: list[list[np.ndarray]] | None = None
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        at, known = K.lookup(self.words, hashes)
-        return np.where(known, at + 2, 1)
-
-    def laid(self, ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids with max(WIDTHS) pads behind each row, and where rows begin."""
-        pad = max(WIDTHS)
-        counts = np.bincount(rows, minlength=n)
-        begin = np.cumsum(counts + pad) - counts - pad
-        out = np.zeros(int(counts.sum()) + pad * n, np.int64)
-        out[np.arange(len(ids)) + rows * pad] = ids
-        return out, begin
-
-    def pooled(self, laid: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """The maximum of each filter over each row."""
-        self.taps = self.taps or [[(self.emb @ w[j]).astype(np.float32) for j in range(len(w))] for w in self.conv]
-        n = len(laid)
-        parts = []
-        for taps, b in zip(self.taps, self.bias):
-            y = taps[0][laid]
-            for j in range(1, len(taps)):
-                y[: n - j] += taps[j][laid[j:]]
-            parts.append(np.maximum(np.maximum.reduceat(y, begin, axis=0) + b, 0))
-        return np.concatenate(parts, 1)
+    fitted: bool = False
+
+    def vectors(self, features: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The mean of the features' rows of each word, behind a row of zeros for the padding."""
+        out = np.zeros((len(features) + 1, table.shape[1]), table.dtype)
+        for k in range(features.shape[1]):
+            out[1:] += table[features[:, k]]
+        return out / features.shape[1]
 
     def logits(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Raw logit and language index (last: unknown) of each text."""
-        n = len(offsets) - 1
-        hashes, rows = word_hashes(buf, offsets)
-        ids = self.ids(hashes)
-        logit = self.pooled(*self.laid(ids, rows, n)) @ self.out + self.out_bias
-        votes = np.stack([np.bincount(rows, weights=self.word_lang[ids, j], minlength=n) for j in range(len(self.langs))], 1) if self.langs else np.zeros((n, 1))
-        known = np.bincount(rows, weights=ids > 1, minlength=n) > 0
-        return logit, np.where(known, votes.argmax(1), len(self.langs))
+        """Raw logit and language index (last: no words) of each text."""
+        n, words = len(offsets) - 1, read_words(buf, offsets)
+        ids, begin = laid(words.of, words.rows, n)
+        vectors, parts = self.vectors(words.features, self.emb), []
+        for w, b in zip(self.conv, self.bias):
+            y = (vectors @ w[0])[ids]
+            for j in range(1, len(w)):
+                y[: len(ids) - j] += (vectors @ w[j])[ids[j:]]
+            parts.append(np.maximum(np.maximum.reduceat(y, begin, axis=0)[::2] + b, 0) if n else np.zeros((0, FILTERS)))
+        logit = np.concatenate(parts, 1) @ self.out + self.out_bias
+        votes = self.vectors(words.features, self.lang_table)[1:]
+        lang = np.stack([np.bincount(words.rows, weights=votes[words.of, j], minlength=n) for j in range(len(self.langs))], 1).argmax(1) if self.langs else np.zeros(n, np.int64)
+        return logit, np.where(np.bincount(words.rows, minlength=n) > 0, lang, len(self.langs))
 
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """0 to 1; a net that was fitted on fewer than two labels finds nothing toxic."""
+        if not self.fitted:
+            return np.zeros(len(offsets) - 1)
         logit, lang = self.logits(buf, offsets)
         return 1 / (1 + np.exp(-np.clip(logit - self.shift[lang], -60, 60)))
 
 
+class _Adam:
+    """Adam steps; a table of embeddings only moves in the rows that a step touches."""
+
+    def __init__(self, params: list[np.ndarray]):
+        self.params, self.m, self.v, self.t = params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+
+    def step(self, grads: list, rows: np.ndarray) -> None:
+        self.t += 1
+        for k, (p, g, m, v) in enumerate(zip(self.params, grads, self.m, self.v)):
+            at = rows if k == 0 else slice(None)
+            m[at] += 0.1 * (g - m[at])
+            v[at] += 0.001 * (g * g - v[at])
+            p[at] -= RATE * (m[at] / (1 - 0.9**self.t)) / (np.sqrt(v[at] / (1 - 0.999**self.t)) + 1e-8)
+
+
+def _gradients(net: Net, words: Words, first: np.ndarray, chunk: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list, np.ndarray]:
+    """Gradients of the weighted log loss over the rows ``chunk``, and the rows of emb that the first one is for."""
+    idx = _ranges(first[chunk], first[chunk + 1] - first[chunk])
+    row = np.repeat(np.arange(len(chunk)), first[chunk + 1] - first[chunk])
+    mine, of = np.unique(words.of[idx], return_inverse=True)
+    ids, begin = laid(of, row, len(chunk))
+    at_row = np.searchsorted(begin[::2], np.arange(len(ids)), "right") - 1
+    vectors, n = net.vectors(words.features[mine], net.emb), len(ids)
+    pooled, argmax = [], []
+    for w, b in zip(net.conv, net.bias):
+        y = (vectors @ w[0])[ids]
+        for j in range(1, len(w)):
+            y[: n - j] += (vectors @ w[j])[ids[j:]]
+        best = np.maximum.reduceat(y, begin, axis=0)[::2]
+        argmax.append(np.minimum.reduceat(np.where(y == best[at_row], np.arange(n)[:, None], n), begin, axis=0)[::2])
+        pooled.append(best + b)
+    z = np.concatenate(pooled, 1)
+    a = np.maximum(z, 0)
+    p = 1 / (1 + np.exp(-np.clip(a @ net.out + net.out_bias, -30, 30)))
+    d = weight[chunk] * (p - label[chunk]) / len(chunk)
+    grads: list = [None, *(np.zeros_like(w) for w in net.conv), *(np.zeros_like(b) for b in net.bias), a.T @ d + 1e-4 * net.out, np.array([d.sum()])]
+    dz = d[:, None] * net.out * (z > 0)
+    moved = np.zeros_like(vectors)
+    for k, (w, at) in enumerate(zip(net.conv, argmax)):
+        g = dz[:, k * FILTERS : (k + 1) * FILTERS]
+        grads[1 + len(WIDTHS) + k] = g.sum(0)
+        for j in range(len(w)):
+            pos = ids[np.minimum(at + j, n - 1)]
+            grads[1 + k][j] = np.einsum("rfd,rf->df", vectors[pos], g) + 1e-4 * w[j]
+            np.add.at(moved, pos.ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+    hit = np.flatnonzero(moved[1:].any(1))
+    features = words.features[mine[hit]]
+    order = np.argsort(features.ravel(), kind="stable")
+    rows, at = np.unique(features.ravel()[order], return_index=True)
+    each = (moved[1:][hit] / features.shape[1])[order // features.shape[1]]
+    grads[0] = np.add.reduceat(each, at, axis=0) + 1e-4 * net.emb[rows] if len(rows) else np.zeros((0, DIM))
+    return grads, rows
+
+
 def _buffers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return K.text_buffer(pa.array(texts, pa.string()))
 
 
+def _loss(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    return float((weight * (np.logaddexp(0, logit) - label * logit)).sum() / weight.sum())
+
+
 def fit(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Net:
-    """Fit on (text, lang, label) rows; each fifth row is kept back to set the thresholds of the languages."""
+    """Fit on (text, lang, label) rows; each fifth row of a label is kept back to end the fit and set the thresholds.
+
+    Both labels weigh the same. Without rows of both labels the net stays unfitted and finds nothing toxic.
+    """
     rng = np.random.default_rng(seed)
-    hashes, owner = word_hashes(*_buffers([r[0] for r in rows]))
-    order = np.lexsort((owner, hashes))
-    word, text = hashes[order], owner[order]
-    new = np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)]
-    words, texts_with = np.unique(word[new], return_counts=True)
-    words = words[texts_with >= LEAST_TEXTS]
-    del order, word, text, new
-    size = len(words) + 2
     langs = sorted({r[1] for r in rows if r[1] is not None})
-    net = Net(words, rng.normal(0, 0.3, (size, DIM)), [rng.normal(0, (w * DIM) ** -0.5, (w, DIM, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0, langs, np.zeros((size, max(1, len(langs)))), np.zeros(len(langs) + 1))
-    net.emb[0] = 0
-    ids, label = net.ids(hashes), np.array([r[2] for r in rows], float)
-    for j, x in enumerate(langs):
-        mine = np.array([r[1] == x for r in rows])[owner] if len(owner) else np.zeros(0, bool)
-        net.word_lang[:, j] = np.log((np.bincount(ids[mine], minlength=size) + 0.5) / (mine.sum() + 0.5 * size))
-    net.word_lang[:2] = 0
-    held = np.arange(len(rows)) % 5 == 4
-    first = np.searchsorted(owner, np.arange(len(rows) + 1))
-    train = np.flatnonzero(~held)
-    if len(train) and 0 < label[train].sum() < len(train):
-        params = [net.emb, *net.conv, *net.bias, net.out]
-        state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        bias_state, step = [0.0, 0.0], 0
-        for _ in range(EPOCHS):
-            for chunk in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
-                step += 1
-                idx = np.concatenate([np.arange(first[i], first[i + 1]) for i in chunk])
-                row = np.repeat(np.arange(len(chunk)), first[chunk + 1] - first[chunk])
-                laid, begin = net.laid(ids[idx], row, len(chunk))
-                of = np.searchsorted(begin, np.arange(len(laid)), "right") - 1
-                x, n = net.emb[laid], len(laid)
-                pooled, argmax = [], []
-                for w, b in zip(net.conv, net.bias):
-                    y = x @ w[0]
-                    for j in range(1, len(w)):
-                        y[: n - j] += x[j:] @ w[j]
-                    best = np.maximum.reduceat(y, begin, axis=0)
-                    hit = np.where(y == best[of], np.arange(n)[:, None], n)
-                    argmax.append(np.minimum.reduceat(hit, begin, axis=0))
-                    pooled.append(best + b)
-                z = np.concatenate(pooled, 1)
-                a = np.maximum(z, 0)
-                p = 1 / (1 + np.exp(-np.clip(a @ net.out + net.out_bias, -30, 30)))
-                d = (p - label[chunk]) / len(chunk)
-                grads = [np.zeros_like(q) for q in params]
-                grads[-1] = a.T @ d + 1e-4 * net.out
-                dz = d[:, None] * net.out * (z > 0)
-                for k, (w, at) in enumerate(zip(net.conv, argmax)):
-                    g = dz[:, k * FILTERS : (k + 1) * FILTERS]
-                    grads[1 + len(WIDTHS) + k] = g.sum(0)
-                    for j in range(len(w)):
-                        pos = np.minimum(at + j, n - 1)
-                        grads[1 + k][j] = np.einsum("rfd,rf->df", x[pos], g)
-                        np.add.at(grads[0], laid[pos].ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
-                grads[0][0] = 0
-                for q, g, (m, v) in zip(params, grads, state):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    q -= 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                g = d.sum()
-                bias_state = [bias_state[0] + 0.1 * (g - bias_state[0]), bias_state[1] + 0.001 * (g * g - bias_state[1])]
-                net.out_bias -= 0.005 * (bias_state[0] / (1 - 0.9**step)) / (np.sqrt(bias_state[1] / (1 - 0.999**step)) + 1e-8)
-        net.taps = None
-        kept = np.flatnonzero(held)
-        logit, lang = net.logits(*_buffers([rows[i][0] for i in kept])) if len(kept) else (np.zeros(0), np.zeros(0, int))
-        enough = min(label[kept].sum(), (1 - label[kept]).sum()) >= 20  # else the plain 0.5 stands
-        overall = best_threshold(logit, label[kept], 0.0) if enough else 0.0
-        net.shift[:] = overall
-        for j in range(len(langs)):
-            mine = lang == j
-            if label[kept][mine].sum() >= 20 and (1 - label[kept][mine]).sum() >= 20:
-                net.shift[j] = best_threshold(logit[mine], label[kept][mine], overall)
-    net.taps = None
+    net = Net(rng.normal(0, 0.3, (BUCKETS, DIM)), [rng.normal(0, (w * DIM) ** -0.5, (w, DIM, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0, langs, np.zeros((BUCKETS, max(1, len(langs)))), np.zeros(len(langs) + 1))
+    label = np.array([r[2] for r in rows], float)
+    if not 0 < label.sum() < len(rows):
+        return net
+    words = read_words(*_buffers([r[0] for r in rows]))
+    lang = np.array([langs.index(r[1]) if r[1] is not None else -1 for r in rows])
+    for j in range(len(langs)):
+        times = np.bincount(words.of[lang[words.rows] == j], minlength=len(words.features))
+        per = np.bincount(words.features.ravel(), weights=np.repeat(times, words.features.shape[1]), minlength=BUCKETS)
+        net.lang_table[:, j] = np.log((per + 0.5) / (per.sum() + 0.5 * BUCKETS))
+    nth = np.zeros(len(rows), np.int64)
+    for x in (0, 1):
+        nth[label == x] = np.arange(int((label == x).sum()))
+    held = nth % 5 == 4
+    train, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    first = np.searchsorted(words.rows, np.arange(len(rows) + 1))
+    bias = np.zeros(1)
+    adam = _Adam([net.emb, *net.conv, *net.bias, net.out, bias])
+    texts = _buffers([rows[i][0] for i in kept])
+    best, since, saved = np.inf, 0, None
+    for _ in range(EPOCHS):
+        for chunk in np.array_split(rng.permutation(train), max(1, len(train) // STEP_ROWS)):
+            adam.step(*_gradients(net, words, first, chunk, label, weight))
+            net.out_bias = float(bias[0])
+        loss = _loss(net.logits(*texts)[0], label[kept], weight[kept]) if len(kept) else 0.0
+        if loss < best - 1e-4:
+            best, since, saved = loss, 0, pickle.dumps(net)
+        else:
+            since += 1
+            if since == PATIENCE:
+                break
+    net = pickle.loads(saved) if saved else net
+    net.fitted = True
+    logit, which = net.logits(*texts) if len(kept) else (np.zeros(0), np.zeros(0, int))
+    enough = lambda y: min(y.sum(), (1 - y).sum()) >= LEAST_HELD
+    net.shift[:] = best_threshold(logit, label[kept], 0.0) if enough(label[kept]) else 0.0
+    for j in range(len(langs)):
+        if enough(label[kept][which == j]):
+            net.shift[j] = best_threshold(logit[which == j], label[kept][which == j], net.shift[j])
+    net.emb, net.lang_table, net.conv = net.emb.astype(np.float32), net.lang_table.astype(np.float32), [w.astype(np.float32) for w in net.conv]
     return net
 
 
@@ -177,18 +247,30 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, default: float) -> floa
     order = np.argsort(logit)
     x, y = logit[order], label[order]
     gain = np.concatenate([[0], np.cumsum((1 - y) / (1 - label).sum() - y / label.sum())])
-    best = np.flatnonzero(gain == gain.max())
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
     cut = int(best[len(best) // 2])
     return float((x[max(cut - 1, 0)] + x[min(cut, len(x) - 1)]) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str | None, int]]:
-    """At most ``per_label`` whole texts of each label, of ``most_bytes`` at most, outside the held-out fold; in the order of a hash of doc_id."""
-    usable = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes) & (crc_residue("doc_id") != 0))
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, lang, label of the sampled rows outside the held-out fold, texts of any length; see ``hashed_sample``."""
+    usable = docs.where(F.col("text").isNotNull() & (crc_residue("doc_id") != 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    ids = usable.select("doc_id").join(marks, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id"))).where(F.col("rank") <= per_label)
-    drawn = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id")  # 2 * per_label rows
-    return [(r["text"], r["lang"], r["label"]) for r in drawn.orderBy("rank", "label", "text").limit(4 * per_label).collect()]
+    ids = hashed_sample(usable.select("doc_id", F.octet_length("text").alias("bytes")).join(marks, "doc_id"), "label", per_label, most_bytes, "toxic")
+    ids = ids.select("doc_id", "label", "place").dropDuplicates(["doc_id"])
+    return usable.join(F.broadcast(ids), "doc_id").select("text", "lang", "label", "place")  # about 2 * per_label rows
+
+
+def fitted(sample: DataFrame) -> Net:
+    """The net of a bounded sample, fitted in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["text"], r["lang"], r["label"]) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    one = sample.repartition(1).sortWithinPartitions("place", "label", "text").select("text", "lang", F.col("label").cast("int").alias("label"))
+    found = one.mapInArrow(run, schema_of(net="binary")).first()
+    return pickle.loads(found["net"]) if found else fit([])
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
@@ -206,11 +288,9 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             for part, buf, offsets in K.balanced(batch, SLICE_BYTES, batch.schema.names[at]):
                 yield part.append_column("toxic_score", pa.array(shared.value.scores(buf, offsets)))
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS) -> DataFrame:
-    """Fit on the labelled sample and score every row of ``docs``."""
-    return score(docs, fit(labelled_sample(docs, labels, per_label)))
+def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Fit on the labelled sample and score every row of ``docs`` (see ``score``); a table without labels rejects nothing."""
+    return score(docs, fitted(labelled_sample(docs, labels, per_label, most_bytes)))
