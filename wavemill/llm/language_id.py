@@ -6,19 +6,22 @@ scored word by word (contexts never leave a word), each distinct word of a batch
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_residue, schema_of
+from .common import crc_residue, hashed_sample, schema_of
 
-#: Labelled rows drawn of each language, and the most bytes of a row that may be drawn.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 20_000
+#: Labelled rows, and bytes of their texts, that are drawn of each language on average. Texts of any length can be drawn.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 2 << 20
+#: A text is rejected beyond the bits a character that this share of the held-back texts of its own languages stays under.
+KEPT_SHARE = 0.995
 ORDER = 5
 SLICE_BYTES = 4 << 20
 _LETTERS: list[np.ndarray] = []
@@ -106,9 +109,9 @@ class CharModels:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (und: no letter), score and whether the text fits none of the models."""
-        bits, count = self.entropies(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        bits, count = self.entropies(texts)
         best = bits.argmin(1)
         gap = (bits - bits.min(1, keepdims=True)) * np.minimum(count, 200)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 500)).sum(1)
@@ -155,7 +158,7 @@ def _fit_one(texts: list[str], order: int) -> list[dict]:
 
 
 def fit(rows: list[tuple[str, str]], order: int = ORDER, held: float = 0.2) -> CharModels:
-    """Fit on (lang, text) rows; every 1/held-th row of a language sets the rejection limit (its 99.5 % quantile)."""
+    """Fit on (lang, text) rows; every 1/held-th row of a language sets the rejection limit, the KEPT_SHARE quantile of their bits a character."""
     by_lang: dict[str, list[str]] = {}
     for lang, text in rows:
         if text and letters()[lowered([text])[0]].any():
@@ -175,17 +178,27 @@ def fit(rows: list[tuple[str, str]], order: int = ORDER, held: float = 0.2) -> C
     model = CharModels(langs, keys, probs, backs, np.array([f[0]["floor"] for f in fitted]))
     held_out = [t for x in langs for t in by_lang[x][::step]]
     if held_out:
-        model.limit = float(np.quantile(model.entropies(held_out)[0].min(1), 0.995)) * 1.05
+        model.limit = float(np.quantile(model.entropies(held_out)[0].min(1), KEPT_SHARE))
     return model
 
 
-def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """At most ``per_lang`` whole texts of each language, of ``most_bytes`` at most, outside the held-out fold; in the order of a hash of doc_id."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes) & (crc_residue("doc_id") != 0))
-    key = F.xxhash64(F.col("doc_id"), F.lit("lang"))
-    ids = usable.select("doc_id", F.col("lang").cast("string").alias("lang")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("rank") <= per_lang)
-    drawn = usable.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("lang", "rank", "text")  # per_lang rows a language
-    return [(r["lang"], r["text"]) for r in drawn.select("lang", "text").limit(per_lang * 1000).collect()]
+def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """lang, text, place of the sampled rows outside the held-out fold, texts of any length; see ``hashed_sample``."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_residue("doc_id") != 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    rows = usable.select("doc_id", "lang", F.octet_length("text").alias("bytes"), "text")
+    return hashed_sample(rows, "lang", per_lang, most_bytes, "lang").select("lang", "text", "place")
+
+
+def fitted(sample: DataFrame) -> CharModels:
+    """The models of a bounded sample, fitted in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["lang"], r["text"]) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    one = sample.repartition(1).sortWithinPartitions("lang", "place", "text").select("lang", "text")
+    found = one.mapInArrow(run, schema_of(model="binary")).first()
+    return pickle.loads(found["model"]) if found else fit([])
 
 
 def identify(docs: DataFrame, model: CharModels) -> DataFrame:
@@ -206,7 +219,7 @@ def identify(docs: DataFrame, model: CharModels) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema_of(doc_id=docs.schema["doc_id"].dataType.simpleString(), lang_pred="string", score="double", rejected="boolean"))
 
 
-def language_id(docs: DataFrame, per_lang: int = SAMPLE_ROWS) -> DataFrame:
-    """Fit on the labelled sample of ``docs`` and identify all of its rows; adds held_out (crc32 fold 0)."""
-    found = identify(docs, fit(labelled_sample(docs, per_lang)))
+def language_id(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Fit on the labelled sample of ``docs`` and identify all of its rows (see ``identify``); adds held_out (crc32 fold 0)."""
+    found = identify(docs, fitted(labelled_sample(docs, per_lang, most_bytes)))
     return found.withColumn("held_out", crc_residue("doc_id") == 0)
