@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import Row
 
-from wavemill.llm import decontamination, quality_rules
+from wavemill.llm import decontamination, quality_rules, queries
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -49,6 +49,18 @@ def test_decontamination(spark, limit):
     assert decontamination.decontaminate(d.limit(0), b).collect() == []
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, item, 1, 2, 3, 4), (2, "clean", 5, 6, 7, 8), (2, "clean", 5, 6, 7, 8), (None, None, 0, 0, 0, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, s_id int, s_fp int, key int, row int")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.decontaminate(d, b)
+    assert got.columns[:6] == d.columns
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, decontamination.without_contaminated(d, b).collect()), key=str) == sorted(rows[1:], key=str)
+    assert decontamination.without_contaminated(d.limit(0), b).collect() == []
+
+
 def base_columns(t):
     w = re.findall("[^\x20\x09-\x0d]+", t or "")
     tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
@@ -106,6 +118,15 @@ def test_quality_divergence(spark, sf):
         lang, chars, hits = per[r.doc_id]
         assert r.char_distance == pytest.approx(js(chars, ref_chars[lang]), abs=1e-9)
         assert r.word_distance == pytest.approx(js(hits, ref_hits[lang]), abs=1e-9)
+        expected = sum(hits) * sum(ref_hits[lang][:-1]) >= quality_rules.LEAST_HITS * sum(ref_hits[lang])
+        common_distance = (js(hits[:-1], ref_hits[lang][:-1]) if sum(hits[:-1]) else 1.0) if expected and sum(ref_hits[lang][:-1]) else 0.0
+        assert r.common_distance == pytest.approx(common_distance, abs=1e-9)
+        n, _, _, _, repeats = base_columns(dict((i, t) for i, _, t in docs)[r.doc_id])
+        judged = sum(chars) >= quality_rules.LEAST_CHARS and n >= quality_rules.LEAST_WORDS
+        apart = judged and (r.char_distance > quality_rules.MOST_CHARS or max(r.word_distance, common_distance) > quality_rules.MOST_WORDS)
+        assert r.base_failed == (n < 50 or 100 * repeats > 50 * n) and r.kept == (not r.base_failed and not apart)
+    query = {r.doc_id: r.kept for r in queries.op8_quality_rules(spark, sf).collect()}
+    assert query == {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
 
 
 def test_quality_common_words(spark):

@@ -105,6 +105,25 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, share: int, broadcast_bytes: int) -> DataFrame:
+    """key (doc_id, fp), doc_n_words, doc_n_hit, doc_spans, doc_items, contaminated of every distinct row."""
+    sizes, hits = window_hits(docs, benchmark, n, broadcast_bytes)
+    item_of = window_set(benchmark, n).select(F.sha2(F.concat_ws(" ", "window"), 256).alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
+    key = F.struct("doc_id", "fp").alias("key")
+    spans = hits.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("doc_spans"), F.collect_set("wid").alias("wids"))
+    items = spans.select("key", F.explode("wids").alias("wid")).join(item_of, "wid").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("doc_items"))
+    found = spans.drop("wids").join(items, "key", "left")
+    judged = sizes.select(key, F.col("n_words").alias("doc_n_words")).dropDuplicates(["key"]).join(found, "key", "left")  # repeated rows
+    n_hit = F.coalesce(_covered(F.col("doc_spans")), F.lit(0).cast("bigint"))
+    judged = judged.withColumns({"doc_n_hit": n_hit, "doc_items": F.coalesce("doc_items", F.array().cast("array<string>"))})
+    return judged.withColumn("contaminated", (F.col("doc_n_hit") > 0) & (share * F.col("doc_n_hit") >= F.col("doc_n_words")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one column, whatever its columns are called, and their key."""
+    return docs.select(F.struct("doc_id", F.xxhash64(whole_text(docs)).alias("fp")).alias("key"), F.struct(*docs.columns).alias("row"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with doc_n_words, doc_n_hit, doc_spans, doc_items and contaminated added to its columns.
 
@@ -112,23 +131,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     window); a text is contaminated if a word is hit and ``share * n_hit >= n_words``. doc_spans holds the sorted
     (pos, len) word spans to remove, doc_items the sorted ids of the items that occur. Null and empty texts have no
     words and are clean; repeated rows are each judged and returned; a null item_id marks words but adds no item;
-    null doc_ids are kept; an empty benchmark or table hits nothing. Added columns replace columns of their name.
+    null doc_ids are kept; an empty benchmark or table hits nothing. Added columns replace columns of their name;
+    all others pass through.
     """
-    sizes, hits = window_hits(docs, benchmark, n, broadcast_bytes)
-    item_of = window_set(benchmark, n).select(F.sha2(F.concat_ws(" ", "window"), 256).alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
-    spans = hits.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("doc_spans"), F.collect_set("wid").alias("wids"))
-    items = spans.select("doc_id", "fp", F.explode("wids").alias("wid")).join(item_of, "wid").groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("item")).alias("doc_items")).withColumnsRenamed({"doc_id": "i_id", "fp": "i_fp"})
-    found = spans.drop("wids").join(items, spans["doc_id"].eqNullSafe(F.col("i_id")) & (spans["fp"] == F.col("i_fp")), "left").drop("i_id", "i_fp").withColumnsRenamed({"doc_id": "h_id", "fp": "h_fp"})
-    sizes = sizes.withColumnsRenamed({"doc_id": "s_id", "fp": "s_fp"})
-    judged = sizes.join(found, F.col("s_id").eqNullSafe(F.col("h_id")) & (F.col("s_fp") == F.col("h_fp")), "left")
     added = ("doc_n_words", "doc_n_hit", "doc_spans", "doc_items", "contaminated")
-    judged = judged.select("s_id", "s_fp", F.col("n_words").alias("doc_n_words"), "doc_spans", "doc_items")
-    judged = judged.dropDuplicates(["s_id", "s_fp"])  # repeated rows
-    base = docs.drop(*added, "h_fp_row").withColumn("h_fp_row", F.xxhash64(whole_text(docs)))
-    out = base.join(judged, base["doc_id"].eqNullSafe(judged["s_id"]) & (base["h_fp_row"] == judged["s_fp"])).drop("s_id", "s_fp", "h_fp_row")
-    n_hit = F.coalesce(_covered(F.col("doc_spans")), F.lit(0).cast("bigint"))
-    out = out.withColumns({"doc_n_hit": n_hit, "doc_items": F.coalesce("doc_items", F.array().cast("array<string>"))})
-    return out.withColumn("contaminated", (F.col("doc_n_hit") > 0) & (share * F.col("doc_n_hit") >= F.col("doc_n_words")))
+    judged = _judged(docs, benchmark, n, share, broadcast_bytes)
+    return _keyed(docs.drop(*added)).join(judged, "key").select("row.*", *added)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` does not call contaminated. Only the others' keys are joined."""
+    gone = _judged(docs, benchmark, n, share, broadcast_bytes).where("contaminated").select("key")
+    return _keyed(docs).join(saved(gone, "contaminated"), "key", "left_anti").select("row.*")
 
 
 def without_spans(judged: DataFrame) -> DataFrame:
