@@ -1,6 +1,7 @@
 import random
 import re
 
+from wavemill.llm import queries
 from wavemill.llm.jaccard_join import banding, jaccard_join, one_of_each_class
 
 
@@ -43,8 +44,8 @@ def made(seed=3):
 def test_against_brute_force(spark):
     rows = made()
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, class_id int")
-    for block in (1000, 7):
-        got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in jaccard_join(df, block=block).collect()}
+    for block, block_shingles in ((1000, 1 << 20), (7, 1 << 20), (1000, 300)):
+        got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in jaccard_join(df, block=block, block_shingles=block_shingles).collect()}
         assert got == brute(rows)
 
 
@@ -58,6 +59,21 @@ def test_kept_rows(spark):
     assert one_of_each_class(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in queries.op5_jaccard_join(spark, sf).collect()}
+    assert got == brute(rows)
+
+
+def test_kept_rows_have_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, {"k": 1}), (1, "a b c d e f", 0, {}), (2, "a b c d e f", 5, None), (3, "other words", 2, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, row map<string,int>")
+    got = [one_of_each_class(part) for part in (df.repartition(3), df.coalesce(1))]
+    assert got[0].columns == df.columns
+    first, again = (sorted(map(tuple, g.collect()), key=str) for g in got)
+    assert first == again and [r[0] for r in first] == [1, 3] and first[0] in rows[:2]
+
+
 def test_banding():
     b, r = banding(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999

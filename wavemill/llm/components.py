@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Work
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,12 +24,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node but the roots, from undirected edges (u, v)."""
-    edges = saved(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
+    work, k = Work(edges.sparkSession), 0
+    edges = work.saved(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "0")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        edges = saved(_star(_star(edges, True), False), "edges")
-        now = mark(edges)
+        edges = work.saved(_star(_star(edges, True), False), str(k + 1))
+        work.drop(str(k))
+        k, now = k + 1, mark(edges)
         if now == before:
             break
         before = now

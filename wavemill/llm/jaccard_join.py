@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import saved, schema_of, whole_text
+from .common import Work, schema_of, whole_text
 from .components import components
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 SLICE_BYTES = 2 << 20
-#: Classes of a component that one block holds; columns of a block's incidence matrix at a time.
-BLOCK, COLUMNS = 1000, 4096
+#: Classes of a component and shingles that one block holds on average; columns of a block's incidence matrix at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 1 << 20, 4096
 _WORD = np.array([(48 <= b <= 57) or (65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
@@ -106,7 +106,7 @@ def _least_labels(adj: np.ndarray) -> np.ndarray:
         label = new
 
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, fp, copy_id, class_id, n_links, n_shingles of every row of ``docs``.
 
     ``fp`` is xxhash64 of the text (null is empty). copy_id is the least doc_id with the same shingle set; n_links
@@ -128,18 +128,21 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_keys(hashes, owner, n), pa.binary()), pa.array(np.bincount(owner, minlength=n)), lists], names=["doc_id", "fp", "tkey", "n_shingles", "bands"])
 
-    signed = saved(rows.mapInArrow(sign, schema_of(doc_id=id_type, fp="bigint", tkey="binary", n_shingles="bigint", bands="array<bigint>")), "signed")
+    work = Work(docs.sparkSession)
+    signed = work.saved(rows.mapInArrow(sign, schema_of(doc_id=id_type, fp="bigint", tkey="binary", n_shingles="bigint", bands="array<bigint>")), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")
-    classes = signed.where("tkey IS NOT NULL").groupBy("tkey").agg(first, F.any_value("bands").alias("bands"))
-    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # ids are short where band rows are shuffled
+    classes = signed.where("tkey IS NOT NULL").groupBy("tkey").agg(first, F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    classes = work.saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # ids are short where band rows are shuffled
     banded = classes.select("id", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     linked = banded.join(leads, "band").where(F.col("id") != F.col("lead")).select(F.col("id").alias("u"), F.col("lead").alias("v"))
     found = components(linked)
-    members = saved(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "root").join(classes.select("id", "tkey", "r"), F.col("node") == F.col("id")).select("root", "blocks", "tkey", F.col("r.doc_id").alias("w_id"), F.col("r.fp").alias("w_fp"))
-    texts = rows.join(wanted, rows["fp"].eqNullSafe(F.col("w_fp")) & rows["doc_id"].eqNullSafe(F.col("w_id"))).select("root", "blocks", "tkey", "text")
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    members = work.saved(members.join(classes.select(F.col("id").alias("node"), "tkey", "r", "n_shingles"), "node"), "members")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles)).cast("int")
+    large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    wanted = members.join(large, "root", "left").select("root", F.coalesce("blocks", F.lit(1)).alias("blocks"), "tkey", F.struct("r.doc_id", "r.fp").alias("row"))
+    texts = rows.select(F.struct("doc_id", "fp").alias("row"), "text").join(wanted, "row").select("root", "blocks", "tkey", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,11 +174,13 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
             label = _least_labels(adj)
             yield pa.RecordBatch.from_pydict({"tkey": [r["tkey"] for r in group], "lead": [group[k]["tkey"] for k in label], "links": adj.sum(1)})
 
-    compared = saved(packed.mapInArrow(compare, schema_of(tkey="binary", lead="binary", links="bigint")), "compared")
+    compared = work.saved(packed.mapInArrow(compare, schema_of(tkey="binary", lead="binary", links="bigint")), "compared")
+    work.drop("classes", "members")
     links = compared.groupBy("tkey").agg(F.sum("links").alias("links"))
     roots = components(compared.select(F.col("tkey").alias("u"), F.col("lead").alias("v")))
     known = signed.join(links, "tkey", "left").join(roots.withColumnRenamed("node", "tkey"), "tkey", "left").select("doc_id", "fp", "n_shingles", "tkey", F.coalesce("root", "tkey").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    known = saved(known, "known")
+    known = work.saved(known, "known")
+    work.drop("signed", "compared")
     least = lambda by, name: known.where("tkey IS NOT NULL").groupBy(by).agg(F.min("doc_id").alias(name))
     out = known.join(least("tkey", "copy_id"), "tkey", "left").join(least("root", "class_id"), "root", "left")
     return out.select("doc_id", "fp", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_shingles")
@@ -196,15 +201,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def one_of_each_class(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the least (doc_id, fp); repeated rows stay once.
+    """The rows of ``docs`` that stay: of each class the one with the least (doc_id, text hash).
 
-    Texts without words are no copies of one another and stay, repeated rows of them once.
+    Texts without words are no copies of one another and stay. Of rows that share doc_id and text the one with the
+    least hash over all columns stays (columns that hold maps do not count). Columns may have any names.
     """
     joined = jaccard_join(docs, width, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     own = F.when(F.col("n_shingles") == 0, F.col("fp"))  # null for texts with words: their class decides
     best = joined.groupBy("class_id", F.coalesce(own, F.lit(0)).alias("own"), (F.col("n_shingles") == 0).alias("bare")).agg(F.min(rank).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.fp").alias("b_fp"))
-    marked = docs.withColumn("b_row_fp", F.xxhash64(whole_text(docs)))
-    kept = marked.join(best, marked["b_row_fp"].eqNullSafe(best["b_fp"]) & marked["doc_id"].eqNullSafe(best["b_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "b_row_fp"]).drop("b_row_fp")
+    best = Work(docs.sparkSession).saved(best.select(F.struct("best.doc_id", "best.fp").alias("key")), "best")
+    hashed = [docs[f.name] for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    rows = docs.select(F.struct("doc_id", F.xxhash64(whole_text(docs)).alias("fp")).alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(*hashed).alias("order"))
+    # the join deals rows by the key that the aggregate needs, so texts are shuffled once
+    return rows.join(best, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
