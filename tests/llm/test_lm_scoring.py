@@ -3,9 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from wavemill.llm import lm_scoring
+from wavemill.llm import lm_scoring, queries
 
 
 def brute(docs, held=1):
@@ -39,10 +40,11 @@ def brute(docs, held=1):
     }
 
 
-def test_against_dictionaries(spark, sf):
+@pytest.mark.parametrize("hot_share", [lm_scoring.HOT_SHARE, 0.02, 0.0])
+def test_against_dictionaries(spark, sf, hot_share):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()][:120]
     rows += [(9001, None), (9002, ""), (9003, "the  THE the the\x1cx\x0bof"), (9004, "the " * 3000)]
-    got = lm_scoring.lm_scores(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(5)).collect()
+    got = lm_scoring.lm_scores(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(5), hot_share=hot_share).collect()
     want = brute(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -51,5 +53,19 @@ def test_against_dictionaries(spark, sf):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_frequent_contexts(spark):
+    df = spark.createDataFrame([("a b a c a d " * 50,), ("e f",)], "text string")
+    assert list(lm_scoring.hot_contexts(df, 0.3)) == [lm_scoring.K.hash_spans(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))[0]]
+
+
+def test_query(spark, sf):
+    got = {r.doc_id: r for r in queries.op7_lm_scoring(spark, sf).collect()}
+    want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[i][:3]
+        assert (r.base_score, r.score) == pytest.approx(want[i][3:], rel=1e-9)
+
+
 def test_empty(spark):
     assert lm_scoring.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []

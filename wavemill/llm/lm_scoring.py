@@ -1,8 +1,10 @@
 """Perplexity by an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
-Tasks pre-aggregate their word pairs and exchange them as packed arrays, dealt by the hash of the context, so that a
-shard sees every continuation of its contexts. Shards write sorted hash arrays to the shared folder; a second, smaller
-exchange by word adds up in how many contexts each word occurs. Scoring tasks memory-map the arrays.
+Tasks pre-aggregate their word pairs and exchange them as packed arrays. Pairs are dealt by the hash of the context, so
+that a shard sees every continuation of it; contexts that hold a large share of all tokens are found first and their
+pairs dealt by pair, so no word makes a large shard. Shards write sorted hash arrays to the shared folder; a second,
+smaller exchange by word adds up in how many contexts each word occurs, and what the shards know of the frequent
+contexts. Scoring tasks memory-map the arrays.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_residue, mounted, schema_of, scratch
+from .common import Work, crc_residue, freed_shuffles, mounted, schema_of, scratch
 
 SLICE_BYTES = 4 << 20
-#: Pairs a task holds before it packs them; shards at most.
-HELD_PAIRS, MOST_SHARDS = 3 << 19, 4096
+#: Pairs a task holds before it packs them.
+HELD_PAIRS = 3 << 19
+#: A context with this share of a shard's tokens, or of one in MOST_HOT tokens, is dealt by pair. It only decides where pairs go.
+HOT_SHARE, MOST_HOT = 0.25, 1 << 16
 #: Stand-ins for the start and the end of a text; words never hash to them by construction of their bytes.
 START, END = K.mix(np.array([1, 2], np.uint64) + np.uint64(1 << 40))
 _PACKED = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("n", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _PACKED_SPARK = schema_of(bucket="int", a="binary", n="binary", b="binary", c="binary")
+#: What shards pass on: kind w (words and in how many contexts they occur), h (frequent contexts and their sums), s (sums over all).
+_PASSED = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("key", pa.binary()), ("value", pa.binary())])
+_PASSED_SPARK = schema_of(bucket="int", kind="string", key="binary", value="binary")
 
 
 def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,14 +79,29 @@ def _words(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _pack(a, n, b, c, bits: int) -> Iterator[pa.RecordBatch]:
-    """One packed row for each bucket (the first ``bits`` bits of a)."""
-    bucket = (a >> np.uint64(64 - bits)).astype(np.int64)
+def _pack(a: np.ndarray, n: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One packed row for each bucket: the first ``bits`` bits of a, or of the pair's hash where a is ``hot``."""
+    a = np.repeat(a, n)
+    deal = np.where(K.lookup(hot, a)[1], K.pair_hash(a, b), a) if len(hot) else a
+    bucket = (deal >> np.uint64(64 - bits)).astype(np.int64)
+    if len(hot):
+        order = np.argsort(bucket, kind="stable")
+        a, b, c, bucket = a[order], b[order], c[order], bucket[order]
+    for i, j in _cuts(bucket, bits):
+        heads = np.flatnonzero(np.append(True, a[i + 1 : j] != a[i : j - 1]))
+        yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[i]), "a": a[i:j][heads].tobytes(), "n": _narrow(np.diff(np.append(heads, j - i))), "b": b[i:j].tobytes(), "c": _narrow(c[i:j])}], _PACKED)
+
+
+def _cuts(bucket: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal buckets."""
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
-    edges = np.append(0, np.cumsum(n))
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        s, e = edges[i], edges[j]
-        yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[i]), "a": a[i:j].tobytes(), "n": _narrow(n[i:j]), "b": b[s:e].tobytes(), "c": _narrow(c[s:e])}], _PACKED)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
+def _pass_on(kind: str, key: np.ndarray, values: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket of the sorted keys."""
+    for i, j in _cuts((key >> np.uint64(64 - bits)).astype(np.int64), bits):
+        yield pa.RecordBatch.from_pylist([{"bucket": int(key[i] >> np.uint64(64 - bits)), "kind": kind, "key": key[i:j].tobytes(), "value": _narrow(values[i:j].ravel())}], _PASSED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -96,6 +118,25 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield bucket, held
 
 
+def hot_contexts(texts: DataFrame, share: float) -> np.ndarray:
+    """Sorted contexts that have about ``share`` of all tokens or more; at most 2 / share of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, buf, offsets in K.balanced(batch, SLICE_BYTES):
+                ctx, times = np.unique(sequences(buf, offsets)[0], return_counts=True)
+                often = times >= share * times.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(ctx[often].view(np.int64), 0)), pa.array(np.append(times[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), times.sum()))], names=["ctx", "times", "tokens"])
+
+    work = Work(texts.sparkSession)
+    reported = texts.mapInArrow(run, schema_of(ctx="bigint", times="bigint", tokens="bigint"))
+    found = work.saved(reported.groupBy("ctx").agg(F.sum("times").alias("times"), F.sum("tokens").alias("tokens")), "often")
+    total = found.agg(F.sum("tokens")).first()[0] or 0
+    rows = found.where((F.col("times") > 0) & (F.col("times") * 2 >= share * total)).select("ctx").collect()  # 2 / share at most
+    work.drop("often")
+    return np.sort(np.array([r["ctx"] for r in rows], np.int64).view(np.uint64))
+
+
 def _publish(folder: str, name: str, **arrays: np.ndarray) -> None:
     """Write arrays whole or not at all: a task that runs again replaces equal files."""
     os.makedirs(folder, exist_ok=True)
@@ -114,13 +155,14 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 1e-3, 1e-3, 1e-3], [0, 1, 2, 3])
 
 
-def train(docs: DataFrame, bits: int | None = None) -> dict:
+def train(docs: DataFrame, bits: int | None = None, hot_share: float = HOT_SHARE) -> dict:
     """Count the texts of ``docs`` (column text; null is empty) and write the model; returns its folder and totals."""
     spark = docs.sparkSession
     parts = docs.select("text").rdd.getNumPartitions()
-    bits = bits or min(MOST_SHARDS.bit_length() - 1, max(3, (max(parts, 1) - 1).bit_length()))
+    bits = bits or max(3, (max(parts, 1) - 1).bit_length())
     folder, shards = mounted(scratch(spark, "ngrams")), 1 << bits
     texts = docs.select("text")
+    hot = hot_contexts(texts, max(hot_share / shards, 1 / MOST_HOT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -130,10 +172,10 @@ def train(docs: DataFrame, bits: int | None = None) -> dict:
                 held.append((ctx, token))
                 size += len(ctx)
                 if size >= HELD_PAIRS:
-                    yield from _pack(*pack_counts(*(np.concatenate(x) for x in zip(*held)), None), bits)
+                    yield from _pack(*pack_counts(*(np.concatenate(x) for x in zip(*held)), None), bits, hot)
                     held, size = [], 0
         if held:
-            yield from _pack(*pack_counts(*(np.concatenate(x) for x in zip(*held)), None), bits)
+            yield from _pack(*pack_counts(*(np.concatenate(x) for x in zip(*held)), None), bits, hot)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches):
@@ -143,39 +185,50 @@ def train(docs: DataFrame, bits: int | None = None) -> dict:
             ctx, kinds, word, n = pack_counts(a, b, c)
             del a, b, c
             heads = np.cumsum(kinds) - kinds
-            by = [np.add.reduceat((n == k) if k < 3 else (n >= 3), heads).astype(np.uint32) for k in (1, 2, 3)]
+            sums = np.stack([np.add.reduceat(x, heads) for x in (n, n == 1, n == 2, n >= 3)], 1).astype(np.int64)
             pair = K.pair_hash(np.repeat(ctx, kinds), word)
             order = np.argsort(pair)
             small = np.minimum(n[order], 255)
             big = np.flatnonzero(small == 255)
-            _publish(folder, f"c{bucket}", key=ctx, total=np.add.reduceat(n, heads), n1=by[0], n2=by[1], n3=by[2])
             _publish(folder, f"p{bucket}", key=pair[order], count=small.astype(np.uint8), big=big, big_count=n[order][big])
-            of = np.array([np.count_nonzero(n == k) for k in (1, 2, 3, 4)] + [len(ctx), int(n.sum())], np.int64)
-            yield pa.RecordBatch.from_pylist([{"bucket": -1, "a": b"", "n": b"", "b": of.tobytes(), "c": b""}], _PACKED)
-            words, times = np.unique(word, return_counts=True)
-            yield from _pack(words, np.ones(len(words), np.int64), np.zeros(len(words), np.uint64), times, bits)
+            shared = K.lookup(hot, ctx)[1]
+            own = sums[~shared]
+            _publish(folder, f"c{bucket}", key=ctx[~shared], total=own[:, 0], n1=own[:, 1].astype(np.uint32), n2=own[:, 2].astype(np.uint32), n3=own[:, 3].astype(np.uint32))
+            of = np.array([np.count_nonzero(n == k) for k in (1, 2, 3, 4)] + [len(own), int(n.sum())], np.int64)
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": "s", "key": b"", "value": of.tobytes()}], _PASSED)
+            yield from _pass_on("h", ctx[shared], sums[shared], bits)
+            yield from _pass_on("w", *np.unique(word, return_counts=True), bits)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches):
-            if bucket < 0:
-                total = np.sum([np.frombuffer(r["b"], np.int64) for r in rows], axis=0)
-                yield pa.RecordBatch.from_pylist([{"kind": "pairs", "sums": total.tolist()}], _SUMS)
-                continue
-            w, back = np.unique(np.concatenate([_words(r["a"]) for r in rows]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([_wide(r["c"]) for r in rows])).astype(np.int64)
+            total = np.sum([np.frombuffer(r["value"], np.int64) for r in rows if r["kind"] == "s"] + [np.zeros(6, np.int64)], axis=0)
+            part = lambda kind: [(_words(r["key"]), _wide(r["value"])) for r in rows if r["kind"] == kind] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]  # noqa: B023, E731
+            keys, sums = zip(*part("h"))
+            ctx, back = np.unique(np.concatenate(keys), return_inverse=True)
+            added = np.zeros((len(ctx), 4), np.int64)
+            np.add.at(added, back, np.concatenate(sums).reshape(-1, 4))
+            _publish(folder, f"h{bucket}", key=ctx, total=added[:, 0], n1=added[:, 1], n2=added[:, 2], n3=added[:, 3])
+            total[4] += len(ctx)
+            yield pa.RecordBatch.from_pylist([{"kind": "pairs", "sums": total.tolist()}], _SUMS)
+            keys, sums = zip(*part("w"))
+            w, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(w), np.int64)
+            np.add.at(n, back, np.concatenate(sums))
             _publish(folder, f"w{bucket}", key=w, count=n)
             of = [int(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)] + [len(w), int(n.sum()), int(np.count_nonzero(n >= 3))]
             yield pa.RecordBatch.from_pylist([{"kind": "words", "sums": of}], _SUMS)
 
     packed = texts.mapInArrow(count, _PACKED_SPARK).repartition(shards, "bucket").sortWithinPartitions("bucket")
-    counted = packed.mapInArrow(contexts, _PACKED_SPARK)
-    sums = counted.select("bucket", "a", "b", "c").repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(words, schema_of(kind="string", sums="array<bigint>"))
-    exploded = sums.select("kind", F.posexplode("sums").alias("k", "v")).groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()  # 13 numbers
+    counted = packed.mapInArrow(contexts, _PASSED_SPARK)
+    sums = counted.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(words, schema_of(kind="string", sums="array<bigint>"))
+    with freed_shuffles(spark):
+        exploded = sums.select("kind", F.posexplode("sums").alias("k", "v")).groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()  # 13 numbers
     found = {(r["kind"], r["k"]): r["v"] for r in exploded}
     get = lambda kind, k: float(found.get((kind, k), 0))
     return {
         "folder": folder,
         "bits": bits,
+        "hot": hot,
         "pair_d": discounts(*(get("pairs", k) for k in range(4))),
         "word_d": discounts(*(get("words", k) for k in range(4))),
         "word_kinds": (get("words", 0), get("words", 1), get("words", 6)),
@@ -224,7 +277,8 @@ class Model:
         """log10 p(token | ctx) and the training count of each token."""
         m, shift = self.about, np.uint64(64 - self.about["bits"])
         every, back = np.unique(np.concatenate([ctx, token]), return_inverse=True)
-        total, n1, n2, n3 = self.find("c", every >> shift, every, ("total", "n1", "n2", "n3"))
+        names = ("total", "n1", "n2", "n3")
+        total, n1, n2, n3 = (x + y for x, y in zip(self.find("c", every >> shift, every, names), self.find("h", every >> shift, every, names)))
         (kinds,) = self.find("w", every >> shift, every, ("count",))
         d = m["word_d"]
         unseen = 1 / (m["distinct"] + 1)
@@ -241,7 +295,9 @@ class Model:
         code = c_ix.astype(np.int64) * len(every) + t_ix
         _, first, again = np.unique(code, return_index=True, return_inverse=True)
         c, t = c_ix[first], t_ix[first]
-        (count,) = self.find("p", every[c] >> shift, K.pair_hash(every[c], every[t]), ("count",))
+        pair = K.pair_hash(every[c], every[t])
+        deal = np.where(K.lookup(m["hot"], every[c])[1], pair, every[c])
+        (count,) = self.find("p", deal >> shift, pair, ("count",))
         d = m["pair_d"]
         gamma = d[1] * n1 + d[2] * n2 + d[3] * n3
         p = np.where(total[c] > 0, (np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) + gamma[c] * lower[t]) / np.maximum(total[c], 1), lower[t])
@@ -273,7 +329,7 @@ def score(docs: DataFrame, about: dict) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def lm_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: int = 1, hot_share: float = HOT_SHARE) -> DataFrame:
     """Train on the rows whose crc32 fold is not ``held_out`` and score all rows."""
-    about = train(docs.where(crc_residue("doc_id") != held_out))
+    about = train(docs.where(crc_residue("doc_id") != held_out), hot_share=hot_share)
     return score(docs, about).withColumn("held_out", crc_residue("doc_id") == held_out)
