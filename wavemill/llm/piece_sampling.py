@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -232,10 +233,10 @@ def decode(docs: DataFrame, model: str, column: str = "pieces") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model, 1.0, 11)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in K.row_slices(np.append(0, np.cumsum(sizes)), SLICE_BYTES // 4):  # ids of 4 bytes
+                part, counts = batch.slice(i, j - i), sizes[i:j]
                 col = part.column(at)
-                counts = np.nan_to_num(np.array([None if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], float)).astype(np.int64)
                 texts = sampler.decode(col.flatten().to_numpy(zero_copy_only=False), counts)
                 yield part.append_column("decoded", pa.array([t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist())], pa.string()))
 
