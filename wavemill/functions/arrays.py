@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -25,8 +30,7 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def centred(x: Column) -> Column:
-    m = mean(x)
-    return F.transform(x, lambda v: v - m)
+    return let(x, lambda y: let(mean(y), lambda m: F.transform(y, lambda v: v - m)))
 
 
 def line(x: Column) -> tuple[Column, Column]:
@@ -40,43 +44,47 @@ def line(x: Column) -> tuple[Column, Column]:
 
 
 def detrend(x: Column) -> Column:
-    slope, intercept = line(x)
-    return F.transform(x, lambda v, i: v - (slope * i + intercept))
+    def straight(y):
+        slope, intercept = line(y)
+        return let(F.struct(slope.alias("a"), intercept.alias("b")), lambda f: F.transform(y, lambda v, i: v - (f["a"] * i + f["b"])))
+
+    return let(x, straight)
 
 
 def acf(x: Column, lag: int) -> Column:
     """Biased autocorrelation at a lag of the centred values, over lag 0; 0 where that is 0."""
-    c = centred(x)
-    num = dot(F.slice(c, 1, F.size(x) - lag), F.slice(c, lag + 1, F.size(x) - lag))
-    den = dot(c, c)
-    return F.when(den > 0, num / den).otherwise(0.0)
+    def ratio(c):
+        num = dot(F.slice(c, 1, F.size(c) - lag), F.slice(c, lag + 1, F.size(c) - lag))
+        return F.coalesce(F.try_divide(num, dot(c, c)), F.lit(0.0))
+
+    return let(centred(x), ratio)
 
 
 def lag1_noise(x: Column) -> Column:
     """1 - mean squared step / (2 variance): near 1 for smooth series, near 0 for noise."""
     step = F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda a, b: (a - b) * (a - b))
-    c = centred(x)
-    var = dot(c, c) / F.size(x)
+    var = let(centred(x), lambda c: dot(c, c)) / F.size(x)
     return F.when(var > 0, 1 - mean(step) / (2 * var)).otherwise(0.0)
 
 
-def dft_power(x: Column, k: int, n: int) -> Column:
-    """Power of DFT bin k of n values."""
-    basis = lambda f: F.array(*(F.lit(f(2 * math.pi * k * i / n)) for i in range(n)))
-    re, im = dot(x, basis(math.cos)), dot(x, basis(math.sin))
-    return re * re + im * im
+def dft_powers(x: Column, bins, n: int) -> Column:
+    """Powers of DFT bins of n values, in one pass over a basis for each bin."""
+    row = lambda f, k: F.array(*(F.lit(f(2 * math.pi * k * i / n)) for i in range(n)))
+    basis = F.array(*(F.struct(row(math.cos, k).alias("c"), row(math.sin, k).alias("s")) for k in bins))
+    one = lambda y, b: dot(y, b["c"]) ** 2 + dot(y, b["s"]) ** 2
+    return let(x, lambda y: F.transform(basis, lambda b: one(y, b)))
 
 
 def unwrap(x: Column) -> Column:
-    """Phases with whole turns taken out of their steps."""
+    """Phases with whole turns taken out of their steps: the turns are counted first and then summed up to each place."""
     turn = 2 * math.pi
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("off"), F.array().cast("array<double>").alias("out"))
+    turns = lambda y: F.transform(y, lambda v, i: F.when(i > 0, F.rint((v - F.get(y, i - 1)) / turn)).otherwise(0.0))
 
-    def add(acc, v):
-        off = acc["off"] - turn * F.coalesce(F.rint((v - acc["last"]) / turn), F.lit(0.0))
-        return F.struct(v.alias("last"), off.alias("off"), F.concat(acc["out"], F.array(v + off)).alias("out"))
+    def less(y, t):
+        at = F.filter(F.transform(t, lambda k, i: F.struct(i.alias("i"), k.alias("k"))), lambda s: s["k"] != 0)  # few places turn
+        return let(at, lambda w: F.transform(y, lambda v, i: v - turn * F.aggregate(w, F.lit(0.0), lambda a, s: a + F.when(s["i"] <= i, s["k"]).otherwise(0.0))))
 
-    return F.aggregate(x, start, add, lambda acc: acc["out"])
+    return let(x, lambda y: let(turns(y), lambda t: less(y, t)))
 
 
 def box_mean(x: Column, k: int) -> Column:

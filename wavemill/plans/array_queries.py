@@ -45,9 +45,9 @@ def subcarrier_mask(spark, root):
     return m.withColumns({"k": k, "drop": F.floor(alive * 0.15)}).where("k > drop").select("label", "i")
 
 
-@query(_P + ", m AS (SELECT label, i, median(abs(x)) / sqrt(2 * ln(2)) AS s FROM p GROUP BY 1, 2) SELECT vec_id, i::INTEGER AS i, round(x / s, 5) AS z FROM p JOIN m USING (label, i) WHERE s > 0 AND i < 4")
+@query(_P + ", m AS (SELECT label, i, median(abs(x)) / sqrt(2 * ln(2)) AS s FROM p GROUP BY 1, 2) SELECT vec_id, i::INTEGER AS i, round(x / s, 5) AS z FROM p JOIN m USING (label, i) WHERE s > 0")
 def normalize_columns(spark, root):
-    p = cells(spark, root).where("i < 4")
+    p = cells(spark, root)
     m = p.groupBy("label", "i").agg((F.median(F.abs("x")) / math.sqrt(2 * math.log(2))).alias("s")).where("s > 0")
     return p.join(m, ["label", "i"]).select("vec_id", "i", F.round(F.col("x") / F.col("s"), 5).alias("z"))
 
@@ -65,11 +65,11 @@ def acf_lags(spark, root):
     return vectors(spark, root).select("vec_id", F.round(A.acf(x, 1), 6).alias("acf1"), F.round(A.acf(x, 5), 6).alias("acf5"), F.round(A.lag1_noise(x), 6).alias("rho"))
 
 
-_DFT = _P + ", d AS (SELECT vec_id, k, power(sum(x * cos(2 * pi() * k * i / 64)), 2) + power(sum(x * sin(2 * pi() * k * i / 64)), 2) AS power FROM p, range(1, 9) r(k) GROUP BY 1, 2)"
+_DFT = _P + ", d AS (SELECT vec_id, k, power(sum(x * cos(2 * pi() * k * i / 64)), 2) + power(sum(x * sin(2 * pi() * k * i / 64)), 2) AS power FROM p, range(0, 33) r(k) GROUP BY 1, 2)"
 
 
 def _powers(spark, root):
-    return vectors(spark, root).select("vec_id", F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), A.dft_power(F.col("x"), k, 64).alias("power")) for k in range(1, 9)))).alias("d")).select("vec_id", "d.*")
+    return vectors(spark, root).select("vec_id", F.posexplode(A.dft_powers(F.col("x"), range(33), 64)).alias("k", "power")).withColumn("k", F.col("k").cast("bigint"))
 
 
 @query(_DFT + " SELECT vec_id, k, round(power, 4) AS power FROM d")
@@ -152,9 +152,9 @@ def mad_outliers(spark, root):
     return v.select("vec_id", F.size(F.filter(F.zip_with("x", "h", lambda a, b: a != b), lambda f: f)).cast("bigint").alias("outliers"))
 
 
-@query(_DFT + ", s AS (SELECT a.vec_id, a.k, a.power + b.power AS pair FROM d a JOIN d b ON a.vec_id = b.vec_id AND b.k = 9 - a.k AND a.k <= 4) SELECT vec_id, arg_max(k, pair) AS k, round(max(pair), 4) AS pair FROM s GROUP BY 1")
+@query(_DFT + ", s AS (SELECT a.vec_id, a.k, a.power + b.power AS pair FROM d a JOIN d b ON a.vec_id = b.vec_id AND b.k = 33 - a.k AND a.k BETWEEN 1 AND 16) SELECT vec_id, arg_max(k, pair) AS k, round(max(pair), 4) AS pair FROM s GROUP BY 1")
 def sideband_pairs(spark, root):
-    d = _powers(spark, root)
-    pair = F.when(F.col("k") <= 4, F.col("k")).otherwise(9 - F.col("k"))
+    d = _powers(spark, root).where("k > 0")
+    pair = F.when(F.col("k") <= 16, F.col("k")).otherwise(33 - F.col("k"))
     s = d.groupBy("vec_id", pair.alias("k")).agg(F.sum("power").alias("pair"))
     return s.groupBy("vec_id").agg(F.max_by("k", "pair").alias("k"), F.round(F.max("pair"), 4).alias("pair"))
