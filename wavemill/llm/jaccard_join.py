@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Work, schema_of, whole_text
 from .components import components
+from .keysets import key_set, thinned
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 SLICE_BYTES = 2 << 20
@@ -142,7 +143,9 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles)).cast("int")
     large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
     wanted = members.join(large, "root", "left").select("root", F.coalesce("blocks", F.lit(1)).alias("blocks"), "tkey", F.struct("r.doc_id", "r.fp").alias("row"))
-    texts = rows.select(F.struct("doc_id", "fp").alias("row"), "text").join(wanted, "row").select("root", "blocks", "tkey", "text")
+    # few texts are candidates: the others are left out before the shuffle
+    some = thinned(rows, "fp", *key_set(members.select(F.col("r.fp").alias("fp")), "fp"))
+    texts = some.select(F.struct("doc_id", "fp").alias("row"), "text").join(wanted, "row").select("root", "blocks", "tkey", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,6 @@ contexts. Scoring tasks memory-map the arrays.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Work, crc_residue, freed_shuffles, mounted, schema_of, scratch
+from .keysets import publish
 
 SLICE_BYTES = 4 << 20
 #: Pairs a task holds before it packs them.
@@ -137,16 +137,6 @@ def hot_contexts(texts: DataFrame, share: float) -> np.ndarray:
     return np.sort(np.array([r["ctx"] for r in rows], np.int64).view(np.uint64))
 
 
-def _publish(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Write arrays whole or not at all: a task that runs again replaces equal files."""
-    os.makedirs(folder, exist_ok=True)
-    for k, v in arrays.items():
-        part = f"{folder}/.{name}.{k}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, v)
-        os.replace(part, f"{folder}/{name}.{k}.npy")
-
-
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     """Chen and Goodman's discounts of counts 0, 1, 2 and 3 or more; 0.5 each where counts of counts are too thin."""
     if not (n1 and n2 and n3 and n4):
@@ -190,10 +180,10 @@ def train(docs: DataFrame, bits: int | None = None, hot_share: float = HOT_SHARE
             order = np.argsort(pair)
             small = np.minimum(n[order], 255)
             big = np.flatnonzero(small == 255)
-            _publish(folder, f"p{bucket}", key=pair[order], count=small.astype(np.uint8), big=big, big_count=n[order][big])
+            publish(folder, f"p{bucket}", key=pair[order], count=small.astype(np.uint8), big=big, big_count=n[order][big])
             shared = K.lookup(hot, ctx)[1]
             own = sums[~shared]
-            _publish(folder, f"c{bucket}", key=ctx[~shared], total=own[:, 0], n1=own[:, 1].astype(np.uint32), n2=own[:, 2].astype(np.uint32), n3=own[:, 3].astype(np.uint32))
+            publish(folder, f"c{bucket}", key=ctx[~shared], total=own[:, 0], n1=own[:, 1].astype(np.uint32), n2=own[:, 2].astype(np.uint32), n3=own[:, 3].astype(np.uint32))
             of = np.array([np.count_nonzero(n == k) for k in (1, 2, 3, 4)] + [len(own), int(n.sum())], np.int64)
             yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": "s", "key": b"", "value": of.tobytes()}], _PASSED)
             yield from _pass_on("h", ctx[shared], sums[shared], bits)
@@ -207,14 +197,14 @@ def train(docs: DataFrame, bits: int | None = None, hot_share: float = HOT_SHARE
             ctx, back = np.unique(np.concatenate(keys), return_inverse=True)
             added = np.zeros((len(ctx), 4), np.int64)
             np.add.at(added, back, np.concatenate(sums).reshape(-1, 4))
-            _publish(folder, f"h{bucket}", key=ctx, total=added[:, 0], n1=added[:, 1], n2=added[:, 2], n3=added[:, 3])
+            publish(folder, f"h{bucket}", key=ctx, total=added[:, 0], n1=added[:, 1], n2=added[:, 2], n3=added[:, 3])
             total[4] += len(ctx)
             yield pa.RecordBatch.from_pylist([{"kind": "pairs", "sums": total.tolist()}], _SUMS)
             keys, sums = zip(*part("w"))
             w, back = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.zeros(len(w), np.int64)
             np.add.at(n, back, np.concatenate(sums))
-            _publish(folder, f"w{bucket}", key=w, count=n)
+            publish(folder, f"w{bucket}", key=w, count=n)
             of = [int(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)] + [len(w), int(n.sum()), int(np.count_nonzero(n >= 3))]
             yield pa.RecordBatch.from_pylist([{"kind": "words", "sums": of}], _SUMS)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Work, freed_shuffles, mounted, schema_of, scratch, whole_text
-from .lm_scoring import _publish
+from .keysets import KeySet, publish
 
 LENGTH = 50
 SLICE_BYTES = 512 << 10
@@ -163,7 +163,7 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
 
         def done():
             keys, n = np.unique(np.concatenate(once), return_counts=True)
-            _publish(folder, f"f{bucket}", key=np.unique(np.concatenate([keys[n > 1], *often])))
+            publish(folder, f"f{bucket}", key=np.unique(np.concatenate([keys[n > 1], *often])))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32())})
 
         for batch in batches:
@@ -183,26 +183,6 @@ def repeated_fingerprints(texts: DataFrame, length: int, gram: int) -> tuple[str
     return folder, bits
 
 
-class _Repeated:
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.shift, self.maps = folder, np.uint64(64 - bits), {}
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        import os
-
-        every, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(every), bool)
-        bucket = (every >> self.shift).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            b = int(bucket[i])
-            if b not in self.maps:
-                path = f"{self.folder}/f{b}.key.npy"
-                self.maps[b] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
-            out[i:j] = K.lookup(self.maps[b], every[i:j])[1]
-        return out[back]
-
-
 class _Sent:
     """Which contents a task has sent already; forgetting some only sends them again."""
 
@@ -233,7 +213,7 @@ def pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
     mask = np.uint64((1 << CUT_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, sent = _Repeated(folder, bits), _Sent()
+        repeated, sent = KeySet(folder, bits), _Sent()
         for batch in batches:
             for part, buf, offsets in _slices(batch, "text"):
                 h, row, start, end = owned(buf, offsets, length, gram)
@@ -263,7 +243,7 @@ def shared_grams(distinct: DataFrame, length: int, gram: int) -> DataFrame:
     folder, bits = repeated_fingerprints(distinct.select("text"), length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, sent = _Repeated(folder, bits), _Sent()
+        repeated, sent = KeySet(folder, bits), _Sent()
         for batch in batches:
             for part, buf, offsets in _slices(batch, "text"):
                 h, row, start, end = owned(buf, offsets, length, gram)
