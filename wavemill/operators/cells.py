@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import quantiles
+
 
 def cell(t: Column, width: float, origin: float | Column = 0.0) -> Column:
     """The half-open cell [c * width, (c + 1) * width) that a time lies in."""
@@ -29,15 +31,18 @@ def spine(cells: DataFrame, key: str, col: str = "col") -> DataFrame:
 
 
 def gap_fill(cells: DataFrame, key: str, col: str, value: str, limit: int) -> DataFrame:
-    """Every cell of each key; empty ones are interpolated between their neighbours if the nearer one is within ``limit`` cells."""
-    full = spine(cells, key, col).join(cells.select(key, col, value), [key, col], "left")
-    back, ahead = Window.partitionBy(key).orderBy(col).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy(col).rowsBetween(0, Window.unboundedFollowing)
-    pair = F.when(F.col(value).isNotNull(), F.struct(F.col(col).alias("c"), F.col(value).alias("v")))
-    full = full.withColumns({"lo": F.last(pair, True).over(back), "hi": F.first(pair, True).over(ahead)})
-    share = (F.col(col) - F.col("lo.c")) / (F.col("hi.c") - F.col("lo.c"))
-    near = F.least(F.col(col) - F.col("lo.c"), F.col("hi.c") - F.col(col)) <= limit
-    made = F.when(near, F.col("lo.v") + share * (F.col("hi.v") - F.col("lo.v")))
-    return full.select(key, col, F.coalesce(value, made).alias("value"), F.col(value).isNull().alias("filled"))
+    """Every cell of each key; empty ones are interpolated between their neighbours if the nearer one is within ``limit`` cells.
+
+    Each known cell yields the gap behind it, so there is one window, over known cells alone.
+    """
+    known = cells.where(F.col(value).isNotNull()).select(key, F.col(col).alias("_c"), F.col(value).alias("_v"))
+    w = Window.partitionBy(key).orderBy("_c")
+    pair = known.withColumns({"_p": F.lag("_c").over(w), "_pv": F.lag("_v").over(w)})
+    at = pair.select(key, "_c", "_v", "_p", "_pv", F.explode(F.sequence(F.coalesce(F.col("_p") + 1, F.col("_c")), F.col("_c"))).alias(col))
+    share = (F.col(col) - F.col("_p")) / (F.col("_c") - F.col("_p"))
+    near = F.least(F.col(col) - F.col("_p"), F.col("_c") - F.col(col)) <= limit
+    made = F.when(F.col(col) == F.col("_c"), F.col("_v")).when(near, F.col("_pv") + share * (F.col("_v") - F.col("_pv")))
+    return at.select(key, col, made.alias("value"), (F.col(col) != F.col("_c")).alias("filled"))
 
 
 def per_cell_median(df: DataFrame, key: str, t: str, value: str, width: float) -> DataFrame:
@@ -52,11 +57,13 @@ def floor_level(cells: DataFrame, key: str, level: str = "level", percentile: fl
     return cells.groupBy(key).agg(F.percentile(level, F.lit(percentile)).alias("floor"))
 
 
-def scale_bounds(df: DataFrame, value: str, *keys: str) -> DataFrame:
+def scale_bounds(df: DataFrame, value: str, key: str, width: float = 1.0) -> DataFrame:
     """Least, greatest, first and ninety-ninth percentile of the finite values."""
     v = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
-    q = F.percentile(v, F.array(F.lit(0.01), F.lit(0.99)))
-    return df.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), q[0].alias("p01"), q[1].alias("p99"))
+    df = df.select(key, v.alias("_x"))
+    ends = df.groupBy(key).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    q = quantiles(df, key, "_x", [0.01, 0.99], width)
+    return ends.join(q, key, "left").select(key, "lo", "hi", F.col("q0").alias("p01"), F.col("q1").alias("p99"))
 
 
 def envelope(df: DataFrame, key: str, t: str, value: str, bins: int) -> DataFrame:

@@ -33,6 +33,52 @@ def previous(df: DataFrame, key: str, t: str, tie: str, columns: list[str], bloc
     return out.withColumns({f"prev_{c}": picked[c] for c in columns}).drop("_own", "_carried", "_block")
 
 
+def following(df: DataFrame, key: str, t: str, tie: str, columns: list[str], block: float) -> DataFrame:
+    """``df`` with next_<column>: the values of the row behind, found like those of ``previous`` and carried back."""
+    df = df.withColumn("_block", F.floor(F.col(t) / block))
+    order = [F.col(t), F.col(tie)]
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    first = df.groupBy(key, "_block").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
+    carried = first.withColumn("_carried", F.lead("_first").over(Window.partitionBy(key).orderBy("_block"))).select(key, "_block", "_carried")
+    out = df.withColumn("_own", F.lead(F.struct(*columns)).over(inside)).join(carried, [key, "_block"])
+    picked = F.coalesce("_own", "_carried")
+    return out.withColumns({f"next_{c}": picked[c] for c in columns}).drop("_own", "_carried", "_block")
+
+
+def running(df: DataFrame, key: str, order: list[str], value: str, name: str, block: Column) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row of its key, counted block by block; blocks ascend with ``order``."""
+    df = df.withColumn("_block", block)
+    sums = df.groupBy(key, "_block").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_before", before).drop("_sum")
+    inside = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(sums, [key, "_block"]).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before", "_block")
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], width: float) -> DataFrame:
+    """key, n, q0, q1, ...: exact quantiles (straight lines between neighbours) of the values of each key; nulls do not count.
+
+    Values are counted by slices of ``width`` first; only slices that hold a wanted rank are ordered, so a key with most
+    of the rows costs a shuffle of counts and of those few slices.
+    """
+    df = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_slice"))
+    counts = df.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("_slice")  # one row a slice
+    counts = counts.withColumns({"_end": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(Window.partitionBy(key))})
+    at = [(F.col("n") - 1) * q for q in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in at))))
+    counts = counts.withColumn("_base", F.col("_end") - F.col("_n")).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_base")) & (r < F.col("_end")))).where(F.size("_ranks") > 0)
+    rank = F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_v")) - 1 + F.col("_base")
+    found = df.join(counts.select(key, "_slice", "_base", "_ranks", "n"), [key, "_slice"]).withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
+    found = found.groupBy(key, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two a share at most
+
+    def read(x):
+        low, high = F.element_at("_at", F.floor(x)), F.element_at("_at", F.ceil(x))
+        return low + (high - low) * (x - F.floor(x))
+
+    return found.select(key, "n", *(read(x).alias(f"q{k}") for k, x in enumerate(at)))
+
+
 def filter_frames(df: DataFrame, mode: str | None = None, source: str | None = None, mode_column: str = "mode", source_column: str = "source") -> DataFrame:
     """Rows of one antenna mode and one transmitter; None, blank or ``all`` skips a filter."""
     if mode and mode.strip().lower() != "all":
@@ -65,18 +111,15 @@ def spacing(df: DataFrame, key: str, t: str, tie: str, block: float) -> DataFram
 
 def sample_rate(df: DataFrame, key: str, t: str, tie: str, block: float) -> DataFrame:
     """Mean and median rate, and 2 * p95 of the step as the gap limit."""
-    return spacing(df, key, t, tie, block).groupBy(key).agg(
-        F.count("*").alias("n_steps"), (1 / F.avg("dt")).alias("mean_rate"), (1 / F.median("dt")).alias("median_rate"), (2 * F.percentile("dt", F.lit(0.95))).alias("gap_limit")
-    )
+    steps = spacing(df, key, t, tie, block)
+    means = steps.groupBy(key).agg(F.count("*").alias("n_steps"), (1 / F.avg("dt")).alias("mean_rate"))
+    return means.join(quantiles(steps, key, "dt", [0.5, 0.95], block / 256), key).select(key, "n_steps", "mean_rate", (1 / F.col("q0")).alias("median_rate"), (2 * F.col("q1")).alias("gap_limit"))
 
 
 def sessions(df: DataFrame, key: str, t: str, tie: str, limit: float | Column, block: float) -> DataFrame:
-    """One row for each stretch without a step over ``limit``: key, session, start, stop, n."""
+    """One row for each stretch without a step over ``limit``: key, session, start, stop, n. Sessions are counted block by block."""
     flagged = previous(df, key, t, tie, [t], block).withColumn("_new", F.coalesce((F.col(t) - F.col(f"prev_{t}") > limit).cast("int"), F.lit(0)))
-    starts = flagged.where("_new = 1").select(key, F.col(t).alias("_start"))  # gaps only: few rows a key
-    number = starts.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_start")))
-    bounds = number.groupBy(key).agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
-    at = flagged.join(bounds, key, "left").withColumn("session", F.size(F.filter(F.coalesce("_starts", F.array().cast("array<double>")), lambda s: s <= F.col(t))))
+    at = running(flagged, key, [t, tie], "_new", "session", F.floor(F.col(t) / block)).withColumn("session", F.col("session").cast("int"))
     return at.groupBy(key, "session").agg(F.min(t).alias("start"), F.max(t).alias("stop"), F.count("*").alias("n"))
 
 

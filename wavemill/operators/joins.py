@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import previous
+from .frames import following, previous, running
 
 
 def resample(df: DataFrame, key: str, t: str, tie: str, value: str, step: float, gap: float, block: float) -> DataFrame:
@@ -66,11 +66,21 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, *keys: str) -> Da
 
 
 def nearest_pool(rows: DataFrame, pool: DataFrame, key: str, t: str, row_id: str, reach: float, k: int) -> DataFrame:
-    """row_id, other, away, rank: the k pool rows nearest in time, of the same key, not the row itself; ties by id."""
-    other = pool.select(key, F.col(t).alias("_ot"), F.col(row_id).alias("other"))
-    pairs = within(rows.select(key, t, row_id), other, key, t, "_ot", reach).where(F.col(row_id) != F.col("other"))
-    pairs = pairs.withColumn("away", F.abs(F.col(t) - F.col("_ot")))
-    rank = F.row_number().over(Window.partitionBy(row_id).orderBy("away", "other"))
+    """row_id, other, away, rank: the k pool rows nearest in time, of the same key, not the row itself; ties by id.
+
+    Pool rows are numbered in time; a row's place among them gives the k + 1 on either side of it, whatever the number
+    of pool rows in reach. Of those at one time the least id is the nearest on both sides.
+    """
+    sides = []
+    for side, mirrored in ((0, F.col(t)), (1, -F.col(t))):  # behind or at the row's time; ahead of it in mirrored time
+        events = pool.select(key, mirrored.cast("double").alias("_u"), F.lit(0).alias("_asks"), (-F.col(row_id)).alias("_tie"), F.col(row_id).alias("_id"), F.lit(1).alias("_one"))
+        asked = rows.select(key, mirrored.cast("double").alias("_u"), F.lit(1 if side == 0 else -1).alias("_asks"), F.lit(0).cast("bigint").alias("_tie"), F.col(row_id).alias("_id"), F.lit(0).alias("_one"))
+        placed = running(events.union(asked), key, ["_u", "_asks", "_tie"], "_one", "_place", F.floor(F.col("_u") / reach))
+        numbered = placed.where("_one = 1").select(key, "_place", F.col("_u").alias("_ou"), F.col("_id").alias("other"))
+        wanted = placed.where("_one = 0").select(key, F.col("_id").alias(row_id), "_u", F.explode(F.sequence(F.col("_place") - k, F.col("_place"))).alias("_place"))
+        sides.append(wanted.join(numbered, [key, "_place"]).select(row_id, "other", F.abs(F.col("_u") - F.col("_ou")).alias("away")))
+    pairs = sides[0].union(sides[1]).where((F.col("away") <= reach) & (F.col(row_id) != F.col("other")))
+    rank = F.row_number().over(Window.partitionBy(row_id).orderBy("away", "other"))  # 2 * k + 2 at most
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(row_id, "other", "away", "rank")
 
 
@@ -91,19 +101,24 @@ def intervals(df: DataFrame, key: str, t: str, tie: str, sign: str, block: float
     """key, start, stop: from each first '+' to the next '-'; an open one ends with the key's last event."""
     last = df.groupBy(key).agg(F.max(t).alias("_end"))
     turns = previous(df, key, t, tie, [sign], block).where(F.col(f"prev_{sign}").isNull() | (F.col(f"prev_{sign}") != F.col(sign)))
-    w = Window.partitionBy(key).orderBy(t, tie)
-    ended = turns.withColumn("_stop", F.lead(t).over(w)).where(F.col(sign) == "+")
-    return ended.join(last, key).select(key, F.col(t).alias("start"), F.coalesce("_stop", "_end").alias("stop"))
+    ended = following(turns, key, t, tie, [t], block).where(F.col(sign) == "+")
+    return ended.join(last, key).select(key, F.col(t).alias("start"), F.coalesce(f"next_{t}", "_end").alias("stop"))
 
 
-def state_on_cells(changes: DataFrame, cells: DataFrame, key: str, t: str, tie: str, sign: str, width: float) -> DataFrame:
-    """key, col, state: the sign of the last change at or before each cell's centre; absent before the first."""
+def state_on_cells(changes: DataFrame, cells: DataFrame, key: str, t: str, tie: str, sign: str, width: float, block: int = 4096) -> DataFrame:
+    """key, col, state: the sign of the last change at or before each cell's centre; absent before the first.
+
+    Signs are carried inside blocks of ``block`` cells, and one from block to block.
+    """
     centre = F.ceil(F.col(t) / width - 0.5)  # the first cell whose centre is not before the change
     at = changes.groupBy(key, centre.alias("col")).agg(F.max_by(sign, F.struct(t, tie)).alias("_s"))
-    w = Window.partitionBy(key).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    every = cells.select(key, "col").withColumn("_cell", F.lit(True)).join(at, [key, "col"], "full")
-    out = every.withColumn("state", F.last("_s", True).over(w)).where("_cell")
-    return out.select(key, "col", F.coalesce("state", F.lit("absent")).alias("state"))
+    every = cells.select(key, "col").withColumn("_cell", F.lit(True)).join(at, [key, "col"], "full").withColumn("_block", F.floor(F.col("col") / block))
+    last = every.groupBy(key, "_block").agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col("col"))).alias("_last"))
+    carried = F.last("_last", True).over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    last = last.withColumn("_carried", carried).select(key, "_block", "_carried")
+    inside = F.last("_s", True).over(Window.partitionBy(key, "_block").orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
+    out = every.withColumn("_own", inside).where("_cell").join(last, [key, "_block"])
+    return out.select(key, "col", F.coalesce("_own", "_carried", F.lit("absent")).alias("state"))
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -253,10 +253,10 @@ def lagged_step(spark, root):
     return d.select("event_id", "user_id", F.round(step, 6).alias("step")).where("step IS NOT NULL")
 
 
-@query(_E + """, j AS (SELECT event_id, user_id, t, value FROM e WHERE value > 400)
+@query(_E + """, j AS (SELECT event_id, user_id, t, value FROM e WHERE value > 250)
 SELECT event_id, user_id, (SELECT min(v) FROM (SELECT value AS v FROM j x WHERE x.user_id = j.user_id AND x.t >= j.t - 259200 AND x.t < j.t ORDER BY x.t DESC, x.event_id DESC LIMIT 20) HAVING count(*) >= 3) AS floor FROM j""")
 def trailing_floor(spark, root):
-    j = events(spark, root).where("value > 400").withColumn("us", F.round(F.col("t") * 1e6).cast("bigint"))
+    j = events(spark, root).where("value > 250").withColumn("us", F.round(F.col("t") * 1e6).cast("bigint"))
     return trailing_least(j, 259_200_000_000, 20, 3)
 
 
