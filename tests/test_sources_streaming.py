@@ -44,6 +44,15 @@ def test_split_reads_the_same(spark, folder, tmp_path):
     assert read(1000) == read(1 << 20) and len(read(1000)) == 50
 
 
+def test_equal_names_in_two_folders(spark, tmp_path):
+    spark.dataSource.register(captures.CaptureSource)
+    for day, n in (("d1", 2), ("d2", 3)):
+        (tmp_path / day).mkdir()
+        captures.write_a(str(tmp_path / day / "x.dat"), [{"tick": k, "coarse": k, "rssi": 1, "mac": MAC, "iq": np.ones((1, 1, 4, 2))} for k in range(n)])
+    got = spark.read.format("wavemill.capture").load(str(tmp_path)).groupBy("capture").count().collect()
+    assert {r["capture"]: r["count"] for r in got} == {"d1/x": 2, "d2/x": 3}
+
+
 def test_planes(spark, folder):
     spark.dataSource.register(captures.CaptureSource)
     path, _, z = folder

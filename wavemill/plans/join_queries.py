@@ -103,7 +103,8 @@ def state_on_grid(spark, root):
     return joins.state_on_cells(_signs(spark, root), day_levels(spark, root), "user_id", "t", "event_id", "sign", DAY)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE value > 250),
+a AS (SELECT user_id, min(t) AS at FROM e GROUP BY 1 UNION ALL SELECT a.user_id, min(e.t) FROM a JOIN e ON e.user_id = a.user_id AND e.t >= a.at + 172800 GROUP BY a.user_id, a.at) SELECT user_id, "at" FROM a""")
 def refractory_alarms(spark, root):
     return joins.alarms(events(spark, root).where("value > 250"), "user_id", "t", "event_id", 2 * DAY, BLOCK)
 

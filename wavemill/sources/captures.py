@@ -9,6 +9,7 @@ of tag-length-value items; a frame is a run of records of one group that its las
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 from collections.abc import Iterator
@@ -122,8 +123,8 @@ def _batches(capture: str, frames: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int, base: int):
-        self.path, self.start, self.stop, self.base = path, start, stop, base
+    def __init__(self, path: str, start: int, stop: int, base: int, stride: int = 0):
+        self.path, self.start, self.stop, self.base, self.stride = path, start, stop, base, stride
 
 
 class CaptureReader(DataSourceReader):
@@ -141,30 +142,43 @@ class CaptureReader(DataSourceReader):
             with open(path, "rb") as f:
                 head = f.read(HEADER)
             stride = HEADER + int.from_bytes(head[:4], "little") if len(head) == HEADER and not is_format_b(head) else 0
-            if stride > HEADER and size % stride == 0 and size > self.split and self._uniform(path, size, stride):
-                step = max(1, self.split // stride) * stride
-                out += [_Range(path, a, min(a + step, size), a // stride) for a in range(0, size, step)]
+            step = max(1, self.split // stride) * stride if stride > HEADER and self.split else 0
+            if step and size % stride == 0 and size > self.split and self._same_stride(path, size, stride, step):
+                out += [_Range(path, a, min(a + step, size), a // stride, stride) for a in range(0, size, step)]
             else:
                 out.append(_Range(path, 0, size, 0))
         return out or [_Range("", 0, 0, 0)]
 
     @staticmethod
-    def _uniform(path: str, size: int, stride: int) -> bool:
+    def _same_stride(path: str, size: int, stride: int, step: int) -> bool:
+        """Whether a record of the first one's size begins at each cut; the tasks look at the records between."""
         with open(path, "rb") as f:
-            for at in range(0, size, stride):
+            for at in [*range(0, size, step), size - stride]:
                 f.seek(at)
                 if int.from_bytes(f.read(4), "little") + HEADER != stride:
                     return False
         return True
 
     def read(self, partition):
-        if not partition.path:
+        """Frames of one range. Files are mapped, so a task holds the pages that it reads and no whole file."""
+        if not partition.path or partition.stop <= partition.start:
             return
         with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            data = f.read(partition.stop - partition.start)
-        name = os.path.splitext(os.path.basename(partition.path))[0]
-        yield from _batches(name, frames_b(data, self.plane) if is_format_b(data[:4]) else walk_a(data, partition.base))
+            data = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))[partition.start : partition.stop]
+        frames = frames_b(data, self.plane) if is_format_b(data[:4]) else walk_a(data, partition.base)
+        if partition.stride:
+            frames = self._counted(frames, partition)
+        inside = os.path.relpath(partition.path, self.root) if os.path.isdir(self.root) else os.path.basename(partition.path)
+        yield from _batches(os.path.splitext(inside)[0], frames)
+
+    @staticmethod
+    def _counted(frames, partition):
+        """The frames of a part of a file, with an error where its records differ in size after all."""
+        n = 0
+        for n, frame in enumerate(frames, 1):
+            yield frame
+        if n * partition.stride != partition.stop - partition.start:
+            raise ValueError(f"{partition.path} has records of several sizes: read it with splitBytes=0")
 
 
 class CaptureSource(DataSource):
