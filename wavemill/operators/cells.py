@@ -13,6 +13,29 @@ def cell(t: Column, width: float, origin: float | Column = 0.0) -> Column:
     return F.floor((t - origin) / width)
 
 
+#: Seconds of a column at level 0, and the coarsest level.
+FINEST, COARSEST = 1e-3, 40
+
+
+def lattice_dt(level: Column) -> Column:
+    """Seconds covered by one column at a level."""
+    return FINEST * F.pow(F.lit(2.0), level)
+
+
+def pick_level(span: Column, width: int, least: Column) -> Column:
+    """The finest level whose columns still fit ``width``, and whose columns are no finer than ``least`` seconds."""
+    levels = F.sequence(F.lit(0).cast("bigint"), F.lit(COARSEST).cast("bigint"))
+    fits = F.array_min(F.filter(levels, lambda k: F.ceil(span / lattice_dt(k)) <= width))
+    floor = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.log2(least / FINEST)))
+    return F.least(F.greatest(F.coalesce(fits, F.lit(COARSEST).cast("bigint")), F.coalesce(floor, F.lit(0).cast("bigint"))), F.lit(COARSEST).cast("bigint"))
+
+
+def snap_window(t0: Column, t1: Column, level: Column) -> tuple[Column, Column]:
+    """First and end column at a level that cover a window, one at least."""
+    first, end = F.floor(t0 / lattice_dt(level)), F.ceil(t1 / lattice_dt(level))
+    return first, F.greatest(end, first + 1)
+
+
 def max_hold(df: DataFrame, key: str, t: str, value: str, width: float) -> DataFrame:
     """key, col, peak, n: the maximum of each cell (NaN counts as larger than any number)."""
     return df.groupBy(key, cell(F.col(t), width).alias("col")).agg(F.max(value).alias("peak"), F.count("*").alias("n"))
