@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -10,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavemill.llm import pii, piece_sampling
+from wavemill.llm import pii, piece_sampling, queries
 
 NAMES = pii.Pseudonyms(b"k")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,6 +70,25 @@ def test_pseudonymise_rows(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), b"k").collect() == []
 
 
+def test_query(spark, sf):
+    """Every row, one document at a time; equal values stay linked across documents and different ones apart."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names, forth, back = pii.Pseudonyms(queries.PII_KEY), {}, {}
+    got = {r.doc_id: r for r in queries.op3_pii_pseudonyms(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        counts = Counter()
+        new = pii.replaced(text, names, counts)
+        assert hashlib.sha256(new.encode()).hexdigest() == got[i].text_sha256
+        assert {k: got[i][f"n_{k}"] for k in pii.KINDS} == {k: counts[k] for k in pii.KINDS}
+        assert len(new) == len(text) and pii.replaced(new, names, Counter(), back=True) == text
+        changed = [(m[0], new[m.start() : m.end()]) for m in pii._FOUND.finditer(text)]
+        assert sum(a != b for a, b in changed) <= sum(counts.values())
+        for a, b in changed:
+            assert forth.setdefault(a, b) == b and back.setdefault(b, a) == a
+    assert len(forth) > 10
+
+
 SAMPLER = piece_sampling.Sampler(MODEL, 1.0, 11)
 SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
