@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
+from . import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,64 @@ def op9_piece_sampling(spark: SparkSession, root: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(load(spark, root, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.kept_digest(F.col("kept")).alias("kept_sha256"))
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, root: str) -> DataFrame:
+    talks = load(spark, root, "conversations")
+    return conversation_repair.repair_report(talks, conversation_repair.damaged(talks))
+
+
+# An inserted turn costs 5; deleting its partner and, where nothing is left, a system turn costs 4 at most, so the
+# cheapest repair never inserts and the recursion leaves insertions out.
+_SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM (SELECT *, c % 20 AS k FROM raw) WHERE k <> 0),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+placed AS (
+  SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before FROM faults
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM placed GROUP BY conv_id),
+edits AS (
+  SELECT conv_id, i, role, text, p AS was, CASE WHEN e = 'D' THEN p WHEN e = 'K' THEN left(role, 1) WHEN p = 'u' THEN 'a' ELSE 'u' END AS now, e,
+    CASE e WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost
+  FROM placed, (SELECT unnest(['0', 's', 'u', 'a']) AS p), (SELECT unnest(['D', 'K', 'R']) AS e)
+  WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate')
+    AND (e = 'R' OR (left(role, 1) = 's' AND p = '0') OR (left(role, 1) = 'u' AND p <> 'u') OR (left(role, 1) = 'a' AND p = 'u')))),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS state, {'cost': 0::BIGINT, 'audit': ''::VARCHAR, 'lines': []::VARCHAR[]} AS best FROM counts
+  UNION ALL
+  SELECT s.conv_id, e.i, e.now, min({'cost': s.best.cost + e.cost, 'audit': s.best.audit || e.e,
+    'lines': CASE WHEN e.e = 'D' THEN s.best.lines WHEN e.e = 'K' THEN list_append(s.best.lines, e.role || ':' || e.text)
+      ELSE list_append(s.best.lines, CASE e.now WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || e.text) END})
+  FROM steps s JOIN edits e ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = s.i + 1 AND e.was = s.state
+  GROUP BY s.conv_id, e.i, e.now),
+best AS (
+  SELECT c.conv_id, min(s.best) AS b FROM counts c JOIN steps s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = c.n
+  WHERE s.state IN ('0', 'a') GROUP BY c.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+  coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
