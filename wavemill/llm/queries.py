@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
+from . import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, nearest, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,9 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
   LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
 """
+
+
+@_query
+def op12_nearest(spark: SparkSession, root: str) -> DataFrame:
+    vectors = load(spark, root, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
