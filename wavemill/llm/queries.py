@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, nearest, pii, piece_sampling, quality_rules, suffix_dedup, token_counts, toxicity
+from . import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, nearest, pii, piece_sampling, quality_rules, ranked_search, suffix_dedup, token_counts, toxicity
 from .common import crc_residue, load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv
 def op12_nearest(spark: SparkSession, root: str) -> DataFrame:
     vectors = load(spark, root, "embeddings")
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@_query
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranked_search.search(load(spark, root, "documents"), load(spark, root, "benchmark"))
+
+
+_SQL["op11_ranked_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+len AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM len),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN len USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
