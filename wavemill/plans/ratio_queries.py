@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import orientation
+from ..operators import gains, orientation
 from .catalog import query
 from .time_queries import BLOCK, events
 
@@ -53,3 +53,50 @@ def ratio_corrected(spark, root):
     """Sum of the corrected phases and highest corrected level of each frame, where no reference is known."""
     done = states(damaged(spark, root), None).select("link", "event_id", orientation.corrected_phase("phase").alias("p"), orientation.corrected_amplitude("level").alias("l"))
     return done.select("link", "event_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 5).alias("phase"), F.round(F.array_max("l"), 5).alias("level"))
+
+
+# Gain states --------------------------------------------------------------------------------------------------------
+
+_STATED = f"""WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 + user_id % 4 END AS link FROM events),
+g AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS gain, 1 + event_id % 3 AS much FROM e),
+c AS (SELECT *, unnest(range({SC})) AS sc FROM g),
+p AS (SELECT *, 4 * sin(0.9 * sc + link) AS clean, much * CASE gain WHEN 1 THEN sign(7.5 - sc) * (1 + sc % 8 % 3) WHEN 2 THEN (CASE WHEN sc % 2 = 0 THEN 1 ELSE -1 END) * (1 + sc // 2 % 2) ELSE 0 END AS bent FROM c)"""
+
+
+def stated(spark, root):
+    """link, event_id, i, n, gain, level: frames of one shape a link, bent along one direction by each of two gain states."""
+    link = F.when(F.col("user_id") % 3 == 0, 0).otherwise(1 + F.col("user_id") % 4).cast("bigint")
+    e = events(spark, root).select("event_id", link.alias("link"), "t")
+    e = e.withColumns({"gain": F.when(F.col("event_id") % 5 == 0, 1).when(F.col("event_id") % 7 == 0, 2).otherwise(0), "much": 1 + F.col("event_id") % 3})
+    first = lambda s: F.signum(7.5 - s) * (1 + s % 8 % 3)
+    second = lambda s: F.when(s % 2 == 0, 1).otherwise(-1) * (1 + F.floor(s / 2) % 2)
+    bent = lambda s: F.col("much") * F.when(F.col("gain") == 1, first(s)).when(F.col("gain") == 2, second(s)).otherwise(0)
+    level = F.transform(F.sequence(F.lit(0), F.lit(SC - 1)), lambda s: 4 * F.sin(0.9 * s + F.col("link")) + bent(s))
+    return orientation.numbered(e.select("link", "event_id", "t", "gain", level.alias("level")), "link", ["t", "event_id"], F.floor(F.col("t") / BLOCK))
+
+
+@query(_STATED + " SELECT link, event_id, sc::INTEGER AS sc, round(clean, 5) AS level FROM p")
+def gain_removed(spark, root):
+    """Decibels without the shapes of gain states; the SQL knows what they were before."""
+    done = gains.without_gain(stated(spark, root), "link", "gain", "level")
+    return done.select("link", "event_id", F.posexplode("corrected").alias("sc", "level")).withColumn("level", F.round("level", 5))
+
+
+@query(_STATED + """, d AS (SELECT link, gain, sc, bent - median(clean + bent) OVER w + median(clean) OVER w AS delta FROM p WINDOW w AS (PARTITION BY event_id)),
+o AS (SELECT link, gain, sc, median(delta) AS o, count(*) AS n FROM d WHERE gain > 0 GROUP BY 1, 2, 3)
+SELECT link, gain::INTEGER AS gain, sc::INTEGER AS sc, round(o - median(o) OVER (PARTITION BY link, gain), 5) AS excess FROM o WHERE n >= 20""")
+def gain_offsets(spark, root):
+    """What each gain state that is frequent enough does to the shape, as the median over its frames."""
+    rows = gains.with_main_state(stated(spark, root), "link", "gain")
+    deltas = gains.differences(rows, "link", "gain", "level").withColumn("gain", F.col("gain").cast("int"))
+    return gains.offsets(deltas, "link", "gain").select("link", "gain", F.posexplode("offset").alias("sc", "excess")).withColumn("excess", F.round("excess", 5))
+
+
+@query(_STATED + " SELECT link, event_id, round(sqrt(sum(bent * bent)), 5) AS length FROM p WHERE gain > 0 GROUP BY 1, 2")
+def gain_strengths(spark, root):
+    """How far each frame of a lesser state lies from the main shape along the directions that such frames share."""
+    rows = gains.with_main_state(stated(spark, root), "link", "gain")
+    deltas = gains.differences(rows, "link", "gain", "level")
+    based = rows.join(gains.shared_directions(deltas, "link"), "link").select("link", "event_id", "i", "n", "gain", "main", gains.along("level").alias("y"))
+    moves = gains.strengths(based, "link", "gain").join(based.where("gain <> main").select("link", "i", "event_id"), ["link", "i"])
+    return moves.select("link", "event_id", F.round(F.sqrt(F.aggregate("move", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("length"))
