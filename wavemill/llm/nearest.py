@@ -27,6 +27,8 @@ from .common import schema_of
 LINES, WIDTH, GROWTH, RECALL = 64, 2.72, 1.15, 0.98
 #: Vectors of a block and queries of a group. They only decide what meets in one task.
 BLOCK_ROWS, GROUP_ROWS = 4096, 2048
+#: Vectors of a block that tell a query where its windows start, and queries that widen theirs together.
+SOME, TOGETHER = 128, 64
 SEED = 20
 
 
@@ -49,57 +51,76 @@ class Block:
         self.need = collision_threshold(lines, width, recall)
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], lines))
         projected = (vectors @ self.lines).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
-        spread = np.sqrt(np.mean(np.var(projected, axis=1)) * 2)  # a typical distance
-        self.start = max(float(spread) / 16, 1e-9)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest vectors found, nearest first, ties by id; those under the id ``own`` do not count."""
-        n = len(self.ids)
-        at = query @ self.lines
-        low = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at)])
-        high = low.copy()
-        counts, verified = np.zeros(n, np.int64), self.ids == own
-        found, distances = [], []
-        radius, near = self.start, 0
-        while True:
-            reach = self.width * radius / 2
-            added = []
-            for i, row in enumerate(self.sorted):
-                a = int(np.searchsorted(row, at[i] - reach, "left"))
-                b = int(np.searchsorted(row, at[i] + reach, "right"))
-                if a < low[i]:
-                    added.append(self.order[i, a : low[i]])
-                    low[i] = a
-                if b > high[i]:
-                    added.append(self.order[i, high[i] : b])
-                    high[i] = b
-            if added:
-                counts += np.bincount(np.concatenate(added), minlength=n)
-                fresh = np.flatnonzero((counts >= self.need) & ~verified)
-                if len(fresh):
-                    verified[fresh] = True
-                    found.append(fresh)
-                    distances.append(np.sqrt(((self.vectors[fresh] - query) ** 2).sum(1)))
-            near = sum(int(np.count_nonzero(d <= radius)) for d in distances)
-            if near >= k and self._enough(found, distances, radius, k) or verified.all():
-                break
-            radius *= self.growth
-        if not found:
+        self.some = vectors[:: max(1, len(vectors) // SOME)]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and distances of the k nearest vectors found, nearest first, ties by id; those under the query's id in ``own`` do not count."""
+        projected = queries @ self.lines
+        # windows start at the distance of the nearest of a few vectors, and at no less than rounding can tell apart
+        near = np.array([np.sqrt(((self.some - q) ** 2).sum(1)) for q in queries])
+        radius = np.maximum(np.where(near > 0, near, np.inf).min(1), 1e-9 * np.abs(self.sorted).max())
+        radius = np.where(np.isfinite(radius), radius, 1.0) / self.growth
+        asked = [_Asked(len(self.ids), projected.shape[1], self.ids == i) for i in own]
+        going = np.arange(len(queries))
+        while len(going):
+            reach = self.width * radius[going] / 2
+            low, high = np.empty((len(going), len(self.sorted)), np.int64), np.empty((len(going), len(self.sorted)), np.int64)
+            for i, line in enumerate(self.sorted):  # all queries at once on one sorted array
+                low[:, i] = np.searchsorted(line, projected[going, i] - reach, "left")
+                high[:, i] = np.searchsorted(line, projected[going, i] + reach, "right")
+            left = []
+            for row, q in enumerate(going):
+                asked[q].widen(self, queries[q], low[row], high[row])
+                if not asked[q].enough(self, radius[q], k):
+                    left.append(q)
+            going = np.array(left, np.int64)
+            radius[going] *= self.growth
+        return [x.best(self, k) for x in asked]
+
+
+class _Asked:
+    """What one query has seen of a block: its windows, the collisions of each vector, and the verified ones."""
+
+    def __init__(self, n: int, lines: int, own: np.ndarray):
+        self.low = self.high = None
+        self.counts, self.verified, self.found, self.distances = np.zeros(n, np.int64), own, [], []
+
+    def widen(self, block: Block, query: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Count what the wider windows add, and verify the vectors that now collide often enough."""
+        if self.low is None:
+            added = [block.order[i, a:b] for i, (a, b) in enumerate(zip(low.tolist(), high.tolist()))]
+        else:
+            added = [block.order[i, a:b] for i, (a, b) in enumerate(zip(low.tolist(), self.low.tolist())) if a < b]
+            added += [block.order[i, a:b] for i, (a, b) in enumerate(zip(self.high.tolist(), high.tolist())) if a < b]
+        self.low, self.high = low, high
+        if not added:
+            return
+        self.counts += np.bincount(np.concatenate(added), minlength=len(self.counts))
+        fresh = np.flatnonzero((self.counts >= block.need) & ~self.verified)
+        if len(fresh):
+            self.verified[fresh] = True
+            self.found.append(fresh)
+            self.distances.append(np.sqrt(((block.vectors[fresh] - query) ** 2).sum(1)))
+
+    def enough(self, block: Block, radius: float, k: int) -> bool:
+        """Whether k different ids lie within the radius, or nothing is left to verify."""
+        if self.verified.all():
+            return True
+        near = [block.ids[rows[d <= radius]] for rows, d in zip(self.found, self.distances)]
+        return sum(map(len, near)) >= k and len(np.unique(np.concatenate(near))) >= k
+
+    def best(self, block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.found:
             return np.zeros(0, np.int64), np.zeros(0)
-        rows, d = np.concatenate(found), np.concatenate(distances)
-        order = np.lexsort((self.ids[rows], d))
-        ids = self.ids[rows[order]]
+        rows, d = np.concatenate(self.found), np.concatenate(self.distances)
+        order = np.lexsort((block.ids[rows], d))
+        ids = block.ids[rows[order]]
         _, first = np.unique(ids, return_index=True)  # an id of several vectors counts with the nearest
         first = np.sort(first)[:k]
         return ids[first], d[order][first]
 
-    def _enough(self, found: list, distances: list, radius: float, k: int) -> bool:
-        """Whether k different ids lie within the radius."""
-        near = [self.ids[rows[d <= radius]] for rows, d in zip(found, distances)]
-        return len(np.unique(np.concatenate(near))) >= k
-
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Rows with an id and a vector of finite components that are not all zero."""
@@ -148,13 +169,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, lines: int = LI
                 if mine.any():
                     held.append((ids[mine], np.diff(offsets)[mine], [r for r, m in zip(rows, mine) if m]))
                 out: tuple[list, list, list] = [], [], []
-                for q in np.flatnonzero(asks):
-                    block = index_of(len(rows[q]))
-                    if block is not None:
-                        near, d = block.search(rows[q], ids[q], k)
-                        out[0].append(np.full(len(near), ids[q]))
-                        out[1].append(near)
-                        out[2].append(d)
+                lengths, questions = np.diff(offsets), np.flatnonzero(asks)
+                for length in np.unique(lengths[questions]):
+                    block, same = index_of(length), questions[lengths[questions] == length]
+                    for at_once in range(0, len(same) if block is not None else 0, TOGETHER):
+                        mine = same[at_once : at_once + TOGETHER]
+                        for q, (near, d) in zip(mine, block.search(np.stack([rows[x] for x in mine]), ids[mine], k)):
+                            out[0].append(np.full(len(near), ids[q]))
+                            out[1].append(near)
+                            out[2].append(d)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
