@@ -47,7 +47,7 @@ def ratio_at(t: np.ndarray, v: np.ndarray, at: float) -> float:
     return float(np.median(step2) / np.median(step1))
 
 
-def advance(t: np.ndarray, v: np.ndarray, hop: float | None) -> tuple[list[tuple[float, float]], np.ndarray, np.ndarray, float]:
+def advance(t: np.ndarray, v: np.ndarray, hop: float | None, ratio=ratio_at, reach: float = WINDOW + 2 * LAG) -> tuple[list[tuple[float, float]], np.ndarray, np.ndarray, float]:
     """Hops that the rows so far complete, the rows still needed, and the next hop. A pause over GAP starts anew behind it."""
     out: list[tuple[float, float]] = []
     if hop is None:
@@ -59,9 +59,9 @@ def advance(t: np.ndarray, v: np.ndarray, hop: float | None) -> tuple[list[tuple
             t, v = t[k:], v[k:]
             hop = np.ceil(t[0] / HOP) * HOP + HOP
             continue
-        out.append((float(hop), ratio_at(t, v, hop)))
+        out.append((float(hop), ratio(t, v, hop)))
         hop += HOP
-    keep = t > hop - (WINDOW + 2 * LAG)
+    keep = t > hop - reach
     return out, t[keep], v[keep], float(hop)
 
 
