@@ -181,7 +181,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block_postings: int =
     work = Work(docs.sparkSession)
     queries = tokenised(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "item_id", None)
     postings = queries.select("item_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).groupBy("item_id", F.col("p.terms").alias("term")).agg(F.sum("p.tfs").alias("times"))
-    postings = work.saved(postings, "postings")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     matched = work.saved(tokenised(texts, "doc_id", term_bitmap(postings)), "matched")
     totals = matched.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -198,8 +197,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block_postings: int =
     # items in blocks of about ``block_postings`` postings; each block is in few files, which its filter finds by their statistics
     blocks = max(1, math.ceil(postings.count() / block_postings))
     dealt = work.saved(weighted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), "dealt")
-    ranged = work.saved(matched.where(F.size("terms") > 0).repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("n", "terms", "tfs")).sortWithinPartitions(F.asc_nulls_first("doc_id")), "ranged")
-    work.drop("matched")
+    ranged = matched.where(F.size("terms") > 0).repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("n", "terms", "tfs")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    if blocks > 1:  # read once a block
+        ranged = work.saved(ranged, "ranged")
+        work.drop("matched")
     found = None
     for number in range(blocks):
         block, names = _block(dealt.where(F.col("block") == number), n_docs)
@@ -208,7 +209,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block_postings: int =
         best = _scored(ranged, block, n_docs, n_terms, k, sorted_rows)
         labels = docs.sparkSession.createDataFrame(list(enumerate(names)), schema_of(item="int", item_id=items.schema["item_id"].dataType.simpleString()))
         best = best.join(F.broadcast(labels), "item").select("item_id", "doc_id", "score")  # a block's items
-        best = work.saved(best, f"best-{number}")
+        best = work.saved(best, f"best-{number}") if blocks > 1 else best
         found = best if found is None else found.union(best)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema_of(item_id=items.schema["item_id"].dataType.simpleString(), doc_id="bigint", score="bigint"))
