@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import gains, orientation
+from ..operators import breathing, gains, orientation, pools
 from .catalog import query
 from .time_queries import BLOCK, events
 
@@ -100,3 +100,61 @@ def gain_strengths(spark, root):
     based = rows.join(gains.shared_directions(deltas, "link"), "link").select("link", "event_id", "i", "n", "gain", "main", gains.along("level").alias("y"))
     moves = gains.strengths(based, "link", "gain").join(based.where("gain <> main").select("link", "i", "event_id"), ["link", "i"])
     return moves.select("link", "event_id", F.round(F.sqrt(F.aggregate("move", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("length"))
+
+
+# Reference pools and breathing -----------------------------------------------------------------------------------------
+
+_POOL = """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS t, value FROM events),
+p AS (SELECT event_id, sc, 3 * sin(0.9 * sc) + CASE WHEN event_id % 3 = 0 THEN 4 ELSE 0 END + value / 1000 * cos(sc) AS x FROM e, range(8) r(sc)),
+n AS (SELECT a.event_id, b.event_id AS other, abs(a.t - b.t) AS away FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.event_type = 'error' AND b.event_type = 'view' AND abs(a.t - b.t) <= 864000),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY away, other) AS rank FROM n QUALIFY rank <= 6),
+d AS (SELECT i.event_id, i.rank AS a, j.rank AS b, any_value(i.other) AS ao, any_value(j.other) AS bo, avg(abs(x.x - y.x)) AS d FROM k i JOIN k j USING (event_id) JOIN p x ON x.event_id = i.other JOIN p y ON y.event_id = j.other AND y.sc = x.sc GROUP BY 1, 2, 3),
+g AS (SELECT event_id, a, count(*) AS size, list(bo ORDER BY b) AS kept FROM d WHERE d <= 2 GROUP BY 1, 2),
+b AS (SELECT event_id, kept, size FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY size DESC, a) = 1),
+s AS (SELECT event_id, max(a) AS n_pool, coalesce(median(d) FILTER (a < b), 0) AS spread FROM d GROUP BY 1)"""
+
+
+@query(_POOL + " SELECT event_id, array_to_string(kept, ',') AS kept, n_pool::INTEGER AS n_pool, round(spread, 6) AS spread, CASE WHEN size >= 2 THEN kept[1] END AS reference FROM b JOIN s USING (event_id)")
+def screened_pool(spark, root):
+    """Errors against the profiles of the six views nearest in time, screened for those of one room."""
+    at = F.sequence(F.lit(0), F.lit(7))
+    profile = F.transform(at, lambda s: 3 * F.sin(0.9 * s) + F.when(F.col("event_id") % 3 == 0, 4).otherwise(0) + F.col("value") / 1000 * F.cos(s))
+    e = events(spark, root).select("event_id", "user_id", "event_type", "t", profile.alias("profile"))
+    found = pools.screen_pools(e.where("event_type = 'error'"), e.where("event_type = 'view'"), "user_id", "t", "event_id", "profile", 10 * 86400.0, 6, 2.0)
+    return found.select("event_id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "n_pool", F.round("spread", 6).alias("spread"), "reference")
+
+
+CHEST = breathing.Breathing(rate=5.0)
+_CHEST = """WITH e AS (SELECT event_id, event_type, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 + user_id % 4 END AS link, epoch_us(ts) / 1e6 AS t FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY link) AS n FROM e),
+w AS (SELECT link, i AS start, n, avg((event_type IN ('error', 'click'))::INT) OVER (PARTITION BY link ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS made FROM g)"""
+
+
+def chest(spark, root):
+    """link, i, n, re, im, fabricated: a uniform grid a link, in which a chest moves with a period that is the link's own."""
+    link = F.when(F.col("user_id") % 3 == 0, 0).otherwise(1 + F.col("user_id") % 4).cast("bigint")
+    e = events(spark, root).select("event_id", "event_type", link.alias("link"), "t")
+    g = orientation.numbered(e, "link", ["t", "event_id"], F.floor(F.col("t") / BLOCK))
+    period = F.get(F.array(*map(F.lit, (12, 16, 20, 18, 14))), F.col("link").cast("int"))
+    at = F.sequence(F.lit(0), F.lit(7))
+    move = 0.05 * F.sin(2 * math.pi * F.col("i") / period)
+    plane = lambda f: F.transform(at, lambda s: f(0.7 * s) + move * f(1.1 * s + 0.3))
+    return g.select("link", "i", "n", plane(F.cos).alias("re"), plane(F.sin).alias("im"), F.col("event_type").isin("error", "click").alias("fabricated"))
+
+
+@query(_CHEST + """ SELECT link, start, made > 0.5 AS unknown, made <= 0.5 AS still, CASE WHEN made <= 0.5 THEN [12, 16, 20, 18, 14][link + 1] END::BIGINT AS period
+FROM w WHERE start % 5 = 0 AND start + 50 <= n""")
+def breathing_windows(spark, root):
+    """The period (samples) that each window of ten seconds shows, where enough of its frames are real; the SQL knows the chest's."""
+    w = breathing.windows(chest(spark, root), "link", CHEST)
+    known = ~F.col("unknown")
+    return w.select("link", "start", "unknown", (F.col("still") & known).alias("still"), F.when(known, F.round(60 * CHEST.rate / F.col("rpm")).cast("bigint")).alias("period"))
+
+
+@query(_CHEST + """, o AS (SELECT g.link, g.i, min(start) AS start, bool_or(made <= 0.5) AS present FROM g JOIN w ON w.link = g.link AND start % 5 = 0 AND start + 50 <= w.n AND
+    g.i >= CASE WHEN start = 0 THEN 0 ELSE start + 22 END AND g.i < CASE WHEN start + 55 > w.n THEN least(w.n, start + 50) ELSE start + 27 END GROUP BY 1, 2)
+SELECT o.link, o.i, event_type NOT IN ('error', 'click') AS shown FROM o JOIN g ON g.link = o.link AND g.i = o.i WHERE present""")
+def breathing_pattern(spark, root):
+    """Which frames of the one pattern a link have a value: those of windows with enough real frames, where they are real themselves."""
+    line = breathing.stitched(breathing.windows(chest(spark, root), "link", CHEST), "link")
+    return line.select("link", "i", F.col("value").isNotNull().alias("shown"))
