@@ -88,8 +88,15 @@ def auc(df: DataFrame, key: str, score: str, label: str) -> DataFrame:
 
 def standardised(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     """``df`` with z_<column>: medians for the missing, then minus mean over deviation, by key."""
-    aggs = [F.median(c).alias(f"_m_{c}") for c in columns]
-    filled = df.join(df.groupBy(*keys).agg(*aggs), list(keys)) if keys else df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
+    from ..operators.frames import medians
+
+    of = list(keys) or ["_all"]
+    rows, filled = df.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0))
+    for c in columns:
+        width = rows.agg(F.try_divide(F.max(c) - F.min(c), F.lit(1024.0))).first()[0]
+        found = medians(rows, of, c, f"_m_{c}", width or 1.0)
+        filled = filled.join(found if keys else F.broadcast(found), of, "left")  # one row where all rows are one group
+    filled = filled.drop("_all")
     filled = filled.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns})
     stats = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.avg), ("s", F.stddev_pop))]
     out = filled.join(filled.groupBy(*keys).agg(*stats), list(keys)) if keys else filled.crossJoin(F.broadcast(filled.agg(*stats)))

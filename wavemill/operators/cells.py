@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import quantiles
+from .frames import medians, quantiles
 
 
 def cell(t: Column, width: float, origin: float | Column = 0.0) -> Column:
@@ -89,9 +89,11 @@ def scale_bounds(df: DataFrame, value: str, key: str, width: float = 1.0) -> Dat
     return ends.join(q, key, "left").select(key, "lo", "hi", F.col("q0").alias("p01"), F.col("q1").alias("p99"))
 
 
-def envelope(df: DataFrame, key: str, t: str, value: str, bins: int) -> DataFrame:
+def envelope(df: DataFrame, key: str, t: str, value: str, bins: int, width: float = 1.0) -> DataFrame:
     """Median, least, greatest and count in ``bins`` equal bins between each key's first and last time; the last is closed."""
     ends = df.groupBy(key).agg(F.min(t).alias("a"), F.max(t).alias("b"))
     k = F.least(F.floor((F.col(t) - F.col("a")) * bins / (F.col("b") - F.col("a"))), F.lit(bins - 1))
     at = F.when(F.col("b") > F.col("a"), k).otherwise(F.lit(0))
-    return df.join(ends, key).groupBy(key, at.alias("bin")).agg(F.median(value).alias("mid"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
+    binned = df.join(ends, key).select(key, at.alias("bin"), value)
+    rest = binned.groupBy(key, "bin").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
+    return rest.join(medians(binned, [key, "bin"], value, "mid", width), [key, "bin"], "left").select(key, "bin", "mid", "lo", "hi", "n")

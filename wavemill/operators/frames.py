@@ -79,6 +79,12 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float], width: f
     return found.select(key, "n", *(read(x).alias(f"q{k}") for k, x in enumerate(at)))
 
 
+def medians(df: DataFrame, keys: list[str], value: str, name: str, width: float) -> DataFrame:
+    """keys, name: exact medians of groups of any size, counted by slices of ``width`` first."""
+    found = quantiles(df.select(F.struct(*keys).alias("_k"), F.col(value).alias("_x")), "_k", "_x", [0.5], width)
+    return found.select(*(F.col(f"_k.{k}").alias(k) for k in keys), F.col("q0").alias(name))
+
+
 def filter_frames(df: DataFrame, mode: str | None = None, source: str | None = None, mode_column: str = "mode", source_column: str = "source") -> DataFrame:
     """Rows of one antenna mode and one transmitter; None, blank or ``all`` skips a filter."""
     if mode and mode.strip().lower() != "all":

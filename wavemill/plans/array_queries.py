@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.frames import medians
 from ..session import table
 from .catalog import query
 
@@ -26,12 +27,12 @@ def cells(spark, root):
 
 @query(_P + " SELECT label, i::INTEGER AS i, round(median(x), 6) AS level FROM p GROUP BY 1, 2")
 def amplitude_profile(spark, root):
-    return cells(spark, root).groupBy("label", "i").agg(F.round(F.median("x"), 6).alias("level"))
+    return medians(cells(spark, root), ["label", "i"], "x", "level", 0.01).withColumn("level", F.round("level", 6))
 
 
 @query(_P + ", m AS (SELECT label, i, median(x) AS l FROM p GROUP BY 1, 2) SELECT a.label AS one, b.label AS other, round(avg(abs(a.l - b.l)), 6) AS deviation FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2")
 def baseline_deviation(spark, root):
-    m = cells(spark, root).groupBy("label", "i").agg(F.median("x").alias("l"))
+    m = medians(cells(spark, root), ["label", "i"], "x", "l", 0.01)
     other = m.select(F.col("label").alias("other"), "i", F.col("l").alias("k"))
     pairs = m.join(other, "i").where(F.col("label") < F.col("other"))  # 64 rows a room
     return pairs.groupBy(F.col("label").alias("one"), "other").agg(F.round(F.avg(F.abs(F.col("l") - F.col("k"))), 6).alias("deviation"))
@@ -39,7 +40,7 @@ def baseline_deviation(spark, root):
 
 @query(_P + ", m AS (SELECT label, i, median(abs(x)) AS s FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, i) AS k FROM m) SELECT label, i::INTEGER AS i FROM r WHERE k > 9")
 def subcarrier_mask(spark, root):
-    m = cells(spark, root).groupBy("label", "i").agg(F.median(F.abs("x")).alias("s"))
+    m = medians(cells(spark, root).withColumn("x", F.abs("x")), ["label", "i"], "x", "s", 0.01)
     k = F.row_number().over(Window.partitionBy("label").orderBy("s", "i"))
     alive = F.count("*").over(Window.partitionBy("label"))
     return m.withColumns({"k": k, "drop": F.floor(alive * 0.15)}).where("k > drop").select("label", "i")
@@ -48,7 +49,7 @@ def subcarrier_mask(spark, root):
 @query(_P + ", m AS (SELECT label, i, median(abs(x)) / sqrt(2 * ln(2)) AS s FROM p GROUP BY 1, 2) SELECT vec_id, i::INTEGER AS i, round(x / s, 5) AS z FROM p JOIN m USING (label, i) WHERE s > 0")
 def normalize_columns(spark, root):
     p = cells(spark, root)
-    m = p.groupBy("label", "i").agg((F.median(F.abs("x")) / math.sqrt(2 * math.log(2))).alias("s")).where("s > 0")
+    m = medians(p.withColumn("x", F.abs("x")), ["label", "i"], "x", "s", 0.01).withColumn("s", F.col("s") / math.sqrt(2 * math.log(2))).where("s > 0")
     return p.join(m, ["label", "i"]).select("vec_id", "i", F.round(F.col("x") / F.col("s"), 5).alias("z"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import models
 from ..operators import cells, truth
+from ..operators.frames import medians
 from ..session import table
 from ..sources import decode
 from .array_queries import _P, vectors
@@ -95,7 +96,7 @@ def _levelled(spark, root):
 
 def _profiles(spark, root):
     """label, i, excess: how a gain state's median shape differs from the median of all states' shapes."""
-    g = _levelled(spark, root).groupBy("label", "i").agg(F.median("y").alias("g"))
+    g = medians(_levelled(spark, root), ["label", "i"], "y", "g", 0.01)
     return g.join(g.groupBy("i").agg(F.median("g").alias("m")), "i").select("label", "i", (F.col("g") - F.col("m")).alias("excess"))
 
 

@@ -10,27 +10,36 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import filters, signals as S
+from ..operators.frames import quantiles
 from ..session import table
 from .array_queries import _V, vectors
 from .catalog import query
 
 UNIT, SC, RATE = 50, 32, 10.0
 WIN, HOP = 20, 10
-_S = _V + f", s AS (SELECT vec_id // {UNIT} AS unit, vec_id % {UNIT} AS t, unnest(range({SC})) AS sc, unnest(x[1:{SC}]) AS re, unnest(x[{SC + 1}:{2 * SC}]) AS im FROM v)"
+_U = _V[:-1] + f" QUALIFY count(*) OVER (PARTITION BY vec_id // {UNIT}) = {UNIT})"
+_S = _U + f", s AS (SELECT vec_id // {UNIT} AS unit, vec_id % {UNIT} AS t, unnest(range({SC})) AS sc, unnest(x[1:{SC}]) AS re, unnest(x[{SC + 1}:{2 * SC}]) AS im FROM v)"
 _W = _S + f""", w AS (SELECT unit, sc, k AS w, t - k * {HOP} AS t, re, im, (unit * {UNIT} + t) // 15 % 2 = 0 AS fab FROM s, range(0, ({UNIT} - {WIN}) // {HOP} + 1) r(k) WHERE t >= k * {HOP} AND t < k * {HOP} + {WIN})"""
 
 
-def samples(spark, root):
-    """unit, t, sc, re, im: one row a sample and subcarrier."""
+def units(spark, root):
+    """unit, z: the frames of each unit in order, as arrays of (re, im). A last stretch of fewer than UNIT vectors is no unit."""
     halves = F.arrays_zip(F.slice("x", 1, SC).alias("re"), F.slice("x", SC + 1, SC).alias("im"))
-    v = vectors(spark, root).select(F.floor(F.col("vec_id") / UNIT).alias("unit"), (F.col("vec_id") % UNIT).alias("t"), F.posexplode(halves).alias("sc", "z"))
-    return v.select("unit", "t", "sc", "z.re", "z.im")
+    v = vectors(spark, root).select(F.floor(F.col("vec_id") / UNIT).alias("unit"), (F.col("vec_id") % UNIT).alias("t"), halves.alias("z"))
+    grouped = v.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("t", "z"))).alias("s")).where(F.size("s") == UNIT)
+    return grouped.select("unit", F.col("s.z").alias("z"))
 
 
 def series(spark, root):
-    """unit, sc, re, im: a subcarrier's samples of a unit (UNIT at most) in order."""
-    s = samples(spark, root).groupBy("unit", "sc").agg(F.sort_array(F.collect_list(F.struct("t", "re", "im"))).alias("s"))
-    return s.select("unit", "sc", F.col("s.re").alias("re"), F.col("s.im").alias("im")).where(F.size("re") == UNIT)
+    """unit, sc, re, im: a subcarrier's samples of a unit in order, turned within the unit's row."""
+    u = units(spark, root).select("unit", "z", F.explode(F.sequence(F.lit(0), F.lit(SC - 1))).alias("sc"))
+    part = lambda c: F.transform("z", lambda f: F.get(f, F.col("sc"))[c]).alias(c)
+    return u.select("unit", "sc", part("re"), part("im"))
+
+
+def middle(x):
+    """Median of an array's values, nulls left out; null if there are none."""
+    return A.let(F.array_sort(F.filter(x, lambda v: v.isNotNull())), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
 
 
 def windows(spark, root):
@@ -65,12 +74,13 @@ def chain_ratio(spark, root):
 m AS (SELECT unit, median(slope) AS slope FROM f GROUP BY 1) SELECT unit, round(m.slope, 6) AS slope, round(avg((sign(f.slope) = sign(m.slope))::INT), 6) AS agreement FROM f JOIN m USING (unit) GROUP BY 1, 2""")
 def ramp_slope(spark, root):
     """The median over frames of the median wrapped step from subcarrier to subcarrier, and how many frames have its sign."""
-    phase = samples(spark, root).groupBy("unit", "t").agg(F.sort_array(F.collect_list(F.struct("sc", F.atan2("im", "re").alias("p")))).alias("s")).select("unit", "t", F.col("s.p").alias("p"))
-    step = F.zip_with(F.slice("p", F.lit(2), F.size("p") - 1), F.slice("p", F.lit(1), F.size("p") - 1), lambda a, b: F.atan2(F.sin(a - b), F.cos(a - b)))
-    f = phase.select("unit", "t", F.explode(step).alias("d")).groupBy("unit", "t").agg(F.median("d").alias("slope"))
-    m = f.groupBy("unit").agg(F.median("slope").alias("m"))
-    same = (F.sign("slope") == F.sign("m")).cast("int")
-    return f.join(m, "unit").groupBy("unit").agg(F.round(F.first("m"), 6).alias("slope"), F.round(F.avg(same), 6).alias("agreement"))
+    wrapped = lambda d: F.atan2(F.sin(d), F.cos(d))
+    phase = F.transform("z", lambda f: F.transform(f, lambda s: F.atan2(s["im"], s["re"])))
+    u = units(spark, root).select("unit", phase.alias("p"))
+    slope = F.transform("p", lambda p: middle(F.zip_with(F.slice(p, 2, SC - 1), F.slice(p, 1, SC - 1), lambda a, b: wrapped(a - b))))
+    u = u.select("unit", slope.alias("s")).select("unit", "s", middle(F.col("s")).alias("m"))
+    same = F.size(F.filter("s", lambda x: F.sign(x) == F.sign(F.col("m")))) / UNIT
+    return u.select("unit", F.round("m", 6).alias("slope"), F.round(same, 6).alias("agreement"))
 
 
 _NULLS = (10, 11, 20, 30, 31, 32, 33, 34, 60)
@@ -417,18 +427,17 @@ m AS (SELECT unit, t, lag, median(d) AS d FROM d GROUP BY 1, 2, 3), f AS (SELECT
 
 
 def _structure(spark, root):
-    """unit, lag, d: the median over samples of the median relative step over subcarriers."""
-    frame = samples(spark, root).groupBy("unit", "t").agg(F.sort_array(F.collect_list(F.struct("sc", "re", "im"))).alias("z"))  # SC entries
-    before = frame.select("unit", F.explode(S.lits(_STEPS).cast("array<bigint>")).alias("lag"), "t", F.col("z").alias("y"))
-    before = before.withColumn("t", F.col("t") + F.col("lag"))
-    step = F.zip_with("z", "y", lambda a, b: S.relative_steps(a["re"], a["im"], b["re"], b["im"]))
-    d = frame.join(before, ["unit", "t"]).select("unit", "t", "lag", F.explode(step).alias("d"))
-    return d.groupBy("unit", "t", "lag").agg(F.median("d").alias("d")).groupBy("unit", "lag").agg(F.median("d").alias("d"))
+    """unit, lag, s, d: the median relative step over subcarriers of each sample from lag on, and the median of those."""
+    u = units(spark, root).select("unit", "z", F.explode(S.lits(_STEPS).cast("array<bigint>")).alias("lag"))
+    lag = F.col("lag").cast("int")
+    step = lambda a, b: middle(F.zip_with(a, b, lambda x, y: S.relative_steps(x["re"], x["im"], y["re"], y["im"])))
+    steps = F.zip_with(F.slice("z", lag + 1, UNIT - lag), F.slice("z", F.lit(1), UNIT - lag), step)
+    return u.select("unit", "lag", steps.alias("s")).select("unit", "lag", "s", middle(F.col("s")).alias("d"))
 
 
 @query(_STRUCT + " SELECT unit, lag::BIGINT AS lag, round(d, 6) AS d FROM f")
 def structure_function(spark, root):
-    return _structure(spark, root).withColumn("d", F.round("d", 6))
+    return _structure(spark, root).select("unit", "lag", F.round("d", 6).alias("d"))
 
 
 @query(_STRUCT + """, r AS (SELECT unit, lag, d, max(d) OVER (PARTITION BY unit ORDER BY lag ROWS UNBOUNDED PRECEDING) AS top FROM f), p AS (SELECT unit, lag, (top - d) / top AS fall FROM r)
@@ -448,13 +457,15 @@ def motion_shape(spark, root):
     at = lambda k: F.max(F.when(F.col("lag") == k, F.col("d")))
     three = F.col("lag").isin(1, 8, 20)
     slope = F.regr_slope(F.when(three, F.log("d")), F.when(three, F.log("lag")))
-    shape = d.groupBy("unit").agg(F.round(slope, 6).alias("slope"), F.round(at(1) / at(8), 6).alias("near"), F.round(at(20) / at(8), 6).alias("far"))
-    frame = samples(spark, root).groupBy("unit", "t").agg(F.sort_array(F.collect_list(F.struct("sc", "re", "im"))).alias("z"))
-    before = frame.select("unit", (F.col("t") + 8).alias("t"), F.col("z").alias("y"))
-    step = F.zip_with("z", "y", lambda a, b: S.relative_steps(a["re"], a["im"], b["re"], b["im"]))
-    sec = frame.join(before, ["unit", "t"]).select("unit", "t", F.explode(step).alias("d")).groupBy("unit", "t").agg(F.median("d").alias("d"))
-    sec = sec.groupBy("unit", F.floor(F.col("t") / 10).alias("sec")).agg(F.avg("d").alias("d")).groupBy("unit").agg(F.round(F.percentile("d", F.lit(0.9)), 6).alias("p90"))
-    return shape.join(sec, "unit")
+    shape = d.groupBy("unit").agg(F.round(slope, 6).alias("slope"), F.round(at(1) / at(8), 6).alias("near"), F.round(at(20) / at(8), 6).alias("far"), F.max_by("s", F.when(F.col("lag") == 8, 1)).alias("s8"))
+    # the steps at lag 8 start at sample 8: seconds are samples 8-9, 10-19, ...
+    known = lambda x: F.filter(x, lambda v: v.isNotNull())
+    second = lambda k: A.let(known(F.slice("s8", F.greatest(k * 10 - 7, F.lit(1)), F.when(k == 0, 2).otherwise(10))), lambda x: F.try_divide(A.total(x), F.size(x)))
+    seconds = F.array_sort(known(F.transform(F.sequence(F.lit(0), F.lit((UNIT - 1) // 10)), second)))
+    place = (F.size("sec") - 1) * 0.9
+    at = lambda k: F.get("sec", k.cast("int"))
+    p90 = at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * (place - F.floor(place))
+    return shape.withColumn("sec", seconds).select("unit", "slope", "near", "far", F.round(p90, 6).alias("p90"))
 
 
 # Windows, references, scores ----------------------------------------------------------------------------------------
@@ -482,22 +493,23 @@ _SCORE = _MOM + """, u AS (SELECT unit, w, median(variance) AS variance, median(
 def free_reference(spark, root):
     """Features of a window against the low percentiles of all windows, and a linear score of them."""
     u = _moments(spark, root).groupBy("unit", "w").agg(F.median("variance").alias("variance"), F.median("lag1").alias("lag1"))
-    low = lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.25))).alias(f"p_{c}")
-    both = u.crossJoin(F.broadcast(u.agg(low("variance"), low("lag1"))))  # one row
+    every = u.select(F.lit(0).alias("all"), "variance", "lag1")
+    low = lambda c, width: quantiles(every, "all", c, [0.05, 0.25], width).select("all", F.array("q0", "q1").alias(f"p_{c}"))
+    both = u.withColumn("all", F.lit(0)).join(F.broadcast(low("variance", 1e-4).join(low("lag1", 1e-2), "all")), "all")  # one row
     z = lambda c: (F.col(c) - F.col(f"p_{c}")[0]) / F.greatest(F.col(f"p_{c}")[1] - F.col(f"p_{c}")[0], F.lit(1e-30))
     return both.select("unit", "w", F.round(z("variance"), 4).alias("z_variance"), F.round(z("lag1"), 4).alias("z_lag1"), F.round(0.5 + 0.25 * z("variance") + 0.1 * z("lag1"), 4).alias("score"))
 
 
-@query(_S + """, x AS (SELECT unit, t, sc, re AS v, abs(im) AS w FROM s WHERE sc = 0 AND abs(im) > 0), c AS (SELECT unit, v, (sum(w) OVER (PARTITION BY unit ORDER BY v, t ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY unit) AS c, row_number() OVER (PARTITION BY unit ORDER BY v, t) AS k FROM x),
-n AS (SELECT *, lead(v) OVER (PARTITION BY unit ORDER BY k) AS v2, lead(c) OVER (PARTITION BY unit ORDER BY k) AS c2 FROM c),
-q AS (SELECT unit, p, max(CASE WHEN k = 1 AND p <= c THEN v WHEN c2 IS NULL AND p >= c THEN v WHEN c <= p AND p < c2 THEN v + (p - c) / (c2 - c) * (v2 - v) END) AS y FROM n, (SELECT unnest([0.25, 0.5, 0.75]) AS p) GROUP BY 1, 2)
-SELECT unit, round(max(y) FILTER (p = 0.5), 6) AS mid, round(max(y) FILTER (p = 0.75) - max(y) FILTER (p = 0.25), 6) AS width FROM q GROUP BY 1""")
+@query(_S + """, x AS (SELECT unit, t, sc, re AS v, abs(im) AS w FROM s WHERE abs(im) > 0), c AS (SELECT unit, sc, v, (sum(w) OVER (PARTITION BY unit, sc ORDER BY v, t ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY unit, sc) AS c, row_number() OVER (PARTITION BY unit, sc ORDER BY v, t) AS k FROM x),
+n AS (SELECT *, lead(v) OVER (PARTITION BY unit, sc ORDER BY k) AS v2, lead(c) OVER (PARTITION BY unit, sc ORDER BY k) AS c2 FROM c),
+q AS (SELECT unit, sc, p, max(CASE WHEN k = 1 AND p <= c THEN v WHEN c2 IS NULL AND p >= c THEN v WHEN c <= p AND p < c2 THEN v + (p - c) / (c2 - c) * (v2 - v) END) AS y FROM n, (SELECT unnest([0.25, 0.5, 0.75]) AS p) GROUP BY 1, 2, 3)
+SELECT unit, sc::INTEGER AS sc, round(max(y) FILTER (p = 0.5), 6) AS mid, round(max(y) FILTER (p = 0.75) - max(y) FILTER (p = 0.25), 6) AS width FROM q GROUP BY 1, 2""")
 def weighted_quantiles(spark, root):
     """Quantiles over the middles of cumulative weights, a straight line between them."""
-    x = samples(spark, root).where("sc = 0").select("unit", "t", F.col("re").alias("v"), F.abs("im").alias("w")).where("w > 0")
-    w = Window.partitionBy("unit").orderBy("v", "t")  # UNIT rows
-    c = x.withColumn("c", (F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 0.5 * F.col("w")) / F.sum("w").over(Window.partitionBy("unit")))
-    s = c.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("s"))
+    x = series(spark, root).select("unit", "sc", F.posexplode(F.arrays_zip("re", "im")).alias("t", "z")).select("unit", "sc", "t", F.col("z.re").alias("v"), F.abs("z.im").alias("w")).where("w > 0")
+    w = Window.partitionBy("unit", "sc").orderBy("v", "t")  # UNIT rows
+    c = x.withColumn("c", (F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 0.5 * F.col("w")) / F.sum("w").over(Window.partitionBy("unit", "sc")))
+    s = c.groupBy("unit", "sc").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("s"))
 
     def at(q):
         last = F.element_at("s", -1)
@@ -506,7 +518,7 @@ def weighted_quantiles(spark, root):
         line = before["v"] + (q - before["c"]) / (after["c"] - before["c"]) * (after["v"] - before["v"])
         return F.when(before.isNull(), F.get("s", F.lit(0))["v"]).when(after.isNull(), last["v"]).otherwise(line)
 
-    return s.select("unit", F.round(at(0.5), 6).alias("mid"), F.round(at(0.75) - at(0.25), 6).alias("width"))
+    return s.select("unit", "sc", F.round(at(0.5), 6).alias("mid"), F.round(at(0.75) - at(0.25), 6).alias("width"))
 
 
 @query(_RHO + """, uw AS (SELECT unit, w, median(rho) AS v FROM rho GROUP BY 1, 2 HAVING median(rho) IS NOT NULL) SELECT unit, count(*) AS n, round(median(v), 6) AS mid, round(quantile_cont(v, 0.9), 6) AS p90, round(stddev_pop(v), 6) AS deviation FROM uw GROUP BY 1""")
