@@ -56,27 +56,27 @@ def running(df: DataFrame, key: str, order: list[str], value: str, name: str, bl
 
 
 def quantiles(df: DataFrame, key: str, value: str, shares: list[float], width: float) -> DataFrame:
-    """key, n, q0, q1, ...: exact quantiles (straight lines between neighbours) of the values of each key; nulls do not count.
+    """key, n, mean, q0, q1, ...: exact quantiles (straight lines between neighbours) of the values of each key; nulls do not count.
 
     Values are counted by slices of ``width`` first; only slices that hold a wanted rank are ordered, so a key with most
     of the rows costs a shuffle of counts and of those few slices.
     """
     df = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_slice"))
-    counts = df.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(key, "_slice").agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"))
     w = Window.partitionBy(key).orderBy("_slice")  # one row a slice
-    counts = counts.withColumns({"_end": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(Window.partitionBy(key))})
+    counts = counts.withColumns({"_end": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(Window.partitionBy(key)), "mean": F.sum("_sum").over(Window.partitionBy(key)) / F.sum("_n").over(Window.partitionBy(key))})
     at = [(F.col("n") - 1) * q for q in shares]
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in at))))
     counts = counts.withColumn("_base", F.col("_end") - F.col("_n")).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_base")) & (r < F.col("_end")))).where(F.size("_ranks") > 0)
     rank = F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_v")) - 1 + F.col("_base")
-    found = df.join(counts.select(key, "_slice", "_base", "_ranks", "n"), [key, "_slice"]).withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
-    found = found.groupBy(key, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two a share at most
+    found = df.join(counts.select(key, "_slice", "_base", "_ranks", "n", "mean"), [key, "_slice"]).withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
+    found = found.groupBy(key, "n", "mean").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two a share at most
 
     def read(x):
         low, high = F.element_at("_at", F.floor(x)), F.element_at("_at", F.ceil(x))
         return low + (high - low) * (x - F.floor(x))
 
-    return found.select(key, "n", *(read(x).alias(f"q{k}") for k, x in enumerate(at)))
+    return found.select(key, "n", "mean", *(read(x).alias(f"q{k}") for k, x in enumerate(at)))
 
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str, width: float) -> DataFrame:
@@ -118,8 +118,7 @@ def spacing(df: DataFrame, key: str, t: str, tie: str, block: float) -> DataFram
 def sample_rate(df: DataFrame, key: str, t: str, tie: str, block: float) -> DataFrame:
     """Mean and median rate, and 2 * p95 of the step as the gap limit."""
     steps = spacing(df, key, t, tie, block)
-    means = steps.groupBy(key).agg(F.count("*").alias("n_steps"), (1 / F.avg("dt")).alias("mean_rate"))
-    return means.join(quantiles(steps, key, "dt", [0.5, 0.95], block / 256), key).select(key, "n_steps", "mean_rate", (1 / F.col("q0")).alias("median_rate"), (2 * F.col("q1")).alias("gap_limit"))
+    return quantiles(steps, key, "dt", [0.5, 0.95], block / 256).select(key, F.col("n").alias("n_steps"), (1 / F.col("mean")).alias("mean_rate"), (1 / F.col("q0")).alias("median_rate"), (2 * F.col("q1")).alias("gap_limit"))
 
 
 def sessions(df: DataFrame, key: str, t: str, tie: str, limit: float | Column, block: float) -> DataFrame:

@@ -71,15 +71,23 @@ def nearest_pool(rows: DataFrame, pool: DataFrame, key: str, t: str, row_id: str
     Pool rows are numbered in time; a row's place among them gives the k + 1 on either side of it, whatever the number
     of pool rows in reach. Of those at one time the least id is the nearest on both sides.
     """
-    sides = []
-    for side, mirrored in ((0, F.col(t)), (1, -F.col(t))):  # behind or at the row's time; ahead of it in mirrored time
-        events = pool.select(key, mirrored.cast("double").alias("_u"), F.lit(0).alias("_asks"), (-F.col(row_id)).alias("_tie"), F.col(row_id).alias("_id"), F.lit(1).alias("_one"))
-        asked = rows.select(key, mirrored.cast("double").alias("_u"), F.lit(1 if side == 0 else -1).alias("_asks"), F.lit(0).cast("bigint").alias("_tie"), F.col(row_id).alias("_id"), F.lit(0).alias("_one"))
-        placed = running(events.union(asked), key, ["_u", "_asks", "_tie"], "_one", "_place", F.floor(F.col("_u") / reach))
-        numbered = placed.where("_one = 1").select(key, "_place", F.col("_u").alias("_ou"), F.col("_id").alias("other"))
-        wanted = placed.where("_one = 0").select(key, F.col("_id").alias(row_id), "_u", F.explode(F.sequence(F.col("_place") - k, F.col("_place"))).alias("_place"))
-        sides.append(wanted.join(numbered, [key, "_place"]).select(row_id, "other", F.abs(F.col("_u") - F.col("_ou")).alias("away")))
-    pairs = sides[0].union(sides[1]).where((F.col("away") <= reach) & (F.col(row_id) != F.col("other")))
+    u = F.col(t).cast("double").alias("_u")
+    events = pool.select(key, u, F.lit(0).alias("_asks"), F.col(row_id).alias("_id"), F.lit(1).alias("_one"))
+    asked = rows.select(key, u, F.lit(1).alias("_asks"), F.col(row_id).alias("_id"), F.lit(0).alias("_one"))
+    both = events.union(asked).withColumn("_block", F.floor(F.col("_u") / reach))
+    sums = both.groupBy(key, "_block").agg(F.sum("_one").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(key, "_block", before.alias("_before"))
+    so_far = lambda *order: F.col("_before") + F.sum("_one").over(Window.partitionBy(key, "_block").orderBy("_u", "_asks", *order).rowsBetween(Window.unboundedPreceding, 0))
+    # of pool rows at one time the least id has to come last behind a row's time, and first ahead of it
+    placed = both.join(sums, [key, "_block"]).withColumns({"_behind": so_far(F.desc("_id")), "_ahead": so_far(F.asc("_id"))})
+    side = lambda n, place: F.struct(F.lit(n).alias("side"), place.alias("place"))
+    numbered = placed.where("_one = 1").select(key, F.explode(F.array(side(0, F.col("_behind")), side(1, F.col("_ahead")))).alias("_at"), F.col("_u").alias("_ou"), F.col("_id").alias("other"))
+    last = F.col("_behind")  # of a row: how many pool rows are not later
+    around = F.concat(F.transform(F.sequence(last - k, last), lambda p: side(0, p)), F.transform(F.sequence(last + 1, last + k + 1), lambda p: side(1, p)))
+    wanted = placed.where("_one = 0").select(key, F.col("_id").alias(row_id), "_u", F.explode(around).alias("_at"))
+    pairs = wanted.select(key, row_id, "_u", "_at.*").join(numbered.select(key, "_at.*", "_ou", "other"), [key, "side", "place"]).select(row_id, "other", F.abs(F.col("_u") - F.col("_ou")).alias("away"))
+    pairs = pairs.where((F.col("away") <= reach) & (F.col(row_id) != F.col("other")))
     rank = F.row_number().over(Window.partitionBy(row_id).orderBy("away", "other"))  # 2 * k + 2 at most
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(row_id, "other", "away", "rank")
 
