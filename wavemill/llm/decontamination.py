@@ -55,7 +55,9 @@ def bitmap(hashes: DataFrame, column: str, count: int) -> np.ndarray:
 
 
 def _maybe(bits: np.ndarray, h: Column) -> Column:
-    return F.getbit(F.get(F.lit(bits), F.pmod(F.shiftright(h, 6), F.lit(len(bits))).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+    """Whether a hash's bit is set. The bits go to the plan as one text, which the optimiser folds into an array."""
+    numbers = F.split(F.lit(",".join(map(str, bits.tolist()))), ",").cast("array<bigint>")
+    return F.getbit(F.get(numbers, F.pmod(F.shiftright(h, 6), F.lit(len(bits))).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
 def _candidates(length: int, windows: np.ndarray) -> Column:

@@ -127,10 +127,3 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return at, np.zeros(len(wanted), bool)
     at = np.minimum(at, len(keys) - 1)
     return at, keys[at] == wanted
-
-
-def crc_residue(ids, modulus: int = 5) -> np.ndarray:
-    """crc32 of each id as decimal text, modulo ``modulus``."""
-    import zlib
-
-    return np.array([zlib.crc32(str(i).encode()) % modulus if i is not None else 0 for i in ids], np.int64)
