@@ -6,7 +6,7 @@ far apart in time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import following, previous, running
@@ -129,11 +129,16 @@ def state_on_cells(changes: DataFrame, cells: DataFrame, key: str, t: str, tie:
     return out.select(key, "col", F.coalesce("_own", "_carried", F.lit("absent")).alias("state"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` read from files in the folder that all machines see (spark.checkpoint.dir, else one under the warehouse)."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir, else one under the warehouse."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` read from files in the folder that all machines see."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
