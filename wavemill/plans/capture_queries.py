@@ -12,7 +12,7 @@ from .catalog import query
 from .time_queries import BLOCK, events
 
 BINS = 64
-_FRAMES = """WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events)"""
+_FRAMES = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events)"""
 
 
 def captured(spark, root):
@@ -21,7 +21,7 @@ def captured(spark, root):
     e = frames.numbered(e, "source", ["t", "event_id"], F.floor(F.col("t") / BLOCK))
     at = F.sequence(F.lit(0), F.lit(BINS - 1))
     plane = lambda a, b: F.transform(at, lambda k: (F.col("event_id") * a + k * b) % 4001 - 2000)
-    rows = e.select("source", F.col("i").alias("seq"), F.floor(F.col("t") * 1000).cast("bigint").alias("tick"), (-30 - F.col("event_id") % 60).cast("int").alias("rssi"), F.lit("08:bf:b8:95:80:04").alias("mac"), plane(7, 13).alias("re0"), plane(11, 5).alias("im0"), plane(3, 17).alias("re1"), plane(5, 29).alias("im1"))
+    rows = e.select("source", F.col("i").alias("seq"), F.floor(F.round(F.col("t") * 1_000_000).cast("bigint") / 1000).cast("bigint").alias("tick"), (-30 - F.col("event_id") % 60).cast("int").alias("rssi"), F.lit("08:bf:b8:95:80:04").alias("mac"), plane(7, 13).alias("re0"), plane(11, 5).alias("im0"), plane(3, 17).alias("re1"), plane(5, 29).alias("im1"))
     folder = f"{joins.shared(spark)}/captures-{uuid.uuid4().hex}"
     spark.dataSource.register(segments.SegmentSink)
     ordered = records.encode(rows).repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")
