@@ -67,3 +67,32 @@ def test_direct_path(spark):
         assert got[i]["re"][5] is None and got[i]["other"] == "same"
         assert np.allclose([x for c, x in enumerate(got[i]["re"]) if c != 5], np.delete(want.real, 5)) and np.allclose([x for c, x in enumerate(got[i]["im"]) if c != 5], np.delete(want.imag, 5))
     assert got[99]["re"] is None and D.without_direct_path(df.limit(0)).collect() == []
+
+
+def delays(z, t, lag):
+    step = np.median(np.diff(t))
+    k = max(1, int(np.rint(lag / step))) if step > 0 else 1
+    d = z[k:] - z[:-k]
+    d = d[np.isfinite(d).all(1)]
+    if len(d) < 4:
+        return len(d), None
+    top = np.abs(np.fft.fft(d - d.mean(1, keepdims=True), n=4 * d.shape[1], axis=1)).argmax(1).astype(float)
+    top[top > 2 * d.shape[1]] -= 4 * d.shape[1]
+    return len(d), top.std()
+
+
+@pytest.mark.parametrize("block", [32, 4096])
+def test_delay_spread(spark, block):
+    """Several rates, a lag longer than a block, one longer than a key, repeated times and unknown samples."""
+    times = {"hot": np.arange(500) * 0.1, "slow": np.arange(60) * 3.0, "short": np.arange(6) * 1.0, "few": np.arange(9) * 1.0, "still": np.zeros(12), "one": np.zeros(1)}
+    keyed = {k: channel(11 + n, len(t)) for n, (k, t) in enumerate(times.items())}
+    keyed["hot"][7, 2] = np.nan
+    rows = [(k, float(times[k][i]), i, [None if np.isnan(x) else float(x) for x in r.real], [float(x) for x in r.imag]) for k, z in keyed.items() for i, r in enumerate(z)]
+    df = spark.createDataFrame(rows, "key string, t double, at bigint, re array<double>, im array<double>").repartition(4)
+    df = numbered(df, "key", ["t", "at"], F.floor(F.col("t") / 7))
+    got = {r["key"]: (r["n"], r["spread"]) for r in D.delay_spread(df, "key", "t", 6.0, block=block).collect()}
+    want = {k: delays(z, times[k], 6.0) for k, z in keyed.items() if len(z) > 1}
+    assert got.keys() == want.keys() and want["short"] == (0, None)
+    for k, (n, s) in want.items():
+        assert got[k][0] == n and (got[k][1] is None if s is None else abs(got[k][1] - s) < 1e-9), k
+    assert D.delay_spread(df.limit(0), "key", "t", 6.0).collect() == []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import quantiles
+from .frames import previous, quantiles
 from .gains import products
 from .joins import kept
 from .orientation import BLOCK, _matrix, in_blocks
@@ -132,3 +132,45 @@ def without_direct_path(frames: DataFrame, re: str = "re", im: str = "im", paddi
             yield batch
 
     return frames.mapInArrow(run, frames.schema)
+
+
+def previous_step(frames: DataFrame, key: str, t: str, block: int) -> DataFrame:
+    """key, _step: the time from each frame of a numbered table to the next, found in blocks of frames."""
+    return previous(frames.select(key, "i", t), key, "i", "i", [t], block).select(key, (F.col(t) - F.col(f"prev_{t}")).alias("_step")).where("_step IS NOT NULL")
+
+
+def delay_spread(frames: DataFrame, key: str, t: str, lag: float, re: str = "re", im: str = "im", block: int = BLOCK) -> DataFrame:
+    """key, n, spread: how far the strongest delay of a frame's change over ``lag`` seconds strays, as a deviation in bins.
+
+    A change is a frame less the one ``lag`` seconds before it in frames of the key's median step (at least one frame),
+    less its mean over subcarriers; its delays are the bins of a transform four times as long, the later half negative,
+    of equally strong ones the first. Changes with an unknown sample do not count. Keys of one frame have no row, keys
+    of fewer than four changes a null spread.
+    """
+    steps = previous_step(frames, key, t, block)
+    at = quantiles(steps, key, "_step", [0.5], max(lag, 1e-9) / 64).select(key, F.when(F.col("q0") > 0, F.greatest(F.rint(lag / F.col("q0")), F.lit(1.0))).otherwise(1.0).cast("bigint").alias("_lag"))
+    at = kept(at)
+    most = at.agg(F.max("_lag")).first()[0]
+    if most is None:
+        return at.select(key, F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("spread"))
+    known = frames.select(key, "i", "n", re, im).join(at, key)
+    longest = known.where(F.col("_lag") < F.col("n"))  # others have no change
+
+    def peaks(c: dict, own: np.ndarray) -> dict:
+        z, place = _matrix(c[re]) + 1j * _matrix(c[im]), np.flatnonzero(own)
+        before = place - c["_lag"][0].as_py()
+        out = np.full(len(place), np.nan)
+        d = z[place[before >= 0]] - z[before[before >= 0]]
+        d = d - d.mean(axis=1, keepdims=True)
+        size = PADDING * d.shape[1]
+        if size:
+            whole = np.isfinite(d).all(axis=1)
+            top = np.abs(np.fft.fft(d, n=size, axis=1)).argmax(1).astype(float)
+            out[before >= 0] = np.where(whole, np.where(top > size / 2, top - size, top), np.nan)
+        return {"delay": pa.array(out, from_pandas=True)}
+
+    margin = longest.agg(F.max("_lag")).first()[0]
+    found = in_blocks(longest, key, int(margin or 1), block, peaks, [re, im, "_lag"], {"delay": "double"})
+    spread = found.groupBy(key).agg(F.count("delay").alias("n"), F.stddev_pop("delay").alias("spread"))
+    every = at.select(key).join(spread, key, "left")
+    return every.select(key, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 4, F.col("spread")).alias("spread"))
