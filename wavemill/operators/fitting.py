@@ -1,8 +1,8 @@
 """Fitting of the small models: balanced logistic weights on imputed, scaled inputs, held-out groups and thresholds.
 
-The fits are MLlib's, so rows stay where they are and only gradients travel; a few Newton steps on sums that tasks add
-up bring them to the optimum's last digits. What comes back is a ``Logistic`` of plain numbers, whose score is an
-expression again.
+Rows stay where they are: each pass adds up gradients and curvatures task by task, for all fits at once, and a handful
+of Newton steps reach the optimum's last digits, where a first-order method would read the rows some fifty times a fit.
+What comes back is a ``Logistic`` of plain numbers, whose score is an expression again.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +20,8 @@ from .joins import confusion, kept
 
 # Windows that a reference of labelled rows needs, low shares of a reference without labels, share of empty rows below a threshold.
 LEAST_REFERENCE, LOW_SHARES, SPECIFICITY = 10, (0.05, 0.25), 0.9
-#: Newton steps behind a fit; each doubles the digits that are right.
-STEPS = 3
+#: Most passes over the rows of a fit; about eight are needed.
+PASSES = 60
 
 
 def _known(c: Column) -> Column:
@@ -44,76 +42,109 @@ def long_quantiles(long: DataFrame, shares: list[float]) -> DataFrame:
     return found.join(width, "k").select("k", "n", *((F.col(f"q{j}") * F.col("_span") + F.col("_low")).alias(f"q{j}") for j in range(len(shares))))
 
 
-def scaling(df: DataFrame, names: list[str]) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
-    """Medians of the known values, and means and deviations once those stand in for the missing; one number a name each.
+def _summed(rows: DataFrame, size: int, part) -> np.ndarray:
+    """What ``part`` makes of batches of (x, y, models), added up by tasks and then by entry; the driver gets ``size`` numbers."""
 
-    A name without any known value is 0 throughout; a deviation of 0 counts as 1.
-    """
-    middle = {r.k: r.q0 for r in long_quantiles(_long(df, [], names).withColumnRenamed("name", "k"), [0.5]).collect()}  # one row a name
-    fill = tuple(float(middle.get(n, 0.0)) for n in names)
-    filled = [F.coalesce(_known(F.col(n)), F.lit(m)) for n, m in zip(names, fill)]
-    stats = df.agg(*(f(c) for c in filled for f in (F.avg, F.stddev_pop))).first()
-    return fill, tuple(x or 0.0 for x in stats[::2]), tuple(x or 1.0 for x in stats[1::2])
-
-
-def class_weights(df: DataFrame, label: str) -> Column:
-    """Weights that give both labels half of all rows; 1 where there is only one label."""
-    n = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
-    if not n.p or not n.n:
-        return F.lit(1.0)
-    return F.when(F.col(label) == 1, (n.p + n.n) / (2 * n.p)).otherwise((n.p + n.n) / (2 * n.n))
-
-
-def fit_logistic(df: DataFrame, names: list[str], label: str, c: float = 1.0, scaled: bool = True) -> Logistic:
-    """Logistic weights of ``label`` (0 or 1; other rows do not count): both labels weigh the same, penalty |w|^2 / (2 c) on the sum of losses.
-
-    With ``scaled``, inputs are imputed by their medians and standardised. Without, rows with an unknown input do not
-    count. Of one label alone, or of no rows, the fit is the constant of what there is (null label: 0.5).
+    def sums(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                models = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                total += part(x, batch.column(1).to_numpy(), models)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["at", "v"])
+
+    out = np.zeros(size)
+    for r in rows.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def fits(df: DataFrame, names: list[str], label: str, teaches: list[Column], c: float = 1.0, scaled: bool = True) -> list[Logistic]:
+    """One fit for each condition in ``teaches``, of the rows that meet it; all fits share their passes over the rows.
+
+    Of ``label`` (0 or 1; other rows do not count) both values weigh the same; the penalty on the sum of losses is
+    |w|^2 / (2 c). With ``scaled``, inputs are imputed by their medians (0 of an input that is never known) and
+    standardised (a deviation of 0 counts as 1). Without, rows with an unknown input do not count. Of one label alone,
+    or of no rows, a fit is the constant of what there is (0.5 of no rows).
     """
+    known = [_known(F.col(n)) for n in names]
     df = df.where(F.col(label).isin(0, 1))
+    if not scaled:
+        df = df.where(reduce(Column.__and__, (x.isNotNull() for x in known)))
+    x = F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in known))
+    rows = kept(df.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.array(*(F.coalesce(t, F.lit(False)).cast("double") for t in teaches)).alias("models")))
+    g, m = len(teaches), len(names)
+    fill = np.zeros((g, m))
     if scaled:
-        fill, mean, scale = scaling(df, names)
-    else:
-        df = df.where(reduce(Column.__and__, (_known(F.col(n)).isNotNull() for n in names)))
-        fill, mean, scale = None, (0.0,) * len(names), (1.0,) * len(names)
-    model = Logistic(tuple(names), fill, mean, scale, (0.0,) * len(names), 0.0)
-    total = df.agg(F.count("*").alias("n"), F.avg(label).alias("share")).first()
-    if not total.n or total.share in (0, 1):
-        constant = 0.0 if not total.n else 40.0 if total.share else -40.0
-        return Logistic(model.names, fill, mean, scale, model.coef, constant)
-    inputs = [(F.coalesce(_known(F.col(n)), F.lit(fill[k])) if scaled else F.col(n).cast("double") - mean[k]) for k, n in enumerate(names)]
-    inputs = [(x - mean[k]) / scale[k] for k, x in enumerate(inputs)]
-    rows = df.select(F.array(*inputs).alias("x"), F.col(label).cast("double").alias("label"), class_weights(df, label).alias("weight"))
-    # MLlib divides losses by the sum of weights, which is the number of rows
-    fitted = LogisticRegression(weightCol="weight", regParam=1 / (c * total.n), standardization=False, maxIter=500, tol=1e-9).fit(rows.withColumn("features", array_to_vector("x")))
-    weights = np.array([fitted.intercept, *fitted.coefficients])
-    for _ in range(STEPS):
-        weights = weights + newton_step(rows, weights, c)
-    return Logistic(model.names, fill, mean, scale, tuple(weights[1:].tolist()), float(weights[0]))
-
-
-def newton_step(rows: DataFrame, weights: np.ndarray, c: float) -> np.ndarray:
-    """The step from ``weights`` (intercept first) to the optimum of the quadratic that fits the penalised loss there.
-
-    Each task adds up its rows' gradient and curvature; the driver gets one number for each of their entries.
-    """
-    m = len(weights)
+        of = F.explode(F.filter(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.get("models", k) > 0))
+        long = rows.select(of.alias("_m"), "x").select("_m", F.posexplode("x").alias("_n", "v"))
+        for r in long_quantiles(long.where("NOT isnan(v)").select(F.struct("_m", "_n").alias("k"), "v"), [0.5]).collect():  # one row a fit and name
+            fill[r["k"]["_m"], r["k"]["_n"]] = r["q0"]
+
+    def moments(x, y, models):
+        parts = []
+        for k in range(g):
+            on = models[:, k] > 0
+            d = np.where(np.isnan(x[on]), 0.0, x[on] - fill[k])
+            parts += [[on.sum(), y[on].sum()], d.sum(0), (d * d).sum(0)]
+        return np.concatenate(parts)
+
+    found = _summed(rows, g * (2 + 2 * m), moments).reshape(g, -1)
+    n, ones = found[:, 0], found[:, 1]
+    mean, scale = np.zeros((g, m)), np.ones((g, m))
+    if scaled:
+        per = np.maximum(n, 1)[:, None]
+        away = found[:, 2 : 2 + m] / per
+        mean, spread = fill + away, np.sqrt(np.maximum(found[:, 2 + m :] / per - away**2, 0))
+        scale = np.where(spread > 1e-12 * np.maximum(np.abs(mean), 1e-300), spread, 1.0)
+    open_ = [k for k in range(g) if 0 < ones[k] < n[k]]
+    weigh = np.stack([n / (2 * np.maximum(n - ones, 1)), n / (2 * np.maximum(ones, 1))], 1)
+    best = _optima(rows, fill, mean, scale, weigh, open_, c)
+    out = []
+    for k in range(g):
+        w = best[k] if k in open_ else np.r_[0.0 if not n[k] else 40.0 if ones[k] else -40.0, np.zeros(m)]
+        out.append(Logistic(tuple(names), tuple(fill[k].tolist()) if scaled else None, tuple(mean[k].tolist()), tuple(scale[k].tolist()), tuple(w[1:].tolist()), float(w[0])))
+    return out
+
+
+def _optima(rows: DataFrame, fill: np.ndarray, mean: np.ndarray, scale: np.ndarray, weigh: np.ndarray, fits: list[int], c: float) -> np.ndarray:
+    """Weights (intercept first) of the penalised optima: Newton steps, halved where a loss would grow; each pass serves all fits still open."""
+    g, m = fill.shape[0], fill.shape[1] + 1
+    size, penalty = 1 + m + m * m, np.r_[0.0, np.full(m - 1, 1 / c)]
+    best, step, loss = np.zeros((g, m)), np.zeros((g, m)), np.full(g, np.inf)
+    left = list(fits)
+    for _ in range(PASSES):
+        if not left:
+            return best
+        trial, now = best + step, list(left)
+
+        def curvature(x, y, models, trial=trial, now=now):
+            parts = []
+            for k in now:
+                on = models[:, k] > 0
+                z = np.c_[np.ones(on.sum()), (np.where(np.isnan(x[on]), fill[k], x[on]) - mean[k]) / scale[k]]
+                at, t = z @ trial[k], y[on]
+                w, p = weigh[k][t.astype(int)], 1 / (1 + np.exp(-np.clip(at, -700, 700)))
+                parts += [[(w * (np.logaddexp(0, at) - t * at)).sum()], z.T @ (w * (t - p)), ((z.T * (w * p * (1 - p))) @ z).ravel()]
+            return np.concatenate(parts)
+
+        for k, v in zip(now, _summed(rows, size * len(now), curvature).reshape(len(now), size)):
+            value = v[0] + (penalty * trial[k] ** 2).sum() / 2
+            if value > loss[k] * (1 + 1e-12):
+                step[k] /= 2
+            else:
+                best[k], loss[k] = trial[k], value
+                step[k] = np.linalg.lstsq(v[1 + m :].reshape(m, m) + np.diag(penalty), v[1 : 1 + m] - penalty * trial[k], rcond=None)[0]
+            if np.abs(step[k]).max() <= 1e-11 * max(1.0, np.abs(best[k]).max()):
+                left.remove(k)
+    return best
 
-    def sums(batches):
-        total = np.zeros(m + m * m)
-        for batch in batches:
-            x = batch.column(0)
-            z = np.c_[np.ones(len(x)), x.flatten().to_numpy().reshape(len(x), m - 1)]
-            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            p = 1 / (1 + np.exp(-np.clip(z @ weights, -700, 700)))
-            total += np.r_[z.T @ (w * (y - p)), ((z.T * (w * p * (1 - p))) @ z).ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "v"])
 
-    found = rows.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros(m + m * m)
-    total[[r["at"] for r in found]] = [r["v"] for r in found]
-    penalty = np.r_[0.0, np.full(m - 1, 1 / c)]
-    return np.linalg.lstsq(total[m:].reshape(m, m) + np.diag(penalty), total[:m] - penalty * weights, rcond=None)[0]
+def fit_logistic(df: DataFrame, names: list[str], label: str, c: float = 1.0, scaled: bool = True) -> Logistic:
+    """The one fit of all rows; see ``fits``."""
+    return fits(df, names, label, [F.lit(True)], c, scaled)[0]
 
 
 def held_out(df: DataFrame, group: str, groups: list, names: list[str], label: str, c: float = 1.0, unseen: list = ()) -> DataFrame:
@@ -122,13 +153,11 @@ def held_out(df: DataFrame, group: str, groups: list, names: list[str], label: s
     Rows of a group are scored by the fit on all other ``groups``; rows of ``unseen`` groups by the fit on all ``groups``
     and never teach. Both lists are stated by the caller, and each entry is one fit.
     """
-    df = kept(df)
-    out = []
-    for g in [*groups, *unseen]:
-        model = fit_logistic(df.where(F.col(group).isin(list(groups)) & (F.col(group) != g)), names, label, c)
-        p = model.probability({n: _known(F.col(n)) for n in names})
-        out.append(df.where(F.col(group) == g).withColumns({"probability": p, "predicted": (p > 0.5).cast("int")}))
-    return reduce(DataFrame.unionByName, out)
+    every, room = [*groups, *unseen], F.col(group)
+    models = fits(df, names, label, [room.isin(list(groups)) & (room != g) for g in every], c)
+    inputs = {n: _known(F.col(n)) for n in names}
+    p = F.coalesce(*(F.when(room == g, model.probability(inputs)) for g, model in zip(every, models)))
+    return df.where(room.isin(every)).withColumn("probability", p).withColumn("predicted", (F.col("probability") > 0.5).cast("int"))
 
 
 def quality(scored: DataFrame, label: str, *keys: str) -> DataFrame:
