@@ -18,6 +18,8 @@ from .orientation import BLOCK, _matrix, in_blocks
 
 # Directions that are taken out, points of a delay tap, taps around the peak that are the direct path.
 FAST, PADDING, TAPS = 4, 4, 1.5
+#: Slices in which steps are counted while they grow by a factor of e.
+SLICES = 256
 
 
 def _complex(re: pa.Array, im: pa.Array) -> np.ndarray:
@@ -148,7 +150,8 @@ def delay_spread(frames: DataFrame, key: str, t: str, lag: float, re: str = "re"
     of fewer than four changes a null spread.
     """
     steps = previous_step(frames, key, t, block)
-    at = quantiles(steps, key, "_step", [0.5], max(lag, 1e-9) / 64).select(key, F.when(F.col("q0") > 0, F.greatest(F.rint(lag / F.col("q0")), F.lit(1.0))).otherwise(1.0).cast("bigint").alias("_lag"))
+    # steps differ by orders of size between keys and within one, so slices are even in their logarithm
+    at = quantiles(steps, key, "_step", [0.5], F.when(F.col("_step") > 0, F.floor(F.log("_step") * SLICES)).otherwise(-(1 << 20)).cast("bigint")).select(key, F.when(F.col("q0") > 0, F.greatest(F.rint(lag / F.col("q0")), F.lit(1.0))).otherwise(1.0).cast("bigint").alias("_lag"))
     at = kept(at)
     most = at.agg(F.max("_lag")).first()[0]
     if most is None:

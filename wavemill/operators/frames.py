@@ -55,13 +55,15 @@ def running(df: DataFrame, key: str, order: list[str], value: str, name: str, bl
     return df.join(sums, [key, "_block"]).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before", "_block")
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: list[float], width: float) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], width: float | Column) -> DataFrame:
     """key, n, mean, q0, q1, ...: exact quantiles (straight lines between neighbours) of the values of each key; nulls do not count.
 
     Values are counted by slices of ``width`` first; only slices that hold a wanted rank are ordered, so a key with most
-    of the rows costs a shuffle of counts and of those few slices.
+    of the rows costs a shuffle of counts and of those few slices. A column in place of ``width`` is the slice itself: a
+    whole number that never falls as the value grows.
     """
-    df = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_slice"))
+    cut = width if isinstance(width, Column) else F.floor(F.col(value) / width)
+    df = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), cut.alias("_slice"))
     counts = df.groupBy(key, "_slice").agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"))
     w = Window.partitionBy(key).orderBy("_slice")  # one row a slice
     counts = counts.withColumns({"_end": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(Window.partitionBy(key)), "mean": F.sum("_sum").over(Window.partitionBy(key)) / F.sum("_n").over(Window.partitionBy(key))})
