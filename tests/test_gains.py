@@ -113,3 +113,35 @@ def test_odd_frames(spark):
     got = {(r["key"], r["at"]): r["corrected"] for r in done.collect()}
     assert got == {(k, i): v for k, i, _, v in rows}
     assert G.without_gain(numbered(df.limit(0), "key", ["at"], F.lit(0)), "key", "gain", "level").collect() == []
+
+
+def test_near_medians_are_taken_at_once(monkeypatch):
+    """Windows of a block against a loop, in pieces of any size and without a median call for each frame."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 1, (300, 4))
+    rows[rng.random(rows.shape) < 0.2] = np.nan
+    at = np.sort(rng.choice(900, 300, replace=False))
+    places, asked = np.flatnonzero(rng.random(300) < 0.6), np.arange(40, 260)
+    want = []
+    for k in asked:
+        other = [j for j in places if abs(at[j] - at[k]) <= 30 and j != k]
+        want.append(shapes_median(rows[other]) if len(other) >= 8 else np.full(4, np.nan))
+    monkeypatch.setattr(G.np, "nanmedian", None)
+    monkeypatch.setattr(G.np, "median", None)
+    for cells in (1, 700, 1 << 19):
+        monkeypatch.setattr(G, "CELLS", cells)
+        enough, got = G._near_medians(rows, places, at, asked, 30, 8)
+        assert np.array_equal(got, np.array(want), equal_nan=True) and 0 < enough.sum() < len(asked)
+
+
+def shapes_median(rows):
+    ordered = [sorted(v for v in column if v == v) for column in rows.T]
+    return [(c[(len(c) - 1) // 2] + c[len(c) // 2]) / 2 if c else np.nan for c in ordered]
+
+
+def test_a_frame_is_ordered_once(spark):
+    """Coefficients along many directions bind the frame's median: it is not sorted for each sample and direction."""
+    df = spark.createDataFrame([([3.0, None, 1.0, float("nan"), 10.0], [[1.0, 1.0, 1.0, 1.0, 1.0], [0.0, 0.0, 0.0, 0.0, 2.0]]), ([None, None], [[1.0, 1.0]])], "level array<double>, basis array<array<double>>")
+    done = df.select(G.along("level").alias("y"))
+    assert [r.y for r in done.collect()] == [[5.0, 14.0], [0.0]]
+    assert done._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1

@@ -12,35 +12,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, total
 from .frames import quantiles
 from .joins import kept
-from .orientation import BLOCK, _finite, _matrix, in_blocks
+from .orientation import BLOCK, _finite, _lists, _matrix, in_blocks
 
 # Frames on either side that a frame is compared with, least number of them, least frames of a state and of the directions, number of directions, share of true frames that stay as they are.
 NEAR, LEAST_NEAR, LEAST_STATE, LEAST_SHAPE, DIRECTIONS, TRUE_SHARE, LEAST_WIDTH = 50, 8, 20, 30, 3, 0.99, 8
+#: Samples of neighbouring frames that are ordered at once.
+CELLS = 1 << 19
+
+
+def _middles(x: np.ndarray) -> np.ndarray:
+    """Medians along the last axis, NaN left out; NaN where there is nothing else."""
+    if not x.shape[-1]:
+        return np.full(x.shape[:-1], np.nan)
+    x = np.sort(x, axis=-1)  # NaN goes last
+    n = (~np.isnan(x)).sum(-1)
+    at = lambda k: np.take_along_axis(x, np.maximum(k, 0)[..., None], -1)[..., 0]
+    return (at((n - 1) // 2) + at(n // 2)) / 2
 
 
 def _shapes(levels: np.ndarray) -> np.ndarray:
     """Rows less their own medians; NaN where absent."""
     levels = np.where(np.isfinite(levels), levels, np.nan)
-    out = np.full(levels.shape, np.nan)
-    some = np.isfinite(levels).any(1)
-    out[some] = levels[some] - np.nanmedian(levels[some], axis=1, keepdims=True)
-    return out
-
-
-def _column_medians(rows: np.ndarray) -> np.ndarray:
-    out = np.full(rows.shape[1], np.nan)
-    some = np.isfinite(rows).any(0)
-    out[some] = np.nanmedian(rows[:, some], axis=0)
-    return out
+    return levels - _middles(levels)[:, None]
+
+
+def _near_medians(rows: np.ndarray, places: np.ndarray, at: np.ndarray, asked: np.ndarray, near: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each ``asked`` row: whether ``least`` of ``places`` besides itself are at most ``near`` away, and the median of their rows, if so."""
+    first, end = (np.searchsorted(at[places], at[asked] + reach, side) for reach, side in ((-near, "left"), (near, "right")))
+    enough = end - first - np.isin(asked, places) >= least
+    out = np.full((len(asked), rows.shape[1]), np.nan)
+    todo = np.flatnonzero(enough)
+    wide = int((end - first)[todo].max(initial=0))
+    size = max(1, CELLS // max(1, wide * rows.shape[1]))
+    for k in range(0, len(todo), size):
+        part = todo[k : k + size]
+        spots = first[part, None] + np.arange(wide)
+        other = places[np.minimum(spots, len(places) - 1)]
+        window = rows[other]
+        window[(spots >= end[part, None]) | (other == asked[part, None])] = np.nan
+        out[part] = _middles(np.ascontiguousarray(window.transpose(0, 2, 1)))
+    return enough, out
 
 
 def with_main_state(frames: DataFrame, key: str, state: str) -> DataFrame:
     """``frames`` with main: the state of most frames of each key, the least of equally frequent ones; null states do not count."""
     counts = frames.where(F.col(state).isNotNull()).groupBy(key, state).agg(F.count("*").alias("_n"))
     main = counts.groupBy(key).agg(F.max_by(state, F.struct("_n", -F.col(state))).alias("main"))
-    return frames.join(main, key)
+    return frames.join(F.broadcast(main), key)  # one number a key
 
 
 def differences(frames: DataFrame, key: str, state: str, level: str, near: int = NEAR, least: int = LEAST_NEAR, block: int = BLOCK) -> DataFrame:
@@ -48,14 +69,13 @@ def differences(frames: DataFrame, key: str, state: str, level: str, near: int =
 
     def run(c: dict, own: np.ndarray) -> dict:
         shapes = _shapes(_matrix(c[level]))
-        states, main = c[state].to_numpy(zero_copy_only=False), c["main"].to_numpy(zero_copy_only=False)
-        at, true = c["i"], states == main
-        places, out = np.flatnonzero(true), []
-        for k in np.flatnonzero(own):
-            a, b = np.searchsorted(at[places], at[k] - near), np.searchsorted(at[places], at[k] + near, "right")
-            other = not true[k] and states[k] == states[k] and b - a >= least  # a null state is NaN here
-            out.append((shapes[k] - _column_medians(shapes[places[a:b]])).tolist() if other else None)
-        return {state: pa.array(np.asarray(states[own], float)).cast(pa.float64()), "delta": pa.array(out, pa.list_(pa.float64()))}
+        states, main = (c[k].to_numpy(zero_copy_only=False) for k in (state, "main"))
+        true = states == main
+        asked = np.flatnonzero(own & ~true & (states == states))  # a null state is NaN here
+        enough, middles = _near_medians(shapes, np.flatnonzero(true), c["i"], asked, near, least)
+        out, known = np.full(shapes.shape, np.nan), np.zeros(len(shapes), bool)
+        out[asked], known[asked] = shapes[asked] - middles, enough
+        return {state: pa.array(states[own].astype(float)), "delta": _lists(out[own], known[own])}
 
     return in_blocks(frames, key, near, block, run, [state, level, "main", "n"], {state: "double", "delta": "array<double>"}).where("delta IS NOT NULL")
 
@@ -83,9 +103,10 @@ def products(rows: DataFrame, key: str, values: str) -> DataFrame:
     def run(batches):
         sums: dict = {}
         for batch in batches:
-            keys, x = batch.column(0).to_pylist(), _matrix(batch.column(1))
-            for k in set(keys):
-                mine = x[[i for i, y in enumerate(keys) if y == k]]
+            codes, x = batch.column(0).dictionary_encode(null_encoding="encode"), _matrix(batch.column(1))
+            of = codes.indices.to_numpy(zero_copy_only=False)
+            for j, k in enumerate(codes.dictionary.to_pylist()):
+                mine = x[of == j]
                 good = np.isfinite(mine)
                 mine = np.where(good, mine, 0)
                 total = np.concatenate([mine.T @ mine, mine.sum(0)[:, None], good.sum(0)[:, None]], 1)
@@ -155,29 +176,23 @@ def shared_directions(deltas: DataFrame, key: str, count: int = DIRECTIONS, leas
 
 def along(level: str, basis: str = "basis"):
     """The coefficients of a frame's shape along each direction of a basis; absent samples count as 0."""
-    good = F.filter(level, _finite)
-    n = F.size(good)
-    ordered = F.array_sort(good)
-    middle = F.when(n > 0, (F.element_at(ordered, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int")) + F.element_at(ordered, F.greatest(F.floor(n / 2 + 1), F.lit(1)).cast("int"))) / 2)
-    one = lambda b: F.aggregate(F.zip_with(level, b, lambda x, d: F.when(_finite(x), (x - middle) * d).otherwise(0.0)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return F.transform(basis, one)
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    shape = lambda m: F.transform(level, lambda x: F.when(_finite(x), x - m).otherwise(0.0))
+    one = lambda y, b: total(F.zip_with(y, b, lambda x, d: F.coalesce(x * d, F.lit(0.0))))
+    # the median of a frame is bound once: inside the lambdas it would be sorted anew for every sample and direction
+    return let(F.array_sort(F.filter(level, _finite)), lambda v: let(middle(v), lambda m: let(shape(m), lambda y: F.transform(basis, lambda b: one(y, b)))))
 
 
 def strengths(frames: DataFrame, key: str, state: str, near: int = NEAR, least: int = LEAST_NEAR, block: int = BLOCK) -> DataFrame:
-    """key, i, move: how each frame's coefficients ``y`` differ from the median of main frames close to it, itself left out; null if those are too few."""
+    """key, i, stays, move: whether a frame is a main one, and how each frame's coefficients ``y`` differ from the median of main frames close to it, itself left out; null if those are too few."""
 
     def run(c: dict, own: np.ndarray) -> dict:
-        y, at = _matrix(c["y"]), c["i"]
-        places = np.flatnonzero(c[state].to_numpy(zero_copy_only=False) == c["main"].to_numpy(zero_copy_only=False))
-        out = []
-        for k in np.flatnonzero(own):
-            a, b = np.searchsorted(at[places], at[k] - near), np.searchsorted(at[places], at[k] + near, "right")
-            other = places[a:b]
-            other = other[other != k]
-            out.append((y[k] - np.median(y[other], axis=0)).tolist() if len(other) >= least else None)
-        return {"move": pa.array(out, pa.list_(pa.float64()))}
+        y, asked = _matrix(c["y"]), np.flatnonzero(own)
+        true = c[state].to_numpy(zero_copy_only=False) == c["main"].to_numpy(zero_copy_only=False)
+        enough, middles = _near_medians(y, np.flatnonzero(true), c["i"], asked, near, least)
+        return {"stays": true[own], "move": _lists(y[asked] - middles, enough)}
 
-    return in_blocks(frames, key, near, block, run, ["y", state, "main", "n"], {"move": "array<double>"})
+    return in_blocks(frames, key, near, block, run, ["y", state, "main", "n"], {"stays": "boolean", "move": "array<double>"})
 
 
 def without_gain(frames: DataFrame, key: str, state: str, level: str, consecutive: bool = True, near: int = NEAR, block: int = BLOCK) -> DataFrame:
@@ -195,11 +210,10 @@ def without_gain(frames: DataFrame, key: str, state: str, level: str, consecutiv
     if not consecutive:
         return found.withColumn("corrected", by_state).drop("main", "offset")
     bases = kept(shared_directions(deltas, key))
-    moves = kept(strengths(rows.join(bases, key).select(key, "i", "n", state, "main", along(level).alias("y")), key, state, near, block=block))
+    moves = kept(strengths(rows.join(F.broadcast(bases), key).select(key, "i", "n", state, "main", along(level).alias("y")), key, state, near, block=block))
     length = F.sqrt(F.aggregate("move", F.lit(0.0), lambda a, x: a + x * x))
-    true = moves.join(rows.where(F.col(state) == F.col("main")).select(key, "i"), [key, "i"], "left_semi").select(key, length.alias("_length"))
-    floors = quantiles(true, key, "_length", [TRUE_SHARE], 0.05).select(key, F.col("q0").alias("floor"))
-    found = found.join(moves, [key, "i"], "left").join(bases, key, "left").join(floors, key, "left")
+    floors = quantiles(moves.where("stays").select(key, length.alias("_length")), key, "_length", [TRUE_SHARE], 0.05).select(key, F.col("q0").alias("floor"))
+    found = found.join(moves.drop("stays"), [key, "i"], "left").join(F.broadcast(bases), key, "left").join(F.broadcast(floors), key, "left")
     shift = lambda x, at: x - F.aggregate(F.zip_with("move", "basis", lambda m, b: m * F.coalesce(F.get(b, at), F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
     moved = F.transform(level, shift)
     clear = (F.col(state) != F.col("main")) & F.col("move").isNotNull() & (length > F.coalesce("floor", F.lit(0.0)))
