@@ -119,3 +119,12 @@ def test_motion_windows(spark):
             over = [(t, a is not None and c is not None and b @ [1, a, c] > threshold) for k, t, a, c in ready if k == key and t is not None]
             assert abs(got[key].recall - np.mean([o for t, o in over if t == 1])) < 1e-9 and abs(got[key].specificity - np.mean([not o for t, o in over if t == 0])) < 1e-9
         assert got.keys() == {"hot", "few", "half"} and got["half"].recall == 0
+
+
+def test_quantiles_are_values(spark):
+    """Where a rank is a whole number its value comes back to the last bit: a threshold may not fall beside its own row."""
+    rng = np.random.default_rng(9)
+    x = np.sort(rng.normal(size=(100, 11)) * 7 + 3, axis=1)
+    df = spark.createDataFrame([(k, float(v)) for k, row in enumerate(x) for v in row], "k int, v double").repartition(5)
+    got = {r.k: r.q0 for r in fitting.long_quantiles(df, [0.9]).collect()}
+    assert [got[k] for k in range(100)] == x[:, 9].tolist()

@@ -38,8 +38,9 @@ def long_quantiles(long: DataFrame, shares: list[float]) -> DataFrame:
     """k, n, q0, q1, ...: exact quantiles of ``v`` for each ``k``, in slices of a 1,024th of the range of the k's values."""
     width = long.groupBy("k").agg(F.min("v").alias("_low"), (F.max("v") - F.min("v")).alias("_span"))
     width = width.select("k", "_low", F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0).alias("_span"))
-    found = quantiles(long.join(width, "k").select("k", ((F.col("v") - F.col("_low")) / F.col("_span")).alias("_x")), "k", "_x", shares, 1 / 1024)
-    return found.join(width, "k").select("k", "n", *((F.col(f"q{j}") * F.col("_span") + F.col("_low")).alias(f"q{j}") for j in range(len(shares))))
+    cut = F.floor((F.col("v") - F.col("_low")) / F.col("_span") * 1024)
+    # the values themselves are ordered: scaled and scaled back, a threshold would come out beside the value it is
+    return quantiles(long.join(width, "k"), "k", "v", shares, cut).drop("mean")
 
 
 def _summed(rows: DataFrame, size: int, part) -> np.ndarray:
@@ -197,8 +198,21 @@ def fit_motion(windows: DataFrame, key: str, names: list[str], label: str, label
 
     Windows without a label (null) count for a reference without labels only. No empty windows: the threshold is null.
     """
+    return fit_normalised(kept(labelled_windows(windows, key, names, label, labelled)), names, label, specificity, c)
+
+
+def labelled_windows(windows: DataFrame, key: str, names: list[str], label: str, labelled: bool) -> DataFrame:
+    """key, label, names: the windows that have a label, against their own key's reference.
+
+    Deviations add up in the order in which tasks end, so whoever fits and judges keeps these rows: measured twice, the
+    window that the threshold lies on could fall on either side of it.
+    """
     z = normalised(windows, key, names, (F.col(label) == 0) if labelled else None)
-    z = z.where(F.col(label).isin(0, 1)).select(label, *(F.col(f"z_{n}").alias(n) for n in names))
+    return z.where(F.col(label).isin(0, 1)).select(key, label, *(F.col(f"z_{n}").alias(n) for n in names))
+
+
+def fit_normalised(z: DataFrame, names: list[str], label: str, specificity: float = SPECIFICITY, c: float = 1.0) -> tuple[Logistic, float]:
+    """``fit_motion`` of rows of ``labelled_windows``."""
     model = fit_logistic(z, names, label, c, scaled=False)
     logits = z.where(F.col(label) == 0).select(F.lit(0).alias("k"), model.logit({n: F.col(n) for n in names}).alias("v")).where("v IS NOT NULL")
     at = long_quantiles(logits, [specificity]).first()
@@ -207,7 +221,11 @@ def fit_motion(windows: DataFrame, key: str, names: list[str], label: str, label
 
 def judged(windows: DataFrame, key: str, names: list[str], label: str, labelled: bool, model: Logistic, threshold: float) -> DataFrame:
     """key, recall, specificity, balanced of a fitted motion model over each key's windows; unknown windows are predicted 0."""
-    z = normalised(windows, key, names, (F.col(label) == 0) if labelled else None)
-    over = F.coalesce(model.logit({n: F.col(f"z_{n}") for n in names}) > threshold, F.lit(False)).cast("int")
-    c = confusion(z.where(F.col(label).isin(0, 1)), F.col(label), over, key)
+    return judged_normalised(labelled_windows(windows, key, names, label, labelled), key, names, label, model, threshold)
+
+
+def judged_normalised(z: DataFrame, key: str, names: list[str], label: str, model: Logistic, threshold: float) -> DataFrame:
+    """``judged`` of rows of ``labelled_windows``."""
+    over = F.coalesce(model.logit({n: F.col(n) for n in names}) > threshold, F.lit(False)).cast("int")
+    c = confusion(z, F.col(label), over, key)
     return c.select(key, "recall", "specificity", ((F.col("recall") + F.col("specificity")) / 2).alias("balanced"))

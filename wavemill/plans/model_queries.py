@@ -66,9 +66,9 @@ s AS (SELECT user_id, sum((y = 1 AND coalesce(d > h, false))::INT) / nullif(sum(
 SELECT user_id, round(recall, 6) AS recall, round(specificity, 6) AS specificity, round((recall + specificity) / 2, 6) AS balanced FROM s""")
 def motion_fit(spark, root):
     """Weights fitted over all captures' windows, the threshold nine tenths of the empty ones stay under, and each capture's result."""
-    w = fitting.kept(_camera(spark, root))
-    model, threshold = fitting.fit_motion(w, "user_id", ["a", "b"], "y", True)
-    return r6(fitting.judged(w, "user_id", ["a", "b"], "y", True, model, threshold), "recall", "specificity", "balanced")
+    z = fitting.kept(fitting.labelled_windows(_camera(spark, root), "user_id", ["a", "b"], "y", True))
+    model, threshold = fitting.fit_normalised(z, ["a", "b"], "y")
+    return r6(fitting.judged_normalised(z, "user_id", ["a", "b"], "y", model, threshold), "recall", "specificity", "balanced")
 
 
 SC = 8
