@@ -79,3 +79,12 @@ def test_trailing_floor_in_blocks(spark):
             want[e] = min(x[2] for x in seen) if len(seen) >= 3 else None
         got = time_queries.trailing_least(df, reach, most, 3).collect()
         assert len(got) == len(rows) and {r.event_id: r.floor for r in got} == want
+
+
+def test_impulse_response_of_whole_units(spark, tmp_path):
+    """A last stretch of fewer vectors than a unit has no rows, as in the SQL."""
+    spark.range(53).selectExpr("id AS vec_id", "0 AS label", "transform(sequence(1, 64), k -> CAST(sin(k * id + k) AS float)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = norm((r.vec_id, r.tap, r.level, r.below_peak_db) for r in catalog.queries()["impulse_response"](spark, str(tmp_path)).collect())
+    assert got == norm(c.execute(catalog.oracle_sql()["impulse_response"]).fetchall()) and len(got) == 50 * 17
