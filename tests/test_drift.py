@@ -96,3 +96,22 @@ def test_delay_spread(spark, block):
     for k, (n, s) in want.items():
         assert got[k][0] == n and (got[k][1] is None if s is None else abs(got[k][1] - s) < 1e-9), k
     assert D.delay_spread(df.limit(0), "key", "t", 6.0).collect() == []
+
+
+def test_long_lags_of_one_key(spark, monkeypatch):
+    """A key whose lag is most of its frames beside one of a single frame's lag: no frame is dealt out as far as the longest lag."""
+    rng = np.random.default_rng(11)
+    x = {"dense": (700, 0.01), "sparse": (60, 4.0)}
+    rows, want = [], {}
+    for key, (n, step) in x.items():
+        z = rng.normal(size=(n, 6)) + 1j * rng.normal(size=(n, 6))
+        lag = max(1, round(4.0 / step))
+        d = z[lag:] - z[:-lag]
+        top = np.abs(np.fft.fft(d - d.mean(1, keepdims=True), n=24, axis=1)).argmax(1)
+        want[key] = (n - lag, np.where(top > 12, top - 24, top).std())
+        rows += [(key, i, n, i * step, v.real.tolist(), v.imag.tolist()) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "key string, i bigint, n bigint, t double, re array<double>, im array<double>").repartition(5)
+    monkeypatch.setattr(D, "in_blocks", None)
+    got = {r["key"]: (r["n"], r["spread"]) for r in D.delay_spread(df, "key", "t", 4.0, block=64).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

@@ -153,27 +153,26 @@ def delay_spread(frames: DataFrame, key: str, t: str, lag: float, re: str = "re"
     # steps differ by orders of size between keys and within one, so slices are even in their logarithm
     at = quantiles(steps, key, "_step", [0.5], F.when(F.col("_step") > 0, F.floor(F.log("_step") * SLICES)).otherwise(-(1 << 20)).cast("bigint")).select(key, F.when(F.col("q0") > 0, F.greatest(F.rint(lag / F.col("q0")), F.lit(1.0))).otherwise(1.0).cast("bigint").alias("_lag"))
     at = kept(at)
-    most = at.agg(F.max("_lag")).first()[0]
-    if most is None:
-        return at.select(key, F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("spread"))
-    known = frames.select(key, "i", "n", re, im).join(at, key)
-    longest = known.where(F.col("_lag") < F.col("n"))  # others have no change
-
-    def peaks(c: dict, own: np.ndarray) -> dict:
-        z, place = _matrix(c[re]) + 1j * _matrix(c[im]), np.flatnonzero(own)
-        before = place - c["_lag"][0].as_py()
-        out = np.full(len(place), np.nan)
-        d = z[place[before >= 0]] - z[before[before >= 0]]
-        d = d - d.mean(axis=1, keepdims=True)
-        size = PADDING * d.shape[1]
-        if size:
-            whole = np.isfinite(d).all(axis=1)
-            top = np.abs(np.fft.fft(d, n=size, axis=1)).argmax(1).astype(float)
-            out[before >= 0] = np.where(whole, np.where(top > size / 2, top - size, top), np.nan)
-        return {"delay": pa.array(out, from_pandas=True)}
-
-    margin = longest.agg(F.max("_lag")).first()[0]
-    found = in_blocks(longest, key, int(margin or 1), block, peaks, [re, im, "_lag"], {"delay": "double"})
+    kind = frames.schema[key].dataType.simpleString()
+
+    def peaks(batches):
+        for batch in batches:
+            now, then = (_matrix(batch.column(k)) + 1j * _matrix(batch.column(k + 1)) for k in (1, 3))
+            width = max(now.shape[1], then.shape[1])
+            wide = lambda z: np.pad(z, ((0, 0), (0, width - z.shape[1])), constant_values=np.nan)
+            d = wide(now) - wide(then)
+            out = np.full(len(d), np.nan)
+            if width and len(d):
+                d = d - d.mean(axis=1, keepdims=True)
+                size = PADDING * width
+                top = np.abs(np.fft.fft(d, n=size, axis=1)).argmax(1).astype(float)
+                out = np.where(np.isfinite(d).all(axis=1), np.where(top > size / 2, top - size, top), np.nan)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, from_pandas=True)], names=[key, "delay"])
+
+    # each frame meets the one its key's lag before it by its place: a margin would hold the longest lag of all keys
+    known = kept(frames.select(key, "i", "n", re, im).join(at, key).where(F.col("_lag") < F.col("n")))  # others have no change
+    then = known.select(key, (F.col("i") + F.col("_lag")).alias("i"), F.col(re).alias("_re"), F.col(im).alias("_im"))
+    found = known.join(then, [key, "i"]).select(key, re, im, "_re", "_im").mapInArrow(peaks, f"`{key}` {kind}, delay double")
     spread = found.groupBy(key).agg(F.count("delay").alias("n"), F.stddev_pop("delay").alias("spread"))
     every = at.select(key).join(spread, key, "left")
     return every.select(key, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 4, F.col("spread")).alias("spread"))
