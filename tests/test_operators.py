@@ -87,3 +87,16 @@ def test_unwrap(spark):
     x = np.cumsum(np.random.default_rng(5).normal(0, 2.9, 200))
     got = spark.createDataFrame([([float(v) for v in np.angle(np.exp(1j * x))],)], "x array<double>").select(A.unwrap(F.col("x")).alias("y")).first().y
     assert got == pytest.approx(np.unwrap(np.angle(np.exp(1j * x))).tolist())
+
+
+def test_hampel_orders_a_neighbourhood_once(spark):
+    """The neighbours and their median are bound, not computed again for each neighbour; against a loop."""
+    x = np.random.default_rng(13).standard_cauchy((4, 30))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select("x", A.hampel(F.col("x"), 3, 3.0).alias("h"))
+    for r in df.collect():
+        v = np.array(r.x)
+        near = v[np.clip(np.arange(30)[:, None] + np.arange(-3, 4), 0, 29)]
+        mid = np.median(near, axis=1)
+        spread = np.median(np.abs(near - mid[:, None]), axis=1)
+        assert r.h == np.where(np.abs(v - mid) > 3.0 * 1.4826 * spread, mid, v).tolist()
+    assert df._jdf.queryExecution().analyzed().toString().count("array_sort(") == 2
