@@ -227,3 +227,23 @@ def test_odd_frames(spark):
         assert {(x["key"], x["at"]) for x in done.collect()} == {(x[0], x[1]) for x in rows}
         assert done.where("key = 'b' AND (swapped OR rotated)").count() == 0
     assert O.detect_states(frames.limit(0), "key", ["at"], F.lit(0), "phase", "level", None).collect() == []
+
+
+def test_a_profile_fit_takes_one_mean(spark):
+    """The mean of a frame's decibels is bound, not taken anew for each sample."""
+    df = spark.createDataFrame([([1.0, None, 4.0, float("nan")], [1.0, 2.0, 3.0]), ([None], [1.0]), (None, [1.0])], "a array<double>, p array<double>")
+    done = df.select(O.profile_fit("a", F.col("p")).alias("y"))
+    assert [r.y for r in done.collect()] == [3.0, 0.0, 0.0]
+    plan = done._jdf.queryExecution().analyzed().toString()
+    assert plan.index("filter(a") < plan.index("zip_with(a")
+
+
+def test_no_decibels_in_the_rounds_of_turns(spark, monkeypatch):
+    """What most frames agree on without a reference: the rounds that settle turns keep no arrays."""
+    held = []
+    monkeypatch.setattr(O, "kept", lambda df: held.append(df.dtypes) or df.localCheckpoint())
+    rows = [("a", i, [0.1, 0.4], [3.0, -3.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, at bigint, phase array<double>, level array<double>")
+    done = O.detect_states(df, "key", ["at"], F.lit(0), "phase", "level")
+    assert {(r["swapped"], r["rotated"]) for r in done.collect()} == {(False, False)}
+    assert len(held) > 5 and not any("array" in kind for columns in held[-3:] for _, kind in columns)
