@@ -18,14 +18,13 @@ _FRAMES = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FRO
 def captured(spark, root):
     """Frames of captures by user: two chains of 64 subcarriers whose samples are a rule of the event's id."""
     e = events(spark, root).select(F.col("user_id").cast("string").alias("source"), "event_id", "t")
-    e = frames.numbered(e, "source", ["t", "event_id"], F.floor(F.col("t") / BLOCK))
-    at = F.sequence(F.lit(0), F.lit(BINS - 1))
-    plane = lambda a, b: F.transform(at, lambda k: (F.col("event_id") * a + k * b) % 4001 - 2000)
-    rows = e.select("source", F.col("i").alias("seq"), F.floor(F.round(F.col("t") * 1_000_000).cast("bigint") / 1000).cast("bigint").alias("tick"), (-30 - F.col("event_id") % 60).cast("int").alias("rssi"), F.lit("08:bf:b8:95:80:04").alias("mac"), plane(7, 13).alias("re0"), plane(11, 5).alias("im0"), plane(3, 17).alias("re1"), plane(5, 29).alias("im1"))
+    e = frames.numbered(e, "source", ["t", "event_id"], F.floor(F.col("t") / BLOCK)).withColumnRenamed("i", "seq")
+    e = e.repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")  # before samples are made: records stay where they are written
+    plane = lambda a, b: F.transform(F.sequence(F.col("event_id") * a, F.col("event_id") * a + (BINS - 1) * b, F.lit(b).cast("bigint")), lambda x: x % 4001 - 2000)
+    rows = e.select("source", "seq", F.floor(F.round(F.col("t") * 1_000_000).cast("bigint") / 1000).cast("bigint").alias("tick"), (-30 - F.col("event_id") % 60).cast("int").alias("rssi"), F.lit("08:bf:b8:95:80:04").alias("mac"), plane(7, 13).alias("re0"), plane(11, 5).alias("im0"), plane(3, 17).alias("re1"), plane(5, 29).alias("im1"))
     folder = f"{joins.shared(spark)}/captures-{uuid.uuid4().hex}"
     spark.dataSource.register(segments.SegmentSink)
-    ordered = records.encode(rows).repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")
-    ordered.write.format("wavemill.segments").option("segmentBytes", 1 << 20).mode("append").save(folder.removeprefix("file://").removeprefix("file:"))
+    records.encode(rows).write.format("wavemill.segments").option("segmentBytes", 1 << 20).mode("append").save(folder.removeprefix("file://").removeprefix("file:"))
     return ranges.read_captures(spark, folder).withColumn("user_id", F.split("capture", "/")[0].cast("bigint"))
 
 
@@ -43,5 +42,5 @@ z AS (SELECT *, (event_id * 7 + k * 13) % 4001 - 2000 AS a, (event_id * 11 + k *
 SELECT user_id, k::INTEGER AS sc, count(*) AS n, round(avg(10 * log10((c * c + d * d) / (a * a + b * b))), 4) + 0.0 AS ratio_db FROM z WHERE (a <> 0 OR b <> 0) AND (c <> 0 OR d <> 0) GROUP BY 1, 2""")
 def captured_ratio(spark, root):
     """The mean ratio of both chains in decibels, by user and subcarrier, where both have samples."""
-    cells = decode.planes(captured(spark, root)).select("user_id", F.posexplode("ratio_amp").alias("sc", "x")).where("x IS NOT NULL")
-    return cells.groupBy("user_id", "sc").agg(F.count("*").alias("n"), (F.round(F.avg("x"), 4) + 0.0).alias("ratio_db"))
+    cells = decode.ratio_cells(captured(spark, root), "user_id")
+    return cells.groupBy("user_id", "sc").agg(F.count("*").alias("n"), (F.round(F.avg("ratio_amp"), 4) + 0.0).alias("ratio_db"))

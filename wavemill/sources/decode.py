@@ -24,6 +24,15 @@ def planes(frames: DataFrame) -> DataFrame:
     return df.withColumns({"ratio_amp": F.zip_with("amp", "_amp1", lambda a, b: b - a), "ratio_phase": F.zip_with("phase", "_phase1", turn)}).drop("_amp1", "_phase1")
 
 
+def ratio_cells(frames: DataFrame, *keep: str) -> DataFrame:
+    """keep, sc, ratio_amp: a row for each subcarrier of a frame where both chains have samples; `planes` by rows instead of arrays."""
+    power = lambda a, b: F.when((F.col(a) != 0) | (F.col(b) != 0), 10 * F.log10((F.col(a) * F.col(a) + F.col(b) * F.col(b)).cast("double")))
+    others = ("im0", "re1", "im1")
+    cells = frames.select(*keep, *(F.col(c).alias(f"_{c}") for c in others), F.posexplode("re0").alias("sc", "re0"))
+    cells = cells.select(*keep, "sc", "re0", *(F.get(f"_{c}", F.col("sc")).alias(c) for c in others))
+    return cells.select(*keep, "sc", (power("re1", "im1") - power("re0", "im0")).alias("ratio_amp")).where("ratio_amp IS NOT NULL")
+
+
 def rate_words(flags: Column) -> tuple[Column, Column]:
     """Format (bits 8-10) and width in MHz (bits 11-13) of rate flags; unknown codes say so."""
     # Formats and widths by code.

@@ -6,6 +6,7 @@ It looks for the first place from which whole records follow one another, reads
 there to the last one its frames need no other range. What lies before and behind, a frame or less on either side, goes
 through a second, small job that puts the pieces of each file in line: it finishes frames that cross ranges, and knows
 where a walk from the file's start would have ended. Frames are numbered by the counts of the ranges before theirs.
+A file that Spark would not cut needs none of this: it is read once, whole, and several small ones are decoded together.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from .captures import _ARROW, _batches, A_FIELDS, B_BINS, B_TAGS, CLOSES, HEADER
 
 #: Ranges whose table may be broadcast to number frames; beyond it frames are shuffled.
 MOST_BROADCAST = 200_000
+#: Bytes up to which a file is read whole, if Spark would not cut it; frames of format B decoded together.
+WHOLE, AT_ONCE = 32 << 20, 2048
+#: Bytes of small files whose frames are decoded together.
+TOGETHER = 1 << 20
+_FILES = {"recursiveFileLookup": "true", "pathGlobFilter": "*.{bin,dat}"}
 _FRAME = ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("capture") and not x.startswith("frame"))
 _RANGE = "path string, start bigint, size bigint, format string, head binary, tail binary, n bigint, interior bigint, broken boolean"
 
@@ -48,6 +54,7 @@ class Walk:
                 self.ends.append(at)
             self.closes, self.groups = [True] * len(self.ends), [0] * len(self.ends)
         else:
+            buf, most = np.frombuffer(data, np.uint8), 64
             while at + 3 <= n:
                 if data[at] != MAGIC:
                     self.broken = True
@@ -55,16 +62,33 @@ class Walk:
                 end = at + 3 + _u(data, at + 1, 2)
                 if end > n:
                     break
-                p, seq = at + 3, 0
+                p, seq, place, heads = at + 3, 0, None, [at]
                 while p + 3 <= end:
                     size = _u(data, p + 1, 2)
+                    heads.append(p)
                     if data[p] == B_TAGS["sequence"]:
-                        seq = _u(data, p + 3, size)
+                        seq, place = _u(data, p + 3, size), (p + 3 - at, size)
                     p += 3 + size
-                at = end
-                self.ends.append(at)
+                step = end - at
+                self.ends.append(end)
                 self.closes.append(bool(seq & CLOSES))
                 self.groups.append(seq >> 16)
+                # Records behind it whose items lie alike: looked at together, twice as many each time.
+                more = min(most, (n - end) // step) if p == end and place and place[1] <= 4 else 0
+                if more:
+                    rows = buf[end : end + more * step].reshape(more, step)
+                    fixed = (np.array(heads)[:, None] - at + np.arange(3)).ravel()
+                    same = (rows[:, fixed] == buf[at + fixed]).all(1)
+                    m = more if same.all() else int(same.argmin())
+                    most = 2 * most if m == more else 1
+                    seqs = np.zeros(m, np.int64)
+                    for byte in range(place[1]):
+                        seqs |= rows[:m, place[0] + byte].astype(np.int64) << (8 * byte)
+                    self.ends.extend((end + step * np.arange(1, m + 1)).tolist())
+                    self.closes.extend((seqs & CLOSES != 0).tolist())
+                    self.groups.extend((seqs >> 16).tolist())
+                    end += m * step
+                at = end
             if at < n and data[at] != MAGIC:
                 self.broken = True
         self.at = at
@@ -166,7 +190,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Pieces between 0xAC bytes, in order within each range."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{bin,dat}").option("encoding", "ISO-8859-1").option("lineSep", "¬").text(path)
+    text = spark.read.options(**_FILES).option("encoding", "ISO-8859-1").option("lineSep", "¬").text(path)
     meta = F.col("_metadata")
     return text.select(F.col("value").cast("binary").alias("line"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), meta["file_size"].alias("size"))
 
@@ -259,20 +283,16 @@ def decode_b(data: bytes, plane: int) -> Iterator[pa.RecordBatch]:
     place = {k: np.zeros((n, 2), np.int64) for k in ("mac", "real", "imag")}
     for size in np.unique(ends - starts):
         mine = np.flatnonzero(ends - starts == size)
-        heads, p = [], 3
-        first = data[starts[mine[0]] : ends[mine[0]]]
-        while p + 3 <= size:
-            heads.append(p)
-            p += 3 + _u(first, p + 1, 2)
-        at = starts[mine][:, None, None] + np.array(heads, np.int64).reshape(1, -1, 1) + np.arange(3)
-        alike = len(mine) == 1 or (buf[at] == buf[at[:1]]).all()
-        for group in [mine] if alike else mine[:, None]:
-            layout = {}
-            p = 3
-            one = data[starts[group[0]] : ends[group[0]]]
+        while len(mine):
+            layout, heads, p = {}, [], 3
+            first = data[starts[mine[0]] : ends[mine[0]]]
             while p + 3 <= size:
-                layout[one[p]] = (p + 3, min(_u(one, p + 1, 2), int(size) - p - 3))
-                p += 3 + _u(one, p + 1, 2)
+                heads.append(p)
+                layout[first[p]] = (p + 3, min(_u(first, p + 1, 2), int(size) - p - 3))
+                p += 3 + _u(first, p + 1, 2)
+            at = starts[mine][:, None, None] + np.array(heads, np.int64).reshape(1, -1, 1) + np.arange(3)
+            alike = (buf[at] == buf[at[:1]]).all((1, 2))
+            group, mine = mine[alike], mine[~alike]
             for k in number:
                 o, length = layout.get(B_TAGS[k], (0, 0))
                 for byte in range(min(length, 8)):
@@ -292,24 +312,50 @@ def decode_b(data: bytes, plane: int) -> Iterator[pa.RecordBatch]:
     paired = (run[second] == run[closed]) & (second != first) & in_plane[first] & in_plane[second]
     bins = np.array([B_BINS.get(int(w), 0) for w in number["width"][first]])
 
-    def samples(record: int, width: int) -> np.ndarray | None:
-        out = []
-        for k in ("real", "imag"):
-            o, length = place[k][record]
-            if not width or length != 2 * width:
-                return None
-            out.append(np.fft.fftshift(signed(np.frombuffer(data, "<u2", width, int(o)), 14)).astype(np.float32))
-        return np.stack(out, 1)
+    for low in range(0, len(closed), AT_ONCE):
+        some = slice(low, low + AT_ONCE)
+        yield _frames(buf, number, place, first[some], second[some], paired[some], bins[some], low)
+
+
+def _planes(buf: np.ndarray, at: np.ndarray, bins: np.ndarray, good: np.ndarray) -> pa.Array:
+    """Samples of 14 bits that lie at ``at``, in order of frequency; null where a frame has none."""
+    offsets = np.append(0, np.cumsum(np.where(good, bins, 0)))
+    flat = np.empty(offsets[-1], np.float32)
+    for width in np.unique(bins[good]).tolist():
+        mine = np.flatnonzero(good & (bins == width))
+        raw = np.lib.stride_tricks.sliding_window_view(buf, 2 * width)[at[mine]].view("<u2")
+        values = np.fft.fftshift((raw << 2).view("<i2") >> 2, 1)  # the upper two bits are the sign's
+        if len(flat) == values.size:
+            flat[:] = values.ravel()
+        else:
+            flat[offsets[mine][:, None] + np.arange(width)] = values
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=pa.array(~good))
+
+
+def _names(buf: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The addresses of ``lengths`` bytes that lie at ``at`` as text."""
+    names = np.empty(len(at), object)
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        raw = buf[at[mine][:, None] + np.arange(length)]
+        if (raw == raw[:1]).all():
+            names[mine] = mac_text(raw[0].tobytes())
+        else:
+            kinds, which = np.unique(raw, axis=0, return_inverse=True)
+            names[mine] = np.array([mac_text(k.tobytes()) for k in kinds], object)[which.ravel()]
+    return pa.array(names, pa.string())
 
-    def frames():
-        for k, (a, b, width) in enumerate(zip(first, second, bins)):
-            planes = [samples(a, int(width)), samples(b, int(width)) if paired[k] else None]
-            planes = [p for p in planes if p is not None]
-            o, length = place["mac"][a]
-            time = int(number["time"][a])
-            yield {"frame": k, "tick": time, "coarse": time * 1000, "rssi": int(signed(np.array([number["rssi"][a]]), 8)[0]), "source": mac_text(data[o : o + length] if length else b""), "num_rx": len(planes), "num_tx": 1, "num_sc": int(width), "planes": planes + [None] * (2 - len(planes))}
 
-    yield from _batches("", frames())
+def _frames(buf: np.ndarray, number: dict, place: dict, first: np.ndarray, second: np.ndarray, paired: np.ndarray, bins: np.ndarray, low: int) -> pa.RecordBatch:
+    """One row a frame, numbered from ``low``, of its first record and, where there is one, its second."""
+    n = len(first)
+    whole = lambda record: (bins > 0) & (place["real"][record, 1] == 2 * bins) & (place["imag"][record, 1] == 2 * bins)
+    one, two = whole(first), whole(second) & paired
+    lead = np.where(one, first, second)
+    made = {"capture": pa.repeat(pa.scalar(""), n), "frame": np.arange(low, low + n), "tick": number["time"][first], "coarse": number["time"][first] * 1000, "rssi": signed(number["rssi"][first], 8), "source": _names(buf, *place["mac"][first].T), "num_rx": one.astype(np.int32) + two, "num_tx": np.ones(n, np.int32), "num_sc": bins}
+    for k, good, record in ((0, one | two, lead), (1, one & two, second)):
+        made |= {f"re{k}": _planes(buf, place["real"][record, 0], bins, good), f"im{k}": _planes(buf, place["imag"][record, 0], bins, good)}
+    return pa.RecordBatch.from_arrays([made[x.name] if isinstance(made[x.name], pa.Array) else pa.array(made[x.name], x.type) for x in _ARROW], schema=_ARROW)
 
 
 def _decoded(data: bytes, format: str, plane: int) -> Iterator[pa.RecordBatch]:
@@ -319,16 +365,68 @@ def _decoded(data: bytes, format: str, plane: int) -> Iterator[pa.RecordBatch]:
 def read_captures(spark: SparkSession, path: str, plane: int = 0) -> DataFrame:
     """Frames of all ``.bin`` and ``.dat`` captures under a path of any file system, with the columns of `captures.SCHEMA`.
 
-    Frames do not depend on how files are cut (``spark.sql.files.maxPartitionBytes``). A capture is its path below
+    Frames do not depend on how files are cut (``spark.sql.files.maxPartitionBytes``); only larger files are cut. A capture is its path below
     ``path`` without its suffix; empty files and partial records at the end have no frames, and a walk ends where no
     record follows. A file whose records do not line up across ranges, as one that holds another capture as samples,
     raises a ValueError.
     """
-    from ..operators.joins import kept
-
-    lines = _lines(spark, path)
+    most = min(WHOLE, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().toString().rstrip("/")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"  # else a task for each folder lists it
+    tasks = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(tasks), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.format("binaryFile").options(**_FILES).load(path)
+    finally:
+        spark.conf.set(name, tasks)
+    size = F.col("_metadata.file_size")  # a filter on it is applied to the listing
+    found = _whole(files.where(size <= most), root, plane)
+    if files.where(size > most).select(size).isEmpty():
+        return found
+    return found.unionByName(_cut(spark, path, root, most, plane))
+
+
+def _whole(files: DataFrame, root: str, plane: int) -> DataFrame:
+    """Frames of files that lie in one range each."""
+
+    def named(parts: list[tuple[str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches of files that were decoded together, with the captures' names and the frames' numbers."""
+        counts = np.array([n for _, n in parts])
+        ends, of = np.cumsum(counts), pa.array([_name(path, root) for path, _ in parts])
+        low = 0
+        for batch in batches:
+            at = np.arange(low, low + batch.num_rows)
+            which = np.searchsorted(ends, at, "right")
+            low += batch.num_rows
+            yield pa.RecordBatch.from_arrays([of.take(pa.array(which)), pa.array(at - (ends - counts)[which]), *batch.columns[2:]], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, bytes_held = [], [], 0
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = memoryview(content.as_buffer() if content.is_valid else b"").cast("B")
+                x = inside(data, 0)
+                if x["n"] and x["format"] == "A":
+                    yield from named([(path, x["n"])], _decoded(bytes(data[x["lo"] : x["hi"]]), "A", plane))
+                elif x["n"]:
+                    parts.append((path, x["n"]))
+                    held.append(data[x["lo"] : x["hi"]])
+                    bytes_held += x["hi"] - x["lo"]
+                if bytes_held >= TOGETHER:
+                    yield from named(parts, _decoded(b"".join(held), "B", plane))
+                    parts, held, bytes_held = [], [], 0
+        if parts:
+            yield from named(parts, _decoded(b"".join(held), "B", plane))
+
+    return files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, SCHEMA)
+
+
+def _cut(spark: SparkSession, path: str, root: str, most: int, plane: int) -> DataFrame:
+    """Frames of the files of more than ``most`` bytes, by ranges."""
+    from ..operators.joins import kept
+
+    lines = _lines(spark, path).where(F.col("size") > most)
     joined = kept(in_line(ranges(lines), root))
     counts = joined.select("capture", "path", "start", "format", "kept", F.size("crossing").alias("_c"))
     before = F.sum(F.col("kept") + F.col("_c")).over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
@@ -338,7 +436,7 @@ def read_captures(spark: SparkSession, path: str, plane: int = 0) -> DataFrame:
 
     def out(path: str, start: int, first: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([start] * n, pa.int64()), pa.array(np.arange(first, first + n)), *(batch.column(batch.schema.get_field_index(k)) for k in names)], names=["path", "start", "place", *names])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), n), pa.repeat(pa.scalar(start, pa.int64()), n), pa.array(np.arange(first, first + n)), *(batch.column(batch.schema.get_field_index(k)) for k in names)], names=["path", "start", "place", *names])
 
     def interior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start, _, data in _pieces(batches):
