@@ -19,7 +19,8 @@ def captured(spark, root):
     """Frames of captures by user: two chains of 64 subcarriers whose samples are a rule of the event's id."""
     e = events(spark, root).select(F.col("user_id").cast("string").alias("source"), "event_id", "t")
     e = frames.numbered(e, "source", ["t", "event_id"], F.floor(F.col("t") / BLOCK)).withColumnRenamed("i", "seq")
-    e = e.repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")  # before samples are made: records stay where they are written
+    # In order before samples are made: records stay where they are written, in more tasks than these small rows would need.
+    e = e.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "source", "seq").sortWithinPartitions("source", "seq")
     plane = lambda a, b: F.transform(F.sequence(F.col("event_id") * a, F.col("event_id") * a + (BINS - 1) * b, F.lit(b).cast("bigint")), lambda x: x % 4001 - 2000)
     rows = e.select("source", "seq", F.floor(F.round(F.col("t") * 1_000_000).cast("bigint") / 1000).cast("bigint").alias("tick"), (-30 - F.col("event_id") % 60).cast("int").alias("rssi"), F.lit("08:bf:b8:95:80:04").alias("mac"), plane(7, 13).alias("re0"), plane(11, 5).alias("im0"), plane(3, 17).alias("re1"), plane(5, 29).alias("im1"))
     folder = f"{joins.shared(spark)}/captures-{uuid.uuid4().hex}"

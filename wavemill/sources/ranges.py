@@ -419,7 +419,9 @@ def _whole(files: DataFrame, root: str, plane: int) -> DataFrame:
         if parts:
             yield from named(parts, _decoded(b"".join(held), "B", plane))
 
-    return files.select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, SCHEMA)
+    some = files.select(F.col("_metadata.file_path").alias("path"), "content")
+    dealt = some.rdd.getNumPartitions()  # by the number of files, however small they are
+    return some.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, dealt // 8)).mapInArrow(run, SCHEMA)
 
 
 def _cut(spark: SparkSession, path: str, root: str, most: int, plane: int) -> DataFrame:
