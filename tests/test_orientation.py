@@ -151,6 +151,50 @@ def test_planted_damage_with_a_reference(spark):
             assert np.allclose([r["p"] for r in rows], clean, atol=1e-9) and np.allclose([r["l"] for r in rows], level)
 
 
+def test_a_reference_counts_all_frames(spark):
+    """Every third frame of a long key is damaged, evenly spread ones among them all: the other two thirds decide."""
+    rng = np.random.default_rng(21)
+    n = 3 * 4095 + 1
+    shape, turn = 4 * np.sin(np.arange(6)), rng.uniform(-1, 1, 6)
+    level, phase = shape + rng.normal(0, 0.2, (n, 6)), turn + rng.normal(0, 0.05, (n, 6))
+    bad = np.arange(n) % 3 == 0
+    level[bad] *= -1
+    phase[bad] = np.angle(np.exp(1j * (-phase[bad] + np.pi)))
+    frames = frames_of(spark, {"a": (phase, level)})
+    refs = O.reference(O.numbered(frames, "key", ["at"], F.floor(F.col("at") / 500)), "key", "phase", "level")
+    (ref,) = refs.collect()
+    middle = np.median(level, axis=0)
+    v = np.exp(1j * phase).mean(1).sum()
+    assert np.allclose(ref.profile, middle - middle.mean(), atol=1e-12) and np.isclose(complex(ref.re, ref.im), v / abs(v))
+    states = found(O.detect_states(frames, "key", ["at"], F.floor(F.col("at") / 500), "phase", "level", refs, native=False))["a"]
+    assert (states[0] == bad).all() and (states[1] == bad).all()
+
+
+def test_band_medians_of_parts(spark):
+    """Ties, one value throughout, order in time, gaps, infinities and short arrays, against one sort of each place."""
+    rng = np.random.default_rng(22)
+    keyed = {}
+    for key, n in (("hot", 1501), ("even", 400), ("small", 7), ("one", 1)):
+        x = rng.normal(0, 3, (n, 6))
+        x[:, 1] = np.round(x[:, 1])  # ties
+        x[:, 2] = 2.5
+        x[:, 3] = np.sort(x[:, 3])
+        x[rng.random(n) < 0.4, 4] = np.nan
+        x[rng.random(n) < 0.1, 0] = np.inf
+        keyed[key] = x
+    rows = [(k, i, [None if np.isnan(v) and i % 2 else v for v in r.tolist()][: 5 if i % 5 else 6]) for k, x in keyed.items() for i, r in enumerate(x)]
+    rows += [("hot", 1501, None), ("hot", 1502, []), ("void", 0, [None, float("nan")])]
+    frames = spark.createDataFrame(rows, "key string, at bigint, level array<double>").repartition(5)
+    values: dict = {}
+    for key, _, r in rows:
+        for k, v in enumerate(r or []):
+            if v is not None and np.isfinite(v):
+                values.setdefault((key, k), []).append(v)
+    for part in (O.PART, 100, 7):
+        got = O.band_medians(O.numbered(frames, "key", ["at"], F.lit(0)), "key", "level", part).collect()
+        assert len(got) == len(values) and all(np.isclose(r["median"], np.median(values[r.key, r._sc]), atol=1e-12) for r in got)
+
+
 def test_strided_views_use_the_reference_alone(spark):
     rng = np.random.default_rng(6)
     phase, level, swap, rot, *_ = drifting(rng, 900, stretch=0.0, damage=0.2)
